@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
-_WORDS = f"split(trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM {{t}}), '{_BLANK}')"
+_SPACE = "\\t\\n\\u000B\\u000C\\r"
 
 
 @dataclass(frozen=True)
@@ -29,50 +29,45 @@ class Rule:
     reject: str
 
 
-def _words(p: str) -> tuple[tuple[tuple[str, str], ...], ...]:
-    """Stages that make {p}n, the number of words, and {p}w, the words."""
-    t = f"{{t}}"
-    return (
-        ((f"{p}w", f"CASE WHEN trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM {t}) = '' THEN CAST(array() AS array<string>) ELSE {_WORDS.format(t=t)} END"),),
-        ((f"{p}n", f"CAST(size({p}w) AS BIGINT)"),),
-    )
-
-
-def _repeats(p: str) -> tuple[tuple[tuple[str, str], ...], ...]:
-    """Stages from {p}w, {p}n to {p}r: the words in 3-word windows that the text holds twice or more.
-
-    Windows are compared by 64-bit hash; those with equal hashes are found by sorting, so the work is n log n.
-    """
-    return (
-        ((f"{p}h", f"CASE WHEN {p}n > 3 THEN slice(zip_with(zip_with({p}w, slice({p}w, 2, {p}n), (a, b) -> xxhash64(a, b)), slice({p}w, 3, {p}n), (x, c) -> xxhash64(x, c)), 1, CAST({p}n - 2 AS INT)) END"),),
-        ((f"{p}s", f"CASE WHEN size(array_distinct({p}h)) < size({p}h) THEN sort_array(transform({p}h, (x, i) -> struct(x AS h, i AS i))) END"),),
-        ((f"{p}p", f"sort_array(array_distinct(flatten(zip_with(slice({p}s, 1, size({p}s) - 1), slice({p}s, 2, size({p}s)), (a, b) -> CASE WHEN a.h = b.h THEN array(a.i, b.i) ELSE CAST(array() AS array<int>) END))))"),),
-        ((f"{p}r", f"CASE WHEN {p}n IS NULL THEN NULL ELSE coalesce(aggregate(zip_with({p}p, slice({p}p, 2, size({p}p)), (a, b) -> least(3, coalesce(b - a, 3))), CAST(0 AS BIGINT), (s, x) -> s + x), 0L) END"),),
-    )
-
-
-def _count(chars: str) -> str:
-    return f"CAST(length({{t}}) - length(translate({{t}}, '{chars}', '')) AS BIGINT)"
-
+_WORDS = (
+    (("_w", f"CASE WHEN trim(BOTH ' {_SPACE}' FROM {{t}}) = '' THEN CAST(array() AS array<string>) ELSE split(trim(BOTH ' {_SPACE}' FROM {{t}}), '{_BLANK}') END"),),
+    (("_n", "CAST(size(_w) AS BIGINT)"),),
+)
+#: _r from _w and _n: the words in 3-word windows that the text holds twice or more. Windows are compared by 64-bit hash;
+#: equal ones are found by sorting, so the work is n log n.
+_REPEATS = (
+    (("_h", "CASE WHEN _n > 3 THEN slice(zip_with(zip_with(_w, slice(_w, 2, _n), (a, b) -> xxhash64(a, b)), slice(_w, 3, _n), (x, c) -> xxhash64(x, c)), 1, CAST(_n - 2 AS INT)) END"),),
+    (("_s", "CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (x, i) -> struct(x AS h, i AS i))) END"),),
+    (("_p", "sort_array(array_distinct(flatten(zip_with(slice(_s, 1, size(_s) - 1), slice(_s, 2, size(_s)), (a, b) -> CASE WHEN a.h = b.h THEN array(a.i, b.i) ELSE CAST(array() AS array<int>) END))))"),),
+    (("_r", "CASE WHEN _n IS NULL THEN NULL ELSE coalesce(aggregate(zip_with(_p, slice(_p, 2, size(_p)), (a, b) -> least(3, coalesce(b - a, 3))), CAST(0 AS BIGINT), (s, x) -> s + x), 0L) END"),),
+)
+_LINES = (
+    (("_l", "filter(split({t}, '\\n', -1), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"),),
+    (("_d", "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT)"),),
+)
+_CHARS = ((("_c", f"CAST(length(translate({{t}}, ' {_SPACE}', '')) AS BIGINT)"),),)
+_SYMBOLS = ((("_y", "CAST(length({t}) - length(translate({t}, '#*$%&|<>', '')) AS BIGINT)"),),)
 
 RULES = (
-    Rule("few_words", _words("_fw_"), "_fw_n < 50"),
-    Rule("repeated_words", _words("_rw_") + _repeats("_rw_"), "100 * _rw_r > 50 * _rw_n"),
-    Rule("symbols", _words("_sy_") + ((("_sy_c", _count("#*$%&|<>")),),), "100 * _sy_c > 10 * _sy_n"),
-    Rule("shouting", _words("_ex_") + ((("_ex_c", _count("!")),),), "100 * _ex_c > 30 * _ex_n"),
-    Rule("word_length", _words("_wl_") + ((("_wl_c", "CAST(length(translate({t}, ' \\t\\n\\u000B\\u000C\\r', '')) AS BIGINT)"),),), "_wl_c > 15 * _wl_n OR _wl_c < 2 * _wl_n"),
-    Rule("repeated_lines", ((("_rl_l", "filter(split({t}, '\\n', -1), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"),), (("_rl_d", "size(_rl_l) - size(array_distinct(_rl_l))"),)), "100 * _rl_d > 60 * size(_rl_l)"),
+    Rule("few_words", _WORDS, "_n < 50"),
+    Rule("repeated_words", _WORDS + _REPEATS, "100 * _r > 50 * _n"),
+    Rule("symbols", _WORDS + _SYMBOLS, "100 * _y > 10 * _n"),
+    Rule("shouting", _WORDS + ((("_e", "length({t}) - length(translate({t}, '!', ''))"),),), "100 * _e > 30 * _n"),
+    Rule("word_length", _WORDS + _CHARS, "_c > 15 * _n OR _c < 2 * _n"),
+    Rule("repeated_lines", _LINES, "100 * _d > 60 * size(_l)"),
 )
 
 
-def _run(df: DataFrame, rules, text: str, shared: dict[str, str]) -> DataFrame:
-    """Add _verdict: the name of the first rule that rejects, else null. shared: metric columns df has already."""
+def _run(df: DataFrame, rules, text: str, made: tuple[str, ...] = ()) -> DataFrame:
+    """Add _verdict: the name of the first rule that rejects, else null. A column that an earlier rule made, or that df
+    has already (made), isn't made again."""
+    have = set(made)
     df = df.withColumn("_verdict", F.lit(None).cast("string"))
     for rule in rules:
         df = df.withColumn("_t", F.expr(f"CASE WHEN _verdict IS NULL THEN {text} END"))
         for stage in rule.stages:
-            made = {name: F.expr(shared[name]) if name in shared else F.expr(sql.replace("{t}", "_t")) for name, sql in stage}
-            df = df.withColumns(made)
+            if new := {name: F.expr(sql.replace("{t}", "_t")) for name, sql in stage if name not in have}:
+                df, have = df.withColumns(new), have | set(new)
         df = df.withColumn("_verdict", F.expr(f"CASE WHEN _verdict IS NOT NULL THEN _verdict WHEN {rule.reject} THEN '{rule.name}' END"))
     return df
 
@@ -84,11 +79,18 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules=RULES, sample_row
     found = []
     for k, rule in enumerate(rules):
         began = time.perf_counter()
-        rejected = _run(sample, [rule], "_text", {}).where("_verdict IS NOT NULL").count()
+        rejected = _run(sample, [rule], "_text").agg(F.count("_verdict")).first()[0]
         found.append((-rejected / max(1e-3, time.perf_counter() - began), k, rule))
     return [x[2] for x in sorted(found, key=lambda x: x[:2])]
 
 
+def _verdicts(df: DataFrame, own: list) -> DataFrame:
+    """own columns, kept and rejected_by. They come out of a generator of one row, through which a later filter on them
+    isn't pushed: pushed down it would repeat the metrics' expressions many times over."""
+    made = F.inline(F.array(F.struct(F.col("_verdict").isNull().alias("kept"), F.col("_verdict").alias("rejected_by"))))
+    return df.select(*own, made)
+
+
 def quality_cascade(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 1000) -> DataFrame:
     """docs with columns kept (boolean) and rejected_by (a rule's name, else null) after its own.
 
@@ -97,21 +99,19 @@ def quality_cascade(docs: DataFrame, text_col: str = "text", rules=RULES, sample
     """
     ordered = order_rules(docs, text_col, rules, sample_rows)
     own = [c for c in docs.columns if c not in ("kept", "rejected_by")]
-    df = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return _run(df, ordered, "_text", {}).select(*own, F.col("_verdict").isNull().alias("kept"), F.col("_verdict").alias("rejected_by"))
+    # one struct, so that no column of docs can be taken for one of the metrics
+    df = docs.select(F.struct(*own).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _verdicts(_run(df, ordered, "_text"), [F.col("_own.*")])
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000) -> DataFrame:
     """The cascade's verdict beside the base metrics, which are wanted for all rows here and so feed the rules too."""
     ordered = order_rules(docs, text_col, RULES, sample_rows)
     df = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    for stage in _words("_b_") + ((("_b_c", RULES[4].stages[-1][0][1]), ("_b_y", _count("#*$%&|<>")), ("_b_l", RULES[5].stages[0][0][1])),) + ((("_b_d", "CAST(size(_b_l) - size(array_distinct(_b_l)) AS BIGINT)"),),) + _repeats("_b_"):
+    base_stages = _WORDS + _CHARS + _SYMBOLS + _LINES + _REPEATS
+    for stage in base_stages:
         df = df.withColumns({name: F.expr(sql.replace("{t}", "_text")) for name, sql in stage})
-    shared = {f"_{r}_{c}": f"CASE WHEN _verdict IS NULL THEN _b_{m} END" for r, c, m in (("fw", "n", "n"), ("rw", "n", "n"), ("rw", "r", "r"), ("sy", "n", "n"), ("sy", "c", "y"), ("ex", "n", "n"), ("wl", "n", "n"), ("wl", "c", "c"), ("rl", "l", "l"), ("rl", "d", "d"))}
-    skip = {f"_{r}_{c}": "CAST(NULL AS STRING)" for r in ("fw", "rw", "sy", "ex", "wl") for c in "whsp"}
-    out = _run(df, ordered, "_text", skip | shared)
-    failed = F.expr("_b_n < 50 OR 100 * _b_r > 50 * _b_n")
-    return out.select(
-        id_col, F.col("_b_n").alias("n_words"), F.col("_b_c").alias("word_chars"), F.col("_b_y").alias("n_symbols"), F.col("_b_d").alias("n_dup_lines"), F.col("_b_r").alias("n_repeat_words"),
-        failed.alias("base_failed"), F.col("_verdict").isNull().alias("kept"), F.col("_verdict").alias("rejected_by"),
-    )
+    out = _run(df, ordered, "_text", tuple(name for stage in base_stages for name, _ in stage))
+    failed = F.expr("_n < 50 OR 100 * _r > 50 * _n")
+    base = (("n", "n_words"), ("c", "word_chars"), ("y", "n_symbols"), ("d", "n_dup_lines"), ("r", "n_repeat_words"))
+    return _verdicts(out, [F.col(id_col), *(F.col(f"_{m}").alias(name) for m, name in base), failed.alias("base_failed")])
