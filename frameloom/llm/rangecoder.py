@@ -200,7 +200,7 @@ def decode_blocks(data: memoryview, ids: np.ndarray, counts: np.ndarray) -> np.n
             lo, rg = low[live], rng[live]
             go = _settle(lo, rg)
             live, lo, rg = live[go], lo[go], rg[go]
-            code[live] = code[live] << _U(16) | words[live, used[live]].astype(_U)
+            code[live] = code[live] << _U(16) | words[live, np.minimum(used[live], words.shape[1] - 1)].astype(_U)  # a broken file may ask for more
             used[live] += 1
             low[live], rng[live] = lo << _U(16), rg << _U(16)
         model.update(n, x)
