@@ -118,8 +118,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, m: int, r: in
 
 
 def _bands(reps: DataFrame, m: int, r: int) -> DataFrame:
-    """(id, a, b): m rows for each document, a names the table row i and its hash A_i, b holds B_1..B_m."""
-    schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.list_(pa.int32()))])
+    """(id, i, a, b): m rows for each document, a is the hash A_i, b holds B_1..B_m."""
+    schema = pa.schema([("id", pa.int64()), ("i", pa.int32()), ("a", pa.int64()), ("b", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
@@ -131,22 +131,22 @@ def _bands(reps: DataFrame, m: int, r: int) -> DataFrame:
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             b = np.repeat((h[:, m:] >> np.uint64(32)).astype(np.uint32).view(np.int32), m, axis=0)
-            yield batch_of(schema, np.repeat(ids, m), h[:, :m].reshape(-1).view(np.int64), pa.ListArray.from_arrays(np.arange(0, b.size + 1, m, dtype=np.int32), pa.array(b.reshape(-1))))
+            yield batch_of(schema, np.repeat(ids, m), np.tile(np.arange(m, dtype=np.int32), len(ids)), h[:, :m].reshape(-1).view(np.int64), pa.ListArray.from_arrays(np.arange(0, b.size + 1, m, dtype=np.int32), pa.array(b.reshape(-1))))
 
-    return map_arrow(reps.select("id", "sig"), run, "id long, a long, b array<int>")
+    return map_arrow(reps.select("id", "sig"), run, "id long, i int, a long, b array<int>")
 
 
 def table_rows(reps: DataFrame, m: int, r: int) -> DataFrame:
-    """(key, id) for the keys of the m * m tables that at least two documents share.
+    """(key, id, i, j, lead, n) for the keys of the m * m tables that at least two documents share.
 
     A_i that one document alone has can't lead to a shared key, so those are set aside before the pairs are formed.
     """
     rows = materialize(_bands(reps, m, r), "bands")
     common = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    keys = rows.join(common, "a", "left_semi").select("id", "a", F.posexplode("b").alias("j", "b")).select("id", F.xxhash64("a", "j", "b").alias("key"))
+    keys = rows.join(common, "a", "left_semi").select("id", "i", "a", F.posexplode("b").alias("j", "b")).select("id", "i", "j", F.xxhash64("a", "j", "b").alias("key"))
     keys = materialize(keys, "keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    return materialize(keys.join(shared, "key").select("key", "id", "lead", "n"), "tables")
+    return materialize(keys.join(shared, "key").select("key", "id", "i", "j", "lead", "n"), "tables")
 
 
 def verify(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,28 +169,49 @@ def verify(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return map_arrow(joined, run, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame, sigs: DataFrame, m: int, r: int, percent: int, block: int = 512) -> DataFrame:
-    """Pairs in one table row whose documents are still in different components, after the estimate's filter.
+def wide_sketch(texts: DataFrame, size: int, width: int) -> DataFrame:
+    """(id, wide): the low bytes of `width` minima of each text's set."""
+    schema = pa.schema([("id", pa.int64()), ("wide", pa.binary())])
 
-    rows: key, id, lead, comp. Pairs with the lead were verified before. Keys with more than block rows are cut into
-    blocks that meet pairwise, so a task never holds more than two of them.
+    def run(batches):
+        for b in slices(batches, "text"):
+            found = signatures(shingle_sets(b.column("text").to_pylist(), size), width).astype(np.uint8)
+            yield batch_of(schema, b.column("id"), [row.tobytes() for row in found])
+
+    return map_arrow(texts.select("id", "text"), run, "id long, wide binary")
+
+
+def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: int, size: int, percent: int, block: int = 512, width: int = 256) -> DataFrame:
+    """Pairs with a common key whose documents are still in different components, after the estimates' filters.
+
+    rows: key, id, i, j, lead, comp. Pairs with the lead were verified before. Only keys with several components are
+    left here, and only their documents get a wide sketch, which rules out nearly all pairs that merely share a passage.
+    A pair comes from the first table that both are in alone. Keys with more than block rows are cut into blocks that
+    meet pairwise, so a task never holds more than two of them.
     """
-    n_min = 2 * m * r
-    least = n_min * percent / 100 - 4 * (n_min * percent / 100 * (1 - percent / 100)) ** 0.5
+    need = percent / 100
+    least = lambda n: n * need - 4 * (n * need * (1 - need)) ** 0.5
+    narrow, broad = least(2 * m * r), least(width)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 2").select("key", "rows")
-    left = rows.where("id <> lead").join(mixed, "key").withColumn("nb", F.ceil(F.col("rows") / block).cast("int"))
+    left = materialize(rows.where("id <> lead").join(mixed, "key").drop("lead"), "mixed")
+    wide = materialize(wide_sketch(texts.join(left.select("id").distinct(), "id", "left_semi"), size, width), "wide")
+    left = left.withColumn("nb", F.ceil(F.col("rows") / block).cast("int"))
     left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    left = left.join(sigs.select("id", "sig", "n_shingles"), "id")
+    left = left.join(sigs.select("id", "sig", "n_shingles"), "id").join(wide, "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select(F.xxhash64("key", F.least("bl", "other"), F.greatest("bl", "other")).alias("cell"), "key", "id", "comp", "sig", "n_shingles")
+    left = left.select(F.xxhash64("key", F.least("bl", "other"), F.greatest("bl", "other")).alias("cell"), "i", "j", "id", "comp", "sig", "wide", "n_shingles")
     dealt = left.repartition("cell").sortWithinPartitions("cell", "id")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(ids, comp, sig, n):
+    def pairs(i, j, ids, comp, n, sig, wide):
+        halves = sig.reshape(len(ids), 2, m, r)
         for k in range(len(ids) - 1):
-            same = (sig[k + 1 :] == sig[k]).sum(axis=1) >= least
-            fits = (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])) & (comp[k + 1 :] != comp[k])
-            hit = np.flatnonzero(same & fits) + k + 1
+            hit = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))) + k + 1
+            hit = hit[(sig[hit] == sig[k]).sum(axis=1) >= narrow]
+            hit = hit[(wide[hit] == wide[k]).sum(axis=1) >= broad]
+            if len(hit):
+                same = (halves[hit] == halves[k]).all(axis=3)
+                hit = hit[(same[:, 0].argmax(axis=1) == i) & (same[:, 1].argmax(axis=1) == j) & same.any(axis=2).all(axis=1)]
             if len(hit):
                 yield np.full(len(hit), ids[k]), ids[hit]
 
@@ -198,24 +219,22 @@ def cross_pairs(rows: DataFrame, sigs: DataFrame, m: int, r: int, percent: int,
         held: list = []
 
         def close():
-            ids, comp, n = (np.concatenate([h[i] for h in held]) for i in (1, 2, 4))
-            sig = np.concatenate([h[3] for h in held])
-            found = list(pairs(ids, comp, sig, n))
+            arrays = [np.concatenate([h[x] for h in held]) for x in range(3, 8)]
+            found = list(pairs(*held[0][1:3], *arrays))
             if found:
                 yield batch_of(out, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = batch.column("cell").to_numpy()
+            cell, i, j, ids, comp, n = (batch.column(c).to_numpy() for c in ("cell", "i", "j", "id", "comp", "n_shingles"))
             cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
-            ids, comp, n = (batch.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(cell), -1)
+            sig, wide = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(cell), -1) for c, kind in (("sig", "<u4"), ("wide", "u1")))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and held[0][0] != cell[lo]:
                     yield from close()
                     held = []
-                held.append((cell[lo], ids[lo:hi], comp[lo:hi], sig[lo:hi], n[lo:hi]))
+                held.append((cell[lo], i[lo], j[lo], *(x[lo:hi] for x in (ids, comp, n, sig, wide))))
         if held:
             yield from close()
 
@@ -243,8 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(verify(stars, texts, size, percent), "links")
     comps = connected_components(links)
     # documents of one key that are in different components so far
-    placed = tables.join(comps, tables.id == comps.node, "left").select("key", "id", "lead", F.coalesce("component", "id").alias("comp"))
-    more = materialize(cross_pairs(placed, reps, m, r, percent), "cross")
+    placed = tables.join(comps, tables.id == comps.node, "left").select("key", "id", "i", "j", "lead", F.coalesce("component", "id").alias("comp"))
+    more = materialize(cross_pairs(placed, reps, texts, m, r, size, percent), "cross")
     found = materialize(verify(more, texts, size, percent), "links")
     if not found.isEmpty():
         comps = connected_components(links.union(found))
