@@ -181,7 +181,7 @@ def wide_sketch(texts: DataFrame, size: int, width: int) -> DataFrame:
     return map_arrow(texts.select("id", "text"), run, "id long, wide binary")
 
 
-def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: int, size: int, percent: int, block: int = 512, width: int = 256) -> DataFrame:
+def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: int, size: int, percent: int, block: int = 512, width: int = 1024) -> DataFrame:
     """Pairs with a common key whose documents are still in different components, after the estimates' filters.
 
     rows: key, id, i, j, lead, comp. Pairs with the lead were verified before. Only keys with several components are
