@@ -132,13 +132,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 class TokenCache:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct run between single spaces once.
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct run of text once.
 
-    A single space between two non-space characters always starts a new pre-token in this family of patterns, so a
-    text's ids are those of its runs, one after another. Runs are encoded by the library; at most max_runs stay cached.
+    In this family of patterns a single space, or a single line feed, between two non-space characters always starts a
+    new pre-token, so a text's ids are those of its runs, one after another. A run is kept by its text without that
+    space, or with that line feed; a text's first run, which has neither, is marked by FIRST. New runs are encoded by
+    the library many at a time, as one text: the only tokens in it that start with a space or are a line feed are the
+    runs' first ones. Runs with other white space inside are encoded by themselves. At most max_runs stay cached.
     """
 
-    def __init__(self, path: str, max_runs: int = 600_000):
+    FIRST = "\x00\n"
+
+    def __init__(self, path: str, max_runs: int = 1_200_000):
         import re
 
         from tokenizers import Tokenizer
@@ -147,22 +152,47 @@ class TokenCache:
         self.tokenizer, self.runs, self.max_runs = Tokenizer.from_file(path), {}, max_runs
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.split = re.compile(r"(?<=\S) (?=\S)").split
+        self.blanks = re.compile(r"\s\s|^\s|\s$").search  # where a run's border may not be one
+        self.split = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)").split
+        self.plain = re.compile(r"\n?\S+").fullmatch
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.starts = np.array([n[:1] == "\u0120" or n == "\u010a" for n in names])
+
+    def _parts(self, text: str) -> list[str]:
+        parts = self.split(text) if self.blanks(text) else text.replace("\n", " \n").split(" ")
+        parts[0] = self.FIRST + parts[0]
+        return parts
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [r for r in new if self.plain(r)]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            found = self.tokenizer.encode("".join([r if r[0] == "\n" else " " + r for r in some]), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(some) or at[0]:
+                self._alone(some)
+                continue
+            raw, cuts = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+            self.runs.update(zip(some, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        if len(plain) < len(new):
+            self._alone([r for r in new if not self.plain(r)])
+
+    def _alone(self, runs: list[str]) -> None:
+        texts = [r[2:] if r.startswith(self.FIRST) else r if r[:1] == "\n" else " " + r for r in runs]
+        for r, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.runs[r] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian uint32 bytes, one string for each text."""
-        parts = [self.split(t) for t in texts]
-        for p in parts:
-            p[0] = "\n" + p[0]  # no other run starts with white space; marks a run without its space
+        parts = [self._parts(t) for t in texts]
         if len(self.runs) > self.max_runs:
             self.runs.clear()
         runs = self.runs
-        new = list({r for p in parts for r in p if r not in runs})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([r[1:] if r[0] == "\n" else " " + r for r in some], add_special_tokens=False)
-            for r, e in zip(some, found, strict=True):
-                runs[r] = np.array(e.ids, dtype="<u4").tobytes()
+        new = {r for p in parts for r in p}.difference(runs)
+        if new:
+            self._learn(list(new))
         return [b"".join([runs[r] for r in p]) for p in parts]
 
 
