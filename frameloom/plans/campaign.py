@@ -1,0 +1,46 @@
+"""The adaptive loop with a toy propagator: a biased walk driven into a sink by a weighted ensemble."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import binning, ensemble
+
+
+def biased_walk(walkers: DataFrame, iteration: int, steps: int = 4, drift: float = -0.3, noise: float = 1.0, seed: int = 42) -> DataFrame:
+    """(walker, weight, frame, x): each walker moved `steps` frames, reflected at 0; seeds are the walkers' own."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for w, weight, x in zip(pdf.walker, pdf.weight, pdf.x, strict=True):
+                rng = np.random.default_rng((seed + iteration * 100003 + int(w) * 1009) % 2147483647 or 1)
+                for k in range(steps):
+                    x = abs(x + drift + noise * rng.standard_normal())
+                    rows.append((w, weight, k, x))
+            yield pd.DataFrame(rows, columns=["walker", "weight", "frame", "x"])
+
+    return walkers.select("walker", "weight", "x").mapInPandas(run, "walker long, weight double, frame long, x double")
+
+
+def run_walk(spark: SparkSession, n_walkers: int = 40, iterations: int = 10, sink: float = 10.0, bins: int = 10) -> DataFrame:
+    """Iterations of propagate, recycle, bin, resample. The ensemble (n_walkers rows) is the only state between two."""
+    state = [(k, 1 / n_walkers, 0.0) for k in range(n_walkers)]
+    log = []
+    for it in range(iterations):
+        walkers = spark.createDataFrame(state, "walker long, weight double, x double")
+        ends = ensemble.endpoints(biased_walk(walkers, it), ["x", "weight"])
+        back = ensemble.recycle(ends, ["x"], [(sink, float("inf"))], [0.0])
+        binned = binning.uniform_cells(back, ["x"], [bins], {"x": (0.0, sink)}).persist()
+        flux = binned.agg(F.sum(F.when(F.col("recycled"), F.col("weight")).otherwise(F.lit(0.0))).alias("f"), F.avg("x").alias("m"), F.count("*").alias("n")).first()
+        new = ensemble.resample(binned, "cell", ensemble.slots(binned, "cell", n_walkers), it)
+        at = {r["walker"]: r["x"] for r in binned.select("walker", "x").collect()}
+        state = [(k, r["weight"], at[r["parent_walker"]]) for k, r in enumerate(new.orderBy("cell", "parent_walker", "weight").collect())]
+        binned.unpersist()
+        if abs(sum(w for _, w, _ in state) - 1) > 1e-9:
+            raise AssertionError("the ensemble's weight isn't conserved")
+        log.append((it, flux["n"], flux["m"], flux["f"]))
+    return spark.createDataFrame(log, "iteration int, walkers long, mean_x double, flux double")
