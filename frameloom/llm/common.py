@@ -152,7 +152,6 @@ class TokenCache:
         self.tokenizer, self.runs, self.max_runs = Tokenizer.from_file(path), {}, max_runs
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.blanks = re.compile(r"\s\s|^\s|\s$").search  # where a run's border may not be one
         self.split = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)").split
         self.plain = re.compile(r"\n?\S+").fullmatch
         size = self.tokenizer.get_vocab_size()
@@ -160,7 +159,11 @@ class TokenCache:
         self.starts = np.array([n[:1] == "\u0120" or n == "\u010a" for n in names])
 
     def _parts(self, text: str) -> list[str]:
-        parts = self.split(text) if self.blanks(text) else text.replace("\n", " \n").split(" ")
+        spaced = text.replace("\n", " ")
+        if spaced.isprintable() and "  " not in spaced and spaced[:1] != " " != spaced[-1:]:  # no other white space, and each alone
+            parts = text.replace("\n", " \n").split(" ")
+        else:
+            parts = self.split(text)
         parts[0] = self.FIRST + parts[0]
         return parts
 
@@ -168,8 +171,8 @@ class TokenCache:
         plain = [r for r in new if self.plain(r)]
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
-            found = self.tokenizer.encode("".join([r if r[0] == "\n" else " " + r for r in some]), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
+            text = "".join([r if r[0] == "\n" else " " + r for r in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) != len(some) or at[0]:
                 self._alone(some)
@@ -189,11 +192,19 @@ class TokenCache:
         parts = [self._parts(t) for t in texts]
         if len(self.runs) > self.max_runs:
             self.runs.clear()
-        runs = self.runs
-        new = {r for p in parts for r in p}.difference(runs)
-        if new:
-            self._learn(list(new))
-        return [b"".join([runs[r] for r in p]) for p in parts]
+        get = self.runs.get
+        found = [list(map(get, p)) for p in parts]
+        late = []  # where runs are new: text, place
+        for k, f in enumerate(found):
+            at = -1
+            for _ in range(f.count(None)):
+                at = f.index(None, at + 1)
+                late.append((k, at))
+        if late:
+            self._learn(list({parts[k][at] for k, at in late}))
+            for k, at in late:
+                found[k][at] = get(parts[k][at])
+        return list(map(b"".join, found))
 
 
 _CACHES: dict[str, TokenCache] = {}
