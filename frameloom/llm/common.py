@@ -136,14 +136,14 @@ class TokenCache:
 
     In this family of patterns a single space, or a single line feed, between two non-space characters always starts a
     new pre-token, so a text's ids are those of its runs, one after another. A run is kept by its text without that
-    space, or with that line feed; a text's first run, which has neither, is marked by FIRST. New runs are encoded by
+    space, or with that line feed; a text's first run, which has neither, gets a line feed whose id is cut off, or is marked by FIRST. New runs are encoded by
     the library many at a time, as one text: the only tokens in it that start with a space or are a line feed are the
     runs' first ones. Runs with other white space inside are encoded by themselves. At most max_runs stay cached.
     """
 
     FIRST = "\x00\n"
 
-    def __init__(self, path: str, max_runs: int = 1_200_000):
+    def __init__(self, path: str, max_runs: int = 1_800_000):
         import re
 
         from tokenizers import Tokenizer
@@ -156,16 +156,17 @@ class TokenCache:
         self.plain = re.compile(r"\n?\S+").fullmatch
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.feed = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) == 1
         self.starts = np.array([n[:1] == "\u0120" or n == "\u010a" for n in names])
 
-    def _parts(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> tuple[list[str], int]:
+        """A text's runs, and how many bytes of their ids' start aren't the text's: of a line feed put before it."""
         spaced = text.replace("\n", " ")
-        if spaced.isprintable() and "  " not in spaced and spaced[:1] != " " != spaced[-1:]:  # no other white space, and each alone
-            parts = text.replace("\n", " \n").split(" ")
-        else:
-            parts = self.split(text)
+        if text and self.feed and spaced.isprintable() and "  " not in spaced and spaced[:1] != " " != spaced[-1:]:  # no other white space, and each alone
+            return ("\n" + text.replace("\n", " \n")).split(" "), 4 * self.feed
+        parts = self.split(text)
         parts[0] = self.FIRST + parts[0]
-        return parts
+        return parts, 0
 
     def _learn(self, new: list[str]) -> None:
         plain = [r for r in new if self.plain(r)]
@@ -189,7 +190,8 @@ class TokenCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian uint32 bytes, one string for each text."""
-        parts = [self._parts(t) for t in texts]
+        cut = [self._parts(t) for t in texts]
+        parts = [c[0] for c in cut]
         if len(self.runs) > self.max_runs:
             self.runs.clear()
         get = self.runs.get
@@ -204,6 +206,8 @@ class TokenCache:
             self._learn(list({parts[k][at] for k, at in late}))
             for k, at in late:
                 found[k][at] = get(parts[k][at])
+        for f, (_, skip) in zip(found, cut, strict=True):
+            f[0] = f[0][skip:]
         return list(map(b"".join, found))
 
 
