@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_arrow, slices
+from .common import KEPT, batch_of, map_arrow, slices
 
 #: White space as the vocabulary's normaliser knows it; Python's \s has four control characters more.
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -185,13 +185,10 @@ class WordBPE:
         return " ".join(self.names[i] for i in np.frombuffer(ids, "<u4").tolist())
 
 
-_ENCODERS: dict[str, WordBPE] = {}
-
-
 def encoder(path: str) -> WordBPE:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordBPE(path)
-    return _ENCODERS[path]
+    if path not in KEPT:
+        KEPT[path] = WordBPE(path)
+    return KEPT[path]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -215,4 +212,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
             else:
                 yield batch_of(schema, b.column("id"), [f[0] for f in found], [f[1] for f in found])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, ddl).withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, ddl, keep=vocabulary).withColumnRenamed("id", id_col)

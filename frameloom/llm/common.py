@@ -51,9 +51,20 @@ def ship(spark: SparkSession) -> None:
     sc._frameloom_shipped = True
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+#: What a worker process keeps between its tasks, by a name of its own.
+KEPT: dict = {}
+
+
+def map_arrow(df: DataFrame, fn, schema, keep: str | None = None) -> DataFrame:
+    """mapInArrow; a task drops what earlier tasks of its worker kept, but for the entry that it names itself."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        for name in [k for k in KEPT if k != keep]:
+            del KEPT[name]
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -138,18 +149,19 @@ class TokenCache:
     new pre-token, so a text's ids are those of its runs, one after another. A run is kept by its text without that
     space, or with that line feed; a text's first run, which has neither, gets a line feed whose id is cut off, or is marked by FIRST. New runs are encoded by
     the library many at a time, as one text: the only tokens in it that start with a space or are a line feed are the
-    runs' first ones. Runs with other white space inside are encoded by themselves. At most max_runs stay cached.
+    runs' first ones. Runs with other white space inside are encoded by themselves. At most max_runs stay cached,
+    in two generations: when the young half is full it becomes the old one, from which runs still in use are taken over.
     """
 
     FIRST = "\x00\n"
 
-    def __init__(self, path: str, max_runs: int = 1_800_000):
+    def __init__(self, path: str, max_runs: int = 800_000):
         import re
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.runs, self.max_runs = Tokenizer.from_file(path), {}, max_runs
+        self.tokenizer, self.runs, self.old, self.max_runs = Tokenizer.from_file(path), {}, {}, max_runs
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.split = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)").split
@@ -192,8 +204,8 @@ class TokenCache:
         """Ids as little-endian uint32 bytes, one string for each text."""
         cut = [self._parts(t) for t in texts]
         parts = [c[0] for c in cut]
-        if len(self.runs) > self.max_runs:
-            self.runs.clear()
+        if 2 * len(self.runs) > self.max_runs:
+            self.runs, self.old = {}, self.runs
         get = self.runs.get
         found = [list(map(get, p)) for p in parts]
         late = []  # where runs are new: text, place
@@ -203,7 +215,16 @@ class TokenCache:
                 at = f.index(None, at + 1)
                 late.append((k, at))
         if late:
-            self._learn(list({parts[k][at] for k, at in late}))
+            known = self.old.get
+            new = []
+            for r in {parts[k][at] for k, at in late}:
+                ids = known(r)
+                if ids is None:
+                    new.append(r)
+                else:
+                    self.runs[r] = ids
+            if new:
+                self._learn(new)
             for k, at in late:
                 found[k][at] = get(parts[k][at])
         for f, (_, skip) in zip(found, cut, strict=True):
@@ -211,11 +232,8 @@ class TokenCache:
         return list(map(b"".join, found))
 
 
-_CACHES: dict[str, TokenCache] = {}
-
-
 def token_cache(path: str) -> TokenCache:
-    """One cache for each worker process and vocabulary."""
-    if path not in _CACHES:
-        _CACHES[path] = TokenCache(path)
-    return _CACHES[path]
+    """One cache for each worker process and vocabulary; map_arrow's keep is the vocabulary's path."""
+    if path not in KEPT:
+        KEPT[path] = TokenCache(path)
+    return KEPT[path]

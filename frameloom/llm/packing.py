@@ -105,7 +105,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = f"sequence_id long, used long, open boolean, pieces array<struct<{PIECE}>>"
-    windows = materialize(map_arrow(rows, run, schema), "windows")
+    windows = materialize(map_arrow(rows, run, schema, keep=vocabulary), "windows")
     return windows.where("NOT open").drop("open").unionByName(merge_leftovers(windows.where("open"), capacity).drop("open"))
 
 

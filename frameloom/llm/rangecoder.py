@@ -270,7 +270,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
         if ids:
             yield batch_of(schema, [bucket], [seq], [size], [encode_file(ids, found)])
 
-    map_arrow(dealt, run, "bucket int, seq int, n_tokens long, data binary").write.option("compression", "none").parquet(path)
+    map_arrow(dealt, run, "bucket int, seq int, n_tokens long, data binary", keep=vocabulary).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
