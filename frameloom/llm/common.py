@@ -51,6 +51,18 @@ def ship(spark: SparkSession) -> None:
     sc._frameloom_shipped = True
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 #: What a worker process keeps between its tasks, by a name of its own.
 KEPT: dict = {}
 
@@ -60,8 +72,10 @@ def map_arrow(df: DataFrame, fn, schema, keep: str | None = None) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches):
-        for name in [k for k in KEPT if k != keep]:
-            del KEPT[name]
+        if others := [k for k in KEPT if k != keep]:
+            for name in others:
+                del KEPT[name]
+            _give_back()
         yield from fn(batches)
 
     return df.mapInArrow(run, schema)
@@ -155,7 +169,7 @@ class TokenCache:
 
     FIRST = "\x00\n"
 
-    def __init__(self, path: str, max_runs: int = 800_000):
+    def __init__(self, path: str, max_runs: int = 500_000):
         import re
 
         from tokenizers import Tokenizer

@@ -189,8 +189,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         model, known, table = sent.value, {}, np.zeros((0, max(1, len(sent.value.languages))), np.float32)
-        for b in slices(batches, "_text", 4 << 20):
-            if len(known) > 300_000:
+        for b in slices(batches, "_text", 3 << 20):
+            if len(known) > 150_000:
                 known, table = {}, table[:0]
             texts = [t or "" for t in b.column("_text").to_pylist()]
             found = [WORD.findall(t.lower()) for t in texts]
