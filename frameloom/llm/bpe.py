@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """Encoder and decoder for a tokenizers JSON file whose normaliser drops white space and whose words end in a suffix."""
 
-    def __init__(self, path: str, max_runs: int = 400_000):
+    def __init__(self, path: str, max_runs: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,6 +69,7 @@ class WordBPE:
         self.proposals = {t: i for t, i in self.vocab.items() if sound[i]}
         self.longest = max(map(len, self.proposals))
         self.runs: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.max_runs, self.checked, self.failed = max_runs, 0, 0
 
     def borders_stand(self, a: np.ndarray, b: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
@@ -167,18 +168,34 @@ class WordBPE:
             self.runs[r] = (np.array(own, "<u4").tobytes(), " ".join(self.names[i] for i in own))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids as little-endian uint32 bytes and its decoded text. At most max_runs runs stay cached."""
+        """For each text its ids as little-endian uint32 bytes and its decoded text.
+
+        At most max_runs runs stay cached, in two generations: when the young half is full it becomes the old one, from
+        which runs still in use are taken over.
+        """
+        if 2 * len(self.runs) > self.max_runs:
+            self.runs, self.old = {}, self.runs
+        get, known = self.runs.get, self.old.get
         parts = [[r for r in BLANK.split(t) if r] for t in texts]
-        if len(self.runs) > self.max_runs:
-            self.runs.clear()
-        new = list({r for p in parts for r in p if r not in self.runs})
+        found = [list(map(get, p)) for p in parts]
+        late = []  # where runs are new: text, place
+        for k, f in enumerate(found):
+            at = -1
+            for _ in range(f.count(None)):
+                at = f.index(None, at + 1)
+                late.append((k, at))
+        new = []
+        for r in {parts[k][at] for k, at in late}:
+            own = known(r)
+            if own is None:
+                new.append(r)
+            else:
+                self.runs[r] = own
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
-        out = []
-        for p in parts:
-            found = [self.runs[r] for r in p]
-            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
-        return out
+        for k, at in late:
+            found[k][at] = get(parts[k][at])
+        return [(b"".join([f[0] for f in own]), " ".join([f[1] for f in own if f[1]])) for own in found]
 
     def decode(self, ids: bytes) -> str:
         """Tokens' names, one space between two: the file has no decoder."""
