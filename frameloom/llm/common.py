@@ -156,6 +156,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return both.selectExpr("v AS node", "u AS component").union(both.selectExpr("u AS node", "u AS component").distinct())
 
 
+def joined_runs(lists: pa.Array, look_up) -> list[list[bytes]]:
+    """For lists of strings, the joined values of each list's strings; look_up maps distinct strings to columns of values.
+
+    Only distinct strings become Python objects: Arrow encodes them as a dictionary and takes the values by its indices.
+    """
+    coded = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    out = []
+    for values in look_up(coded.dictionary.to_pylist()):
+        taken = pa.array(values, pa.large_binary()).take(coded.indices)
+        _, ends, raw = taken.buffers()
+        cuts = np.frombuffer(ends, np.int64, taken.offset + len(taken) + 1)[taken.offset :][bounds].tolist() if len(taken) else [0] * len(bounds)
+        raw = memoryview(raw or b"")
+        out.append([bytes(raw[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+    return out
+
+
+def known_runs(cache, runs: list[str]) -> list:
+    """Values of distinct runs from a cache of two generations; runs of the old one move to the young, new ones are learnt."""
+    found = list(map(cache.runs.get, runs))
+    late, new, known = [k for k, v in enumerate(found) if v is None], [], cache.old.get
+    for k in late:
+        value = known(runs[k])
+        if value is None:
+            new.append(runs[k])
+        else:
+            cache.runs[runs[k]] = value
+    if new:
+        cache._learn(new)
+    for k in late:
+        found[k] = cache.runs[runs[k]]
+    return found
+
+
 class TokenCache:
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct run of text once.
 
@@ -185,14 +219,15 @@ class TokenCache:
         self.feed = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) == 1
         self.starts = np.array([n[:1] == "\u0120" or n == "\u010a" for n in names])
 
-    def _parts(self, text: str) -> tuple[list[str], int]:
-        """A text's runs, and how many bytes of their ids' start aren't the text's: of a line feed put before it."""
+    def _is_plain(self, text: str) -> bool:
+        """No white space but spaces and line feeds, each alone and between others."""
         spaced = text.replace("\n", " ")
-        if text and self.feed and spaced.isprintable() and "  " not in spaced and spaced[:1] != " " != spaced[-1:]:  # no other white space, and each alone
-            return ("\n" + text.replace("\n", " \n")).split(" "), 4 * self.feed
+        return bool(text) and self.feed and spaced.isprintable() and "  " not in spaced and spaced[0] != " " != spaced[-1]
+
+    def _parts(self, text: str) -> list[str]:
         parts = self.split(text)
         parts[0] = self.FIRST + parts[0]
-        return parts, 0
+        return parts
 
     def _learn(self, new: list[str]) -> None:
         plain = [r for r in new if self.plain(r)]
@@ -216,34 +251,22 @@ class TokenCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian uint32 bytes, one string for each text."""
-        cut = [self._parts(t) for t in texts]
-        parts = [c[0] for c in cut]
         if 2 * len(self.runs) > self.max_runs:
             self.runs, self.old = {}, self.runs
-        get = self.runs.get
-        found = [list(map(get, p)) for p in parts]
-        late = []  # where runs are new: text, place
-        for k, f in enumerate(found):
-            at = -1
-            for _ in range(f.count(None)):
-                at = f.index(None, at + 1)
-                late.append((k, at))
-        if late:
-            known = self.old.get
-            new = []
-            for r in {parts[k][at] for k, at in late}:
-                ids = known(r)
-                if ids is None:
-                    new.append(r)
-                else:
-                    self.runs[r] = ids
-            if new:
-                self._learn(new)
-            for k, at in late:
-                found[k][at] = get(parts[k][at])
-        for f, (_, skip) in zip(found, cut, strict=True):
-            f[0] = f[0][skip:]
-        return list(map(b"".join, found))
+        out, plain, odd = [b""] * len(texts), [], []
+        for k, t in enumerate(texts):
+            (plain if self._is_plain(t) else odd).append(k)
+        if plain:
+            marked = pa.array(["\n" + texts[k].replace("\n", " \n") for k in plain], pa.large_string())
+            for k, ids in zip(plain, joined_runs(pc.split_pattern(marked, " "), self._look_up)[0], strict=True):
+                out[k] = ids[4:]  # without the line feed put before it
+        if odd:
+            for k, ids in zip(odd, joined_runs(pa.array([self._parts(texts[k]) for k in odd], pa.list_(pa.large_string())), self._look_up)[0], strict=True):
+                out[k] = ids
+        return out
+
+    def _look_up(self, runs: list[str]) -> tuple[list[bytes]]:
+        return (known_runs(self, runs),)
 
 
 def token_cache(path: str) -> TokenCache:

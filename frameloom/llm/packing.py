@@ -91,7 +91,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         packer, cache, end = OnlinePacker(capacity, n_open), token_cache(vocabulary), end_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 33
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 8 << 20):
             out = []
             for i, ids in zip(b.column("id").to_pylist(), cache.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 ids += end

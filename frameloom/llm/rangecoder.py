@@ -257,7 +257,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     def run(batches):
         cache, end = token_cache(vocabulary), end_id.to_bytes(4, "little")
         bucket, seq, ids, found, size = None, 0, [], [], 0
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 8 << 20):
             for bk, i, x in zip(b.column("bucket").to_pylist(), b.column("id").to_pylist(), cache.encode(b.column("text").to_pylist()), strict=True):
                 if ids and (bk != bucket or size >= file_tokens):
                     yield batch_of(schema, [bucket], [seq], [size], [encode_file(ids, found)])
