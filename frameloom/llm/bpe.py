@@ -14,11 +14,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, batch_of, map_arrow, slices
+from .common import KEPT, batch_of, joined_runs, known_runs, map_arrow, slices
 
 #: White space as the vocabulary's normaliser knows it; Python's \s has four control characters more.
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -48,7 +49,9 @@ class WordBPE:
         self.words = regex.compile(pattern).findall
         self.letters = byte_letters()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {m: k for k, m in enumerate(merges)}
+        same = {t: t for t in self.vocab}  # one string object for each token
+        self.joins = {(same[a], same[b]): (k, same[a + b]) for k, (a, b) in enumerate(merges)}
+        self.none = (len(merges), "")
         size = max(self.vocab.values()) + 1
         #: rank of the merge that makes a token (-1: none), and the two tokens it joins
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
@@ -68,8 +71,8 @@ class WordBPE:
             sound[t] &= sound[self.left[t]] and sound[self.right[t]]
         self.proposals = {t: i for t, i in self.vocab.items() if sound[i]}
         self.longest = max(map(len, self.proposals))
-        self.runs: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.runs: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
         self.max_runs, self.checked, self.failed = max_runs, 0, 0
 
     def borders_stand(self, a: np.ndarray, b: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
@@ -129,14 +132,19 @@ class WordBPE:
 
     def merge(self, symbols: list[str]) -> list[int]:
         """Exact merging: the pair of lowest rank, the leftmost of equals, until none is left."""
-        s, worst = list(symbols), len(self.ranks)
-        while len(s) > 1:
-            ranks = [self.ranks.get(p, worst) for p in zip(s[:-1], s[1:], strict=True)]
-            low = min(ranks)
-            if low == worst:
+        s, join, none = list(symbols), self.joins.get, self.none
+        found = [join(p, none) for p in zip(s[:-1], s[1:], strict=True)]  # (rank, joined) of each pair
+        while found:
+            low = min(found)
+            if low is none:
                 break
-            k = ranks.index(low)
-            s[k : k + 2] = [s[k] + s[k + 1]]
+            k = found.index(low)
+            s[k : k + 2] = [low[1]]
+            del found[k]
+            if k:
+                found[k - 1] = join((s[k - 1], s[k]), none)
+            if k < len(found):
+                found[k] = join((s[k], s[k + 1]), none)
         return [self.vocab[x] for x in s]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -159,13 +167,17 @@ class WordBPE:
         return unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
 
     def _learn(self, runs: list[str]) -> None:
-        """Encode runs without white space and keep their ids and tokens' names."""
+        """Encode runs without white space and keep their ids and tokens' names, a space after each."""
+        for k in range(0, len(runs), 20_000):
+            self._learn_some(runs[k : k + 20_000])
+
+    def _learn_some(self, runs: list[str]) -> None:
         parts = [[x if x in self.special else self.words(self.normalise(x)) for x in self.special_split(r)] for r in runs]
         words = list(dict.fromkeys(w for p in parts for x in p if isinstance(x, list) for w in x))
         ids = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
         for r, p in zip(runs, parts, strict=True):
             own = [i for x in p for i in ([self.special[x]] if isinstance(x, str) else [i for w in x for i in ids[w]])]
-            self.runs[r] = (np.array(own, "<u4").tobytes(), " ".join(self.names[i] for i in own))
+            self.runs[r] = (np.array(own, "<u4").tobytes(), "".join([self.names[i] + " " for i in own]).encode())
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian uint32 bytes and its decoded text.
@@ -175,27 +187,14 @@ class WordBPE:
         """
         if 2 * len(self.runs) > self.max_runs:
             self.runs, self.old = {}, self.runs
-        get, known = self.runs.get, self.old.get
-        parts = [[r for r in BLANK.split(t) if r] for t in texts]
-        found = [list(map(get, p)) for p in parts]
-        late = []  # where runs are new: text, place
-        for k, f in enumerate(found):
-            at = -1
-            for _ in range(f.count(None)):
-                at = f.index(None, at + 1)
-                late.append((k, at))
-        new = []
-        for r in {parts[k][at] for k, at in late}:
-            own = known(r)
-            if own is None:
-                new.append(r)
-            else:
-                self.runs[r] = own
-        for k in range(0, len(new), 20_000):
-            self._learn(new[k : k + 20_000])
-        for k, at in late:
-            found[k][at] = get(parts[k][at])
-        return [(b"".join([f[0] for f in own]), " ".join([f[1] for f in own if f[1]])) for own in found]
+        spaced = [t.replace("\n", " ") for t in texts]
+        spaced = pa.array([t if t.isprintable() else BLANK.sub(" ", t) for t in spaced], pa.large_string())  # of white space, only the space is printable
+        ids, names = joined_runs(pc.split_pattern(spaced, " "), self._look_up)
+        return list(zip(ids, [n[:-1].decode() for n in names], strict=True))
+
+    def _look_up(self, runs: list[str]) -> tuple[list[bytes], list[bytes]]:
+        found = known_runs(self, runs)
+        return [f[0] for f in found], [f[1] for f in found]
 
     def decode(self, ids: bytes) -> str:
         """Tokens' names, one space between two: the file has no decoder."""
@@ -222,7 +221,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def run(batches):
         bpe = encoder(vocabulary)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 4 << 20):
             found = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             if digests:
                 yield batch_of(schema, b.column("id"), [len(f[0]) // 4 for f in found], [hashlib.sha256(f[0]).hexdigest() for f in found], [hashlib.sha256(f[1].encode()).hexdigest() for f in found])
