@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,9 +55,8 @@ def ship(spark: SparkSession) -> None:
 def _give_back() -> None:
     """Return freed memory to the system where the C library can."""
     import ctypes
-    import gc
 
-    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
@@ -75,8 +75,10 @@ def map_arrow(df: DataFrame, fn, schema, keep: str | None = None) -> DataFrame:
         if others := [k for k in KEPT if k != keep]:
             for name in others:
                 del KEPT[name]
+            gc.collect()
             _give_back()
         yield from fn(batches)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
