@@ -112,26 +112,26 @@ def parse(page: str) -> tuple[list[tuple[tuple[Node, ...], str]], list[Node]]:
 def extract(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
     """The page's blocks in order, without furniture and without branches whose path is in low.
 
-    A page with an article or main element that holds text gives that text alone; there low branches are only
-    those that aren't the article's own way to its text.
+    A page with an article or main element that holds text gives that text alone. There the elements down to and with
+    the article are never low, and a block goes when all its text lies in low branches, so that a sentence keeps its
+    inline elements; an article of nothing but low branches stays whole.
     """
     runs, _ = parse(page or "")
-    # with a main element, only text in it counts; the branches on the way down to it are never low
     has_main = any(s[-1].main and not s[-1].removed and t and t.strip() for s, t in runs)
-    blocks, own = [], []
-    for stack, t in runs:
+    blocks, own = [], []  # blocks as (text, whether all of it is low)
+    for stack, t in (*runs, ((), None)):
         if t is None:
-            if own:
-                blocks.append("".join(own))
-                own = []
+            if text := _BLANK.sub(" ", "".join(x for x, _ in own)).strip():
+                blocks.append((text, all(is_low for x, is_low in own if x.strip())))
+            own = []
             continue
         node = stack[-1]
-        if node.removed or has_main and not node.main or not has_main and low and any(x.path in low for x in stack):
+        if node.removed or has_main and not node.main:
             continue
-        own.append(t)
-    if own:
-        blocks.append("".join(own))
-    return " ".join(x for x in (_BLANK.sub(" ", b).strip() for b in blocks) if x)
+        is_low = bool(low) and any(x.path in low for x in stack if not has_main or x.main and x.tag not in MAIN)
+        if has_main or not is_low:
+            own.append((t, is_low))
+    return " ".join([x for x, is_low in blocks if not is_low] or [x for x, _ in blocks])
 
 
 def branches(page: str | None) -> list[tuple[str, int, int]]:

@@ -202,6 +202,14 @@ def test_extract(spark):
     assert style_tree.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_low_branches_inside_article(spark):
+    page = "<html><body><article><h1>Title {k}</h1><div class='box'><p>the same <b>words</b> here</p></div><p>story {k} <b>same</b> end</p></article></body></html>"
+    rows = [(k, "http://h.example/x", page.format(k=k)) for k in range(20)]
+    rows += [(100 + k, "http://copy.example/x", f"<html><head><link href='{k}'></head><body><article><p>one text</p></article><!-- {k} --></body></html>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} story {k} same end" for k in range(20)} | {100 + k: "one text" for k in range(20)}
+
+
 def test_extract_pages(spark):
     import html as h
 
