@@ -143,7 +143,17 @@ def frame_counts(spark, d):
 @query("request walker frame", "SELECT r.request, fr.walker, fr.frame FROM (SELECT range AS request, (range * 37) % 1000 AS idx FROM range(50)) r JOIN (SELECT *, row_number() OVER (ORDER BY walker, frame) - 1 AS idx FROM fr) fr USING (idx)", _FR)
 def positions_by_index(spark, d):
     wanted = spark.range(50).select(F.col("id").alias("request"), ((F.col("id") * 37) % 1000).alias("idx"))
+    return _positions(ev(spark, d), wanted)
+
+
+@query("request walker frame", "SELECT r.request, fr.walker, fr.frame FROM (SELECT range AS request, range * (n - 1) // 49 AS idx FROM range(50), (SELECT count(*) AS n FROM events)) r JOIN (SELECT *, row_number() OVER (ORDER BY walker, frame) - 1 AS idx FROM fr) fr USING (idx)", _FR)
+def positions_whole_range(spark, d):
     per = ev(spark, d)
+    return _positions(per, spark.range(50).crossJoin(F.broadcast(per.agg(F.count("*").alias("total")))).selectExpr("id AS request", "id * (total - 1) div 49 AS idx"))
+
+
+def _positions(per: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Frames at the wanted (request, idx), counted by walker and frame."""
     sizes = per.groupBy("walker").agg(F.count("*").alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("walker").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each walker
     return per.join(base, "walker").withColumn("idx", F.col("base") + F.col("frame")).join(F.broadcast(wanted), "idx").select("request", "walker", "frame")
@@ -599,6 +609,11 @@ def safe_stems(spark, d):
     return S.table(spark, d, "events").where("event_id % 100 = 0").select(X.safe_stem(F.concat("event_type", F.lit(" /"), "props")).alias("stem"))
 
 
+@query("event_id stem!", "SELECT event_id, regexp_replace(event_type || ' /' || props, '[^A-Za-z0-9_.-]+', '_', 'g') AS stem FROM events")
+def safe_stems_all(spark, d):
+    return S.table(spark, d, "events").select("event_id", X.safe_stem(F.concat("event_type", F.lit(" /"), "props")).alias("stem"))
+
+
 @query("step bins", "SELECT * FROM e", "RECURSIVE e AS (SELECT 0 AS step, 30 AS bins UNION ALL SELECT step + 1, least(greatest(CAST(floor(bins * 1.15::DOUBLE) AS INT), bins + 1), 150) FROM e WHERE step < 14)")
 def resolution_escalation(spark, d):
     bins, rows = 30, [(0, 30)]

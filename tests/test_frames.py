@@ -157,6 +157,14 @@ def test_lineage_errors(spark):
         lineage.ancestors_by_doubling(df, max_rounds=8)
 
 
+def test_whole_tables(spark, duck):
+    """Every event gets its stem, and lookups by index reach the last frame."""
+    n, last = duck.sql("SELECT count(*), max(user_id) FROM events").fetchall()[0]
+    assert QUERIES["safe_stems_all"](spark, SF).count() == n
+    rows = {r["request"]: r["walker"] for r in QUERIES["positions_whole_range"](spark, SF).collect()}
+    assert len(rows) == 50 and rows[49] == last
+
+
 def test_history_window(spark):
     df = spark.createDataFrame([(k,) for k in range(5)], "iteration int")
     assert [S.last_iterations(df, w).count() for w in (None, 0, 1, 2, 99)] == [5, 0, 1, 2, 5]
