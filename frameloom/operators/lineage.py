@@ -26,19 +26,22 @@ def to_root(records: DataFrame, start: str, key: str = "frame_key", parent: str
 
 
 def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: str = "parent", max_rounds: int = 40) -> DataFrame:
-    """(frame_key, root, depth) of every record, by pointer doubling: log2(depth) self-joins. A cycle is an error."""
-    known = records.select(F.col(key).alias("k"))
-    hop = records.select(F.col(key).alias("k"), F.col(parent).alias("to")).join(known.select(F.col("k").alias("to")), "to", "left_semi").select("k", "to", F.lit(1).cast("long").alias("d"))
-    done = known.join(hop.select("k"), "k", "left_anti").select("k", F.col("k").alias("root"), F.lit(0).cast("long").alias("depth"))
+    """(frame_key, root, depth) of every record, by pointer doubling: log2(depth) self-joins. A cycle is an error.
+
+    Each round is checkpointed, on the executors when no checkpoint folder is set, so that plans don't grow.
+    """
+    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    rec = records.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    known = rec.select(F.col("k").alias("p"), F.lit(True).alias("known"))
+    inner = F.coalesce("known", F.lit(False))
+    at = keep(rec.join(known, "p", "left").select("k", F.when(inner, F.col("p")).otherwise(F.col("k")).alias("root"), inner.cast("long").alias("depth"), inner.alias("open")))
     for _ in range(max_rounds):
-        hop = hop.checkpoint() if hop.sparkSession.sparkContext.getCheckpointDir() else hop
-        found = hop.join(done.select(F.col("k").alias("to"), "root", "depth"), "to").select("k", "root", (F.col("d") + F.col("depth")).alias("depth"))
-        left = hop.join(found.select("k"), "k", "left_anti")
-        done = done.union(found)
+        left = at.where("open")
         if left.isEmpty():
-            return done.select(F.col("k").alias(key), "root", "depth")
-        b = hop.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        hop = left.join(b, "to").select("k", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"))
+            return at.select(F.col("k").alias(key), "root", "depth")
+        up = at.select(F.col("k").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("open").alias("still"))
+        moved = left.join(up, "root").select("k", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"))
+        at = keep(at.where("NOT open").union(moved))
     raise ValueError("the lineage has a cycle")
 
 

@@ -130,6 +130,11 @@ def lineage_roots(spark, d):
     return lineage.ancestors_by_doubling(rec)
 
 
+@query("frame_key! root! depth")
+def lineage_roots_all(spark, d):
+    return lineage.ancestors_by_doubling(S.with_lineage(ev(spark, d)))
+
+
 @query("walker frame d2", f"SELECT walker, frame, {_sc('d2')} AS d2 FROM (SELECT *, (x - 100.0) * (x - 100.0) + (y - 40.0) * (y - 40.0) AS d2 FROM fr) ORDER BY d2, walker, frame LIMIT 1", _FR)
 def nearest_record(spark, d):
     return lineage.nearest_record(ev(spark, d), ["x", "y"], [100.0, 40.0], ["walker", "frame"]).withColumn("d2", X.scaled("d2"))

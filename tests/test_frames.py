@@ -165,6 +165,21 @@ def test_whole_tables(spark, duck):
     assert len(rows) == 50 and rows[49] == last
 
 
+def test_lineage_roots_of_all_records(spark):
+    up = {r["frame_key"]: r["parent"] for r in QUERIES["frames_view"](spark, SF).collect()}
+
+    def walk(k):
+        depth = 0
+        while up.get(k) in up:
+            k, depth = up[k], depth + 1
+        return k, depth
+
+    got = {r["frame_key"]: (r["root"], r["depth"]) for r in QUERIES["lineage_roots_all"](spark, SF).collect()}
+    assert len(got) == len(up) == 1000 and got == {k: walk(k) for k in up}
+    chain = spark.range(3000).selectExpr("CAST(id AS string) AS frame_key", "CAST(id - 1 AS string) AS parent")
+    assert {(int(r["frame_key"]), r["root"], r["depth"]) for r in lineage.ancestors_by_doubling(chain).collect()} == {(k, "0", k) for k in range(3000)}
+
+
 def test_history_window(spark):
     df = spark.createDataFrame([(k,) for k in range(5)], "iteration int")
     assert [S.last_iterations(df, w).count() for w in (None, 0, 1, 2, 99)] == [5, 0, 1, 2, 5]
