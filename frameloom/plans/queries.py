@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import binning, ensemble, lineage, sequence, spawning, spectral
+from ..operators import binning, ensemble, lineage, scaling, sequence, spawning, spectral
 from ..sources import frames as S
 
 QUERIES: dict = {}
@@ -535,6 +535,20 @@ def robust_scale(spark, d):
     return f.crossJoin(F.broadcast(q)).select("vec_id", X.scaled((F.col("v") - F.col("m")) / (F.col("q3") - F.col("q1")), 5).alias("robust"))
 
 
+_LONG = "l AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query(
+    "vec_id column_no minmax standard robust",
+    f"SELECT vec_id, k AS column_no, {_sc('(v - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END')} AS minmax, {_sc('(v - m) / CASE WHEN hi > lo THEN s ELSE 1 END', 4)} AS standard, {_sc('(v - q2) / CASE WHEN q3 > q1 THEN q3 - q1 ELSE 1 END', 5)} AS robust "
+    "FROM l JOIN (SELECT k, min(v) AS lo, max(v) AS hi, avg(v) AS m, stddev_pop(v) AS s, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY k) USING (k)",
+    _LONG,
+)
+def scale_all_features(spark, d):
+    a = scaling.scale_vectors(_features(spark, d), "v").select("vec_id", F.posexplode(F.arrays_zip(*scaling.KINDS)).alias("column_no", "z"))
+    return a.select("vec_id", "column_no", *(X.scaled(F.col(f"z.{n}"), digits).alias(n) for n, digits in zip(scaling.KINDS, (6, 4, 5), strict=True)))
+
+
 @query("event_id s c", f"SELECT event_id, {_sc('sin(x)', 5)} AS s, {_sc('cos(x)', 5)} AS c FROM fr", _FR)
 def sincos(spark, d):
     a = X.sin_cos(F.array("x"))

@@ -180,6 +180,20 @@ def test_lineage_roots_of_all_records(spark):
     assert {(int(r["frame_key"]), r["root"], r["depth"]) for r in lineage.ancestors_by_doubling(chain).collect()} == {(k, "0", k) for k in range(3000)}
 
 
+def test_scale_vectors(spark):
+    from frameloom.operators import scaling
+
+    v = np.array([[0.0, 5.0, -1.0], [1.0, 5.0, 2.0], [4.0, 5.0, 2.0], [5.0, 5.0, 2.0], [10.0, 5.0, 2.0], [7.0, 5.0, 2.0]])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(9, None)], "id long, v array<double>")
+    got = {r["id"]: r for r in scaling.scale_vectors(df, "v").collect()}
+    q1, q2, q3 = np.percentile(v, [25, 50, 75], axis=0)
+    one = lambda x: np.where(x > 0, x, 1.0)
+    want = {"minmax": (v - v.min(0)) / one(np.ptp(v, 0)), "standard": (v - v.mean(0)) / one(v.std(0)), "robust": (v - q2) / one(q3 - q1)}
+    for n, w in want.items():
+        assert np.allclose([got[k][n] for k in range(len(v))], w) and got[9][n] is None
+    assert QUERIES["scale_all_features"](spark, SF).count() == 64 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
 def test_history_window(spark):
     df = spark.createDataFrame([(k,) for k in range(5)], "iteration int")
     assert [S.last_iterations(df, w).count() for w in (None, 0, 1, 2, 99)] == [5, 0, 1, 2, 5]
