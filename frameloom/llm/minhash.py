@@ -57,9 +57,10 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     starts, words = word_hashes(raw)
     bounds = np.searchsorted(starts, offsets)
     n = len(words)
-    rolled = np.zeros(max(0, n - size + 1), np.uint64)
+    m = max(0, n - size + 1)
+    rolled = np.zeros(m, np.uint64)
     for k in range(size):
-        rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + words[k : n - size + 1 + k])
+        rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + words[k : m + k])
     out = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if hi - lo >= size:

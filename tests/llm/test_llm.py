@@ -309,6 +309,15 @@ def test_near_duplicates(request, name):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+def test_fewer_words_than_a_shingle_in_all(spark):
+    for n in range(1, 7):
+        text = " ".join("abcdef"[:n])
+        alone, beside = minhash.shingle_sets([text]), minhash.shingle_sets([None, text, "g h i j k l"])
+        assert len(alone[0]) == max(1, n - 4) and (alone[0] == beside[1]).all()
+    got = minhash.near_duplicates(spark.createDataFrame([(7, "a b c")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got] == [(7, 1, 7, True)]
+
+
 def test_links_between_others_than_the_lead(spark):
     """Chains whose smallest id links to one end only, beside many documents that share a long passage."""
     rnd = random.Random(3)
