@@ -19,20 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, batch_of, joined_runs, known_runs, map_arrow, slices
+from .common import KEPT, batch_of, byte_letters, joined_runs, known_runs, map_arrow, slices
 
 #: White space as the vocabulary's normaliser knows it; Python's \s has four control characters more.
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for
-    themselves, the others, in order, for the letters from U+0100."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class WordBPE:
     """Encoder and decoder for a tokenizers JSON file whose normaliser drops white space and whose words end in a suffix."""
 

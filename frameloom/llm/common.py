@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import tempfile
 import uuid
 import zipfile
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -200,6 +202,14 @@ def known_runs(cache, runs: list[str]) -> list:
     return found
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for
+    themselves, the others, in order, for the letters from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class TokenCache:
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct run of text once.
 
@@ -208,10 +218,14 @@ class TokenCache:
     space, or with that line feed. A text's first run has neither: in plain texts it gets a line feed whose id is cut
     off, in others it is encoded by itself and never kept. New runs are encoded by the library many at a time, as one
     text: the only tokens in it that start with a space or are a line feed are the runs' first ones. Runs with other
-    white space inside are encoded by themselves. At most max_runs stay cached, in two generations: when the young half
-    is full it becomes the old one, from which runs still in use are taken over.
+    white space inside are encoded by themselves. Where the file's only splitting is the byte-level pattern, a run of
+    Latin letters is one pre-token and goes to the library's model directly, and one mark after them is a pre-token of
+    its own. At most max_runs stay cached, in two generations: when the young half is full it becomes the old one, from
+    which runs still in use are taken over.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str, max_runs: int = 500_000):
         import re
 
@@ -227,13 +241,40 @@ class TokenCache:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.feed = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) == 1
         self.starts = np.array([n[:1] == "\u0120" or n == "\u010a" for n in names])
+        spec = json.loads(self.tokenizer.to_str())
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        pre = spec["pre_tokenizer"] or {}
+        self.direct = not spec["normalizer"] and not spec["post_processor"] and all(pre.get(k) == v for k, v in byte_level.items()) and not any(t["content"].rstrip(self.MARKS).isalpha() for t in spec["added_tokens"])
+        self.marks = dict(zip(self.MARKS, self._alone(list(self.MARKS)), strict=True)) if self.direct else {}
+        self.letters, self.tokens = byte_letters(), self.tokenizer.model.tokenize
 
     def _is_plain(self, text: str) -> bool:
         """No white space but spaces and line feeds, each alone and between others."""
         spaced = text.replace("\n", " ")
         return bool(text) and self.feed and spaced.isprintable() and "  " not in spaced and spaced[0] != " " != spaced[-1]
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters after a space, from the library's model; None for any other."""
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            return None
+        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.tokens("\u0120" + text)]).tobytes()
+
+    def _learn_words(self, new: list[str]) -> list[str]:
+        """Keep the runs that are a word, or a word and one mark; the others are returned."""
+        rest, marks = [], self.marks
+        for r in new:
+            mark = marks.get(r[-1:])
+            own = self._word(r if mark is None else r[:-1])
+            if own is None:
+                rest.append(r)
+            else:
+                self.runs[r] = own if mark is None else own + mark
+        return rest
+
     def _learn(self, new: list[str]) -> None:
+        if self.direct:
+            new = self._learn_words(new)
         plain = [r for r in new if self.plain(r)]
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]

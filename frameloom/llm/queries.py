@@ -54,7 +54,7 @@ def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.placements(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False))
+    return packing.placements(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
