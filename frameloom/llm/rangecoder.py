@@ -1,13 +1,15 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-For each id three models predict: order 2 and order 1 name the id that last followed the same one or two ids in the
-block, order 0 is the file's table of counts. Their predictions are mixed into one distribution, whose weights come from
-counters of how often each model was right at each confidence; these and the contexts start anew in every block. A
-range coder with 64-bit state and 16-bit output codes each id from that distribution. All blocks of a file advance one
-id at a time together, as numpy arrays with a lane for each block, in integer arithmetic only.
-
-File: magic, u32 lengths, then a header (zlib): order-0 counts by id, document ids and lengths; then the blocks, each as
-u32 ids, u32 words, u32 crc32 of its ids, and its 16-bit words.
+Four predictions are mixed for each id. Orders 2 and 1 name the id that last followed the same two ids, or the same one,
+in the block. Order 0 gives each id of the block a share by how lately it was seen (interval coding after Elias, 1987).
+The rest is spread evenly over the alphabet. The shares adapt: those of orders 1 and 2 to how often in a row the context
+guessed right, order 0's to how often it was right in the block. All of it starts anew in every block, so that a block
+needs nothing but the alphabet's size. A
+range coder with 64-bit state and 32-bit output codes each id in the share of the highest order that predicts it. All
+blocks of a file advance one id at a time together, as numpy arrays with a lane for each block, in integer arithmetic.
+
+File: magic, u32 length and crc32 of the header, then the header (zlib): alphabet size, document ids and lengths; then
+the blocks, each as u32 ids, u32 words, u32 crc32 of its ids, and its 32-bit words.
 """
 
 from __future__ import annotations
@@ -23,90 +25,58 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, bucketed_by_id, map_arrow, scratch_path, slices, token_cache
 
-MAGIC = b"FLCM1\n"
-BLOCK, SLOTS, LEVELS = 1024, 1 << 11, 4
-BITS = 12  # weights are parts of 2^12; with order-0 sums under 2^19 the range, 2^32 at least, can be cut that fine
+MAGIC = b"FLCM2\n"
+BLOCK, SLOTS = 1024, 1 << 10
+BITS, TOP = 12, 20  # shares are parts of 2^12, alphabets at most 2^20: together they fit the range, 2^32 at least
+#: Order 0's share moves a sixteenth of the way to HIT or MISS; every part of the mixture keeps at least one of 2^12.
+RATE, HIT, MISS = 4, 3840, 300
+#: What orders 1 and 2 get of what is left, by how often in a row the guess was right at its place.
+_SHARES = np.array([[32, 600, 1800, 2500, 2900, 3200, 3400, 3500], [32, 1500, 2700, 3200, 3500, 3650, 3750, 3840]])
 _U = np.uint64
-_BOT, _TOP = _U(1 << 32), _U(1 << 48)
-NONE = np.uint32(0xFFFFFFFF)
+_LOW, _HALF, _BITS = _U(1 << 32), _U(32), _U(BITS)
+#: Order 0: weight of the id seen d steps ago, and sums of the weights up to d.
+_SEEN = np.concatenate([[0], (1 << 14) // (np.arange(1, BLOCK + 1) + 4)])
+_SUMS = np.cumsum(_SEEN)
 
 
 class _Model:
-    """The mixed prediction of all lanes; both coders drive it in the same way."""
-
-    def __init__(self, lanes: int, ids: np.ndarray, counts: np.ndarray):
-        if len(ids) > 3 << 17:
-            raise ValueError("more distinct ids than the coder's precision allows")
-        self.ids = ids  # the file's distinct ids, ascending
-        # order-0 cumulative counts scaled to 2^17, every id at least 1
-        total = int(counts.sum())
-        scaled = np.maximum(1, counts.astype(np.int64) * (1 << 17) // max(1, total))
-        self.cum = np.concatenate([[0], np.cumsum(scaled)])
-        self.total = int(self.cum[-1])
+    """Orders 2 and 1 and the shares of all lanes; both coders drive it in the same way. Ids are counted from 1 here."""
+
+    def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.last = [np.zeros((lanes, SLOTS), np.uint32) for _ in range(2)]  # index + 1 of the id that followed; 0: none
-        self.sure = [np.zeros((lanes, SLOTS), np.uint8) for _ in range(2)]
-        self.hits = [np.full((lanes, LEVELS), 1, np.int64) for _ in range(2)]
-        self.tries = [np.full((lanes, LEVELS), 2, np.int64) for _ in range(2)]
+        self.base = self.lane * SLOTS
+        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # id and confidence (1 to 7); 0: none
+        self.seen = np.full(lanes, 1500)  # share of order 0 in what orders 2 and 1 leave
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def predict(self, n: int):
-        """For the first n lanes: the guesses (index + 1, 0: none) of orders 1 and 2, the parts of 2^12 they get."""
-        lane = self.lane[:n]
-        self.slot = [(self.one[:n] * 2654435761 >> 7) & (SLOTS - 1), ((self.one[:n] * 2654435761 ^ self.two[:n] * 40503 * 65537) >> 9) & (SLOTS - 1)]
-        self.guess, self.level = [], []
-        for k in range(2):
-            self.guess.append(self.last[k][lane, self.slot[k]].astype(np.int64))
-            self.level.append(self.sure[k][lane, self.slot[k]].astype(np.int64))
-        room = np.int64((1 << BITS) - (1 << (BITS - 4)))  # order 0 keeps a sixteenth at least
-        part2 = np.where(self.guess[1] > 0, room * self.hits[1][lane, self.level[1]] // self.tries[1][lane, self.level[1]], 0)
-        part1 = np.where(self.guess[0] > 0, (room - part2) * self.hits[0][lane, self.level[0]] // self.tries[0][lane, self.level[0]], 0)
-        self.part = [part1, part2]
-        self.rest = (1 << BITS) - part1 - part2
-
-    def interval(self, n: int, x: np.ndarray):
-        """Start and size of index x in the mixture, both as parts of 2^12 * total."""
-        low, size = self.cum[x] * self.rest, (self.cum[x + 1] - self.cum[x]) * self.rest
-        for k in range(2):
-            mass = self.part[k] * self.total
-            low = low + np.where((self.guess[k] > 0) & (self.guess[k] - 1 < x), mass, 0)
-            size = size + np.where(self.guess[k] - 1 == x, mass, 0)
-        return low, size
-
-    def find(self, n: int, value: np.ndarray) -> np.ndarray:
-        """Index whose interval holds value: what the guesses put below it is taken off, then the table is searched."""
-        a, b = np.minimum(self.guess[0], self.guess[1]), np.maximum(self.guess[0], self.guess[1])
-        swap = self.guess[0] > self.guess[1]
-        mass = [p * self.total for p in self.part]
-        ma, mb = np.where(swap, mass[1], mass[0]), np.where(swap, mass[0], mass[1])
-        out = np.full(n, -1, np.int64)
-        left = value
-        for g, m in ((a, ma), (b, mb)):
-            open_ = (out < 0) & (g > 0)
-            at = np.maximum(g - 1, 0)
-            start = self.cum[at] * self.rest
-            inside = open_ & (left >= start) & (left < start + m)
-            out[inside] = at[inside]
-            left = np.where(open_ & ~inside & (left >= start + m), left - m, left)
-        todo = out < 0
-        out[todo] = np.searchsorted(self.cum, left[todo] // self.rest[todo], side="right") - 1
-        return out
-
-    def update(self, n: int, x: np.ndarray):
-        lane = self.lane[:n]
-        wrong2 = self.guess[1] - 1 != x
-        for k in range(2):
-            seen = self.guess[k] > 0
-            hit = seen & (self.guess[k] - 1 == x)
-            learn = lane[seen if k else seen & wrong2]
-            if len(learn):
-                lv = self.level[k][learn]
-                self.tries[k][learn, lv] += 1
-                self.hits[k][learn, lv] += hit[learn]
-            sure = np.where(hit, np.minimum(self.level[k] + 1, LEVELS - 1), 0)
-            self.sure[k][lane, self.slot[k]] = sure
-            self.last[k][lane, self.slot[k]] = x + 1
-        self.two[:n], self.one[:n] = self.one[:n], x + 1
+    def predict(self, n: int) -> None:
+        """Guesses of the first n lanes, and the ends of the shares of order 2, 1 and 0 in 2^12."""
+        one, mixed = self.one[:n], self.one[:n] * 2654435761
+        self.at = [(mixed >> 9 & SLOTS - 1) + self.base[:n], (((mixed ^ self.two[:n] * 40503) * 2246822519) >> 15 & SLOTS - 1) + self.base[:n]]
+        entry = [t.take(at) for t, at in zip(self.table, self.at, strict=True)]
+        self.level = [e & 7 for e in entry]
+        self.guess = [e >> 3 for e in entry]
+        self.end2 = _SHARES[1].take(self.level[1])
+        rest = (1 << BITS) - self.end2
+        self.end1 = self.end2 + (rest * _SHARES[0].take(self.level[0]) >> BITS)
+        self.end0 = self.end1 + (((1 << BITS) - self.end1) * self.seen[:n] >> BITS)
+
+        self.ends = np.stack([self.end2 - self.end2, self.end2, self.end1, self.end0, np.full(n, 1 << BITS)])
+
+    def segment(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's share: 0 is order 2's, 1 order 1's, 2 order 0's, 3 the alphabet's."""
+        at = which * n + self.lane[:n]
+        start = self.ends.take(at)
+        return start.astype(_U), (self.ends.take(at + n) - start).astype(_U)
+
+    def update(self, n: int, x: np.ndarray, which: np.ndarray) -> None:
+        """x counted from 1, and the share each lane was coded in."""
+        own = self.seen[:n]
+        own += (which > 1) * ((which == 2) * (HIT - MISS) + MISS - own >> RATE)
+        for k, hit in ((1, which == 0), (0, self.guess[0] == x)):
+            self.table[k][self.at[k]] = x * 8 + 1 + hit * np.minimum(self.level[k], 6)
+        self.two[:n] = self.one[:n]
+        self.one[:n] = x
 
 
 def _lengths(n: int) -> np.ndarray:
@@ -116,29 +86,57 @@ def _lengths(n: int) -> np.ndarray:
     return out
 
 
-def encode_blocks(tokens: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+def _by_time(tokens: np.ndarray, lanes: int) -> np.ndarray:
+    """Row t holds the t-th id of every block."""
+    padded = np.zeros(lanes * BLOCK, np.int32)
+    padded[: len(tokens)] = tokens
+    return np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+
+
+def encode_blocks(tokens: np.ndarray, alphabet: int) -> bytes:
     lengths = _lengths(len(tokens))
-    lanes = len(lengths)
-    index = np.searchsorted(ids, tokens)
-    model = _Model(lanes, ids, counts)
+    lanes, model = len(lengths), _Model(len(lengths))
+    lane, x_of = model.lane, _by_time(tokens, lanes)
+    flat, last_at = x_of.ravel(), np.zeros(lanes * SLOTS, np.int32)  # time after the last id of a hash, to find distances
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    words, used = np.zeros((lanes, 3 * BLOCK + 8), "<u2"), np.zeros(lanes, np.int64)
-    scale = _U(model.total)
-    full = len(tokens) // BLOCK
+    words, used = np.zeros((lanes, BLOCK + 4), _U), np.zeros(lanes, np.int64)  # a step gives one word at most
     for t in range(int(lengths.max(initial=0))):
-        n = lanes if t < lengths[-1] else full  # only the last block can be short
-        x = index[np.arange(n) * BLOCK + t]
+        n = lanes if t < lengths[-1] else lanes - 1  # only the last block can be short
+        x = x_of[t, :n].astype(np.int64)
+        at = (x * 2654435761 >> 13 & SLOTS - 1) + model.base[:n]
+        before = last_at.take(at) - 1
+        last_at[at] = t + 1
         model.predict(n)
-        start, size = model.interval(n, x)
-        r = (rng[:n] >> _U(BITS)) // scale
-        low[:n] += r * start.astype(_U)
-        rng[:n] = r * size.astype(_U)
-        _renew(low, rng, n, words, used)
-        model.update(n, x)
-    for _ in range(4):
-        words[model.lane, used] = (low >> _U(48)).astype(np.uint16)
-        low <<= _U(16)
+        which = 3 - 3 * (hit2 := model.guess[1] == x + 1)
+        which -= 2 * ((model.guess[0] == x + 1) & ~hit2)
+        k = np.flatnonzero(which == 3)
+        back = before[k]
+        k_seen = (back >= 0) & (flat.take(np.maximum(back, 0) * lanes + k) == x[k])
+        which[k] -= k_seen
+        start, size = model.segment(n, which)
+        r = rng[:n] >> _BITS
+        add, new = r * start, r * size
+        d = k_seen * (t - back)
+        r = new[k] // np.where(k_seen, max(1, int(_SUMS[t])), alphabet).astype(_U)
+        add[k] += r * np.where(k_seen, _SUMS[np.maximum(d - 1, 0)], x[k]).astype(_U)
+        new[k] = r * np.where(k_seen, _SEEN[d], 1).astype(_U)
+        add += low[:n]
+        over = np.flatnonzero(add < low[:n])
+        words[over, used[over] - 1] += _U(1)
+        low[:n], rng[:n] = add, new
+        k = np.flatnonzero(new < _LOW)
+        words[k, used[k]] = low[k] >> _HALF
+        used[k] += 1
+        low[k] <<= _HALF
+        rng[k] <<= _HALF
+        model.update(n, x + 1, which)
+    for _ in range(2):
+        words[lane, used] = low >> _HALF
+        low <<= _HALF
         used += 1
+    for j in range(words.shape[1] - 1, 0, -1):  # what ran over goes to the word before
+        words[:, j - 1] += words[:, j] >> _HALF
+    words = words.astype("<u4")
     out = []
     for k in range(lanes):
         own = tokens[k * BLOCK : k * BLOCK + lengths[k]].astype("<u4").tobytes()
@@ -146,65 +144,51 @@ def encode_blocks(tokens: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> by
     return b"".join(out)
 
 
-def _settle(low, rng):
-    """Lanes whose leading 16 bits are settled, or whose range is so small that it is cut at the border."""
-    same = (low ^ (low + rng)) < _TOP
-    small = ~same & (rng < _BOT)
-    rng[small] = (~low[small] + _U(1)) & (_BOT - _U(1))
-    return same | small
-
-
-def _renew(low, rng, n, words, used):
-    live = np.flatnonzero(((low[:n] ^ (low[:n] + rng[:n])) < _TOP) | (rng[:n] < _BOT))
-    while len(live):
-        lo, rg = low[live], rng[live]
-        go = _settle(lo, rg)
-        live, lo, rg = live[go], lo[go], rg[go]
-        words[live, used[live]] = (lo >> _U(48)).astype(np.uint16)
-        used[live] += 1
-        low[live], rng[live] = lo << _U(16), rg << _U(16)
-
-
-def decode_blocks(data: memoryview, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
     heads, at = [], 0
     while at < len(data):
         n, used, crc = struct.unpack_from("<III", data, at)
         heads.append((n, used, crc, at + 12))
-        at += 12 + 2 * used
+        at += 12 + 4 * used
     lanes = len(heads)
     if not lanes:
         return np.empty(0, np.uint32)
     lengths = np.array([h[0] for h in heads])
-    words = np.zeros((lanes, max(h[1] for h in heads) + 8), np.uint16)
+    words = np.zeros((lanes, max(h[1] for h in heads) + 2), np.uint32)
     for k, (_, used, _, start) in enumerate(heads):
-        words[k, :used] = np.frombuffer(data, "<u2", used, start)
-    model = _Model(lanes, ids, counts)
-    low, rng, code, used = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U), np.zeros(lanes, np.int64)
-    for _ in range(4):
-        code = code << _U(16) | words[model.lane, used].astype(_U)
-        used += 1
-    out = np.zeros((lanes, BLOCK), np.int64)
-    scale = _U(model.total)
+        words[k, :used] = np.frombuffer(data, "<u4", used, start)
+    model, lane, width = _Model(lanes), np.arange(lanes), words.shape[1]
+    words = words.ravel()
+    at, used = lane * width, np.full(lanes, 2)
+    code, rng = words.take(at).astype(_U) << _HALF | words.take(at + 1).astype(_U), np.full(lanes, (1 << 64) - 1, _U)
+    out = np.zeros((BLOCK, lanes), np.int32)
+    flat = out.ravel()
     for t in range(int(lengths.max())):
         n = int((lengths > t).sum())
         model.predict(n)
-        r = (rng[:n] >> _U(BITS)) // scale
-        value = np.minimum((code[:n] - low[:n]) // r, (_U(1 << BITS) * scale) - _U(1)).astype(np.int64)
-        x = model.find(n, value)
-        out[:n, t] = x
-        start, size = model.interval(n, x)
-        low[:n] += r * start.astype(_U)
-        rng[:n] = r * size.astype(_U)
-        live = np.flatnonzero(((low[:n] ^ (low[:n] + rng[:n])) < _TOP) | (rng[:n] < _BOT))
-        while len(live):
-            lo, rg = low[live], rng[live]
-            go = _settle(lo, rg)
-            live, lo, rg = live[go], lo[go], rg[go]
-            code[live] = code[live] << _U(16) | words[live, np.minimum(used[live], words.shape[1] - 1)].astype(_U)  # a broken file may ask for more
-            used[live] += 1
-            low[live], rng[live] = lo << _U(16), rg << _U(16)
-        model.update(n, x)
-    tokens = np.concatenate([ids[out[k, : lengths[k]]] for k in range(lanes)])
+        r = rng[:n] >> _BITS
+        value = np.minimum(code[:n] // r, _U((1 << BITS) - 1)).astype(np.int64)
+        which = (value >= model.end2).astype(np.int64) + (value >= model.end1) + (value >= model.end0)
+        start, size = model.segment(n, which)
+        x = np.where(which == 0, model.guess[1], model.guess[0]).astype(np.int64) - 1
+        rest, new = code[:n] - r * start, r * size
+        k = np.flatnonzero(which > 1)
+        lately, total = which[k] == 2, max(1, int(_SUMS[t]))
+        r = np.maximum(new[k] // np.where(lately, total, alphabet).astype(_U), _U(1))  # nought only in a broken file
+        value = np.minimum(rest[k] // r, np.where(lately, total, alphabet).astype(_U) - _U(1)).astype(np.int64)
+        d = np.minimum(np.searchsorted(_SUMS, value, side="right"), max(1, t))
+        x[k] = np.where(lately, flat.take(np.maximum(t - d, 0) * lanes + lane[k]), value)
+        rest[k] -= r * np.where(lately, _SUMS[d - 1], value).astype(_U)
+        new[k] = r * np.where(lately, _SEEN[d], 1).astype(_U)
+        out[t, :n] = x
+        code[:n], rng[:n] = rest, new
+        k = np.flatnonzero(new < _LOW)
+        code[k] = code[k] << _HALF | words.take(at[k] + np.minimum(used[k], width - 1)).astype(_U)
+        used[k] += 1
+        rng[k] = np.maximum(rng[k] << _HALF, _U(1 << BITS))
+        model.update(n, x + 1, which)
+    out = np.ascontiguousarray(out.T)
+    tokens = np.concatenate([out[k, : lengths[k]] for k in range(lanes)]).astype(np.uint32)
     at = 0
     for n, _, crc, _ in heads:
         if zlib.crc32(tokens[at : at + n].astype("<u4").tobytes()) != crc:
@@ -214,15 +198,15 @@ def decode_blocks(data: memoryview, ids: np.ndarray, counts: np.ndarray) -> np.n
 
 
 def encode_file(doc_ids: list[int | None], ids_of: list[bytes]) -> bytes:
-    """One file of whole documents, each as its id and its tokens (little-endian uint32 bytes)."""
+    """One file of whole documents, each as its id and its tokens (little-endian uint32 bytes, below 2^20)."""
     tokens = np.frombuffer(b"".join(ids_of), "<u4")
-    ids, counts = np.unique(tokens, return_counts=True)
+    alphabet = int(tokens.max(initial=0)) + 1
+    if alphabet > 1 << TOP:
+        raise ValueError(f"a token id over {(1 << TOP) - 1}")
     known = np.array([i is not None for i in doc_ids], np.uint8)
-    head = struct.pack("<II", len(ids), len(doc_ids)) + np.diff(ids, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes()
-    head += known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array([len(x) // 4 for x in ids_of], "<u8").tobytes()
+    head = struct.pack("<II", alphabet, len(doc_ids)) + known.tobytes() + np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array([len(x) // 4 for x in ids_of], "<u8").tobytes()
     head = zlib.compress(head, 6)
-    body = encode_blocks(tokens, ids, counts)
-    return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + body
+    return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + encode_blocks(tokens, alphabet)
 
 
 def decode_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
@@ -233,20 +217,19 @@ def decode_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     if zlib.crc32(data[at : at + size]) != crc:
         raise ValueError("the header's checksum doesn't hold")
     head = zlib.decompress(data[at : at + size])
-    n_ids, n_docs = struct.unpack_from("<II", head)
+    alphabet, n_docs = struct.unpack_from("<II", head)
     cut = lambda kind, n, o: np.frombuffer(head, kind, n, o)
-    ids, counts = np.cumsum(cut("<u4", n_ids, 8).astype(np.int64)).astype(np.uint32), cut("<u4", n_ids, 8 + 4 * n_ids)
-    o = 8 + 8 * n_ids
-    known, doc_ids, lengths = cut("u1", n_docs, o), cut("<i8", n_docs, o + n_docs), cut("<u8", n_docs, o + 9 * n_docs)
-    tokens = decode_blocks(memoryview(data)[at + size :], ids, counts)
+    known, doc_ids, lengths = cut("u1", n_docs, 8), cut("<i8", n_docs, 8 + n_docs), cut("<u8", n_docs, 8 + 9 * n_docs)
+    tokens = decode_blocks(memoryview(data)[at + size :], alphabet)
     return [i if k else None for i, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], np.split(tokens, np.cumsum(lengths.astype(np.int64))[:-1]) if n_docs else []
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 1 << 21) -> None:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 1 << 22) -> None:
     """Write (bucket, seq, n_tokens, data) rows to path: files of about file_tokens ids, in ascending order of id.
 
-    Texts are dealt once into buckets of consecutive ids; buckets, and in them files, are in order. Edge cases: a null
-    text is empty (its end id alone); null ids come first; tied ids are ordered by text.
+    Texts are dealt once into buckets of consecutive ids; buckets, and in them files, are in order. A document is never
+    cut, so a file of one very long text grows with it: about 40 bytes of tables an id. Edge cases: a null text is
+    empty (its end id alone); null ids come first; tied ids are ordered by text; an empty table gives no files.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -255,7 +238,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
-        cache, end = token_cache(vocabulary), end_id.to_bytes(4, "little")
+        cache, end = token_cache(vocabulary, 1_000_000), end_id.to_bytes(4, "little")
         bucket, seq, ids, found, size = None, 0, [], [], 0
         for b in slices(batches, "text", 8 << 20):
             for bk, i, x in zip(b.column("bucket").to_pylist(), b.column("id").to_pylist(), cache.encode(b.column("text").to_pylist()), strict=True):

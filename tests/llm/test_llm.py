@@ -78,6 +78,15 @@ def test_range_coder():
         ids = [rnd.integers(0, top, n, dtype=np.uint32).tobytes(), b"", bytes(4)]
         got_ids, got = rangecoder.decode_file(rangecoder.encode_file([5, None, -1], ids))
         assert got_ids == [5, None, -1] and [g.astype("<u4").tobytes() for g in got] == ids
+    for n, top in ((3000, 1 << 20), (30_000, 2)):  # the widest alphabet and the narrowest
+        ids = rnd.integers(0, top, n).astype(np.uint32)
+        ids[::7] = top - 1
+        assert (rangecoder.decode_blocks(memoryview(rangecoder.encode_blocks(ids, top)), top) == ids).all()
+    blocks = rangecoder.encode_blocks(np.arange(3000, dtype=np.uint32) % 777, 777)  # any block is decoded without the others
+    second = 12 + 4 * struct.unpack_from("<III", blocks)[1]
+    assert (rangecoder.decode_blocks(memoryview(blocks)[second:], 777) == np.arange(1024, 3000) % 777).all()
+    with pytest.raises(ValueError, match="token id over"):
+        rangecoder.encode_file([1], [struct.pack("<I", 1 << 20)])
     repeats = np.tile(np.arange(50, dtype=np.uint32), 400).tobytes()
     data = rangecoder.encode_file([1], [repeats])
     assert len(data) < len(repeats) / 12
@@ -246,30 +255,54 @@ def test_archives(spark):
     assert arc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_token_cache_equals_the_library():
+    """100,000 short strings of what separates tokens, the most hostile ones beside plain words."""
+    from tokenizers import Tokenizer
+
+    path, rnd = vocabulary("byte_bpe_50k.json"), random.Random(1)
+    tok, cache = Tokenizer.from_file(path), common.TokenCache(path, max_runs=20_000)
+    for letters in (["\x00", "\n", "\r", "\x85", " ", " ", "  ", "a", "b", "The", "1", "'s", "<|endoftext|>", "\u2028", "\t", "\x1c", "日", "!", "\x00\n"], ["é", "É", "ß", "ª", "ŉ", "ǆ", "ʼ", "a", "Word", ".", ",", "?", "'", " ", " ", "\n", "Ω", "1"]):
+        texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 9))) for _ in range(50_000)] + ["x \x00\n b"]
+        for k in range(0, len(texts), 5000):
+            some = texts[k : k + 5000]
+            assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode(some)] == [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "empty"])
 def test_packing(request, name):
+    from tokenizers import Tokenizer
+
     df = request.getfixturevalue(name)
-    cache = common.TokenCache(vocabulary("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     windows = packing.pack(df, vocabulary("byte_bpe_50k.json"))
-    want = Counter((i, x + (1).to_bytes(4, "little")) for i, x in ((i, cache.encode([t])[0]) for i, t in pairs(df)))
+    want = Counter((i, struct.pack(f"<{len(x) + 1}I", *x, 1)) for i, x in ((i, tok.encode(t, add_special_tokens=False).ids) for i, t in pairs(df)))
+    by_sequence = {w["sequence_id"]: bytes(w["ids"]) for w in windows.collect()}
     rows = packing.placements(windows).collect()
     seen: dict = {}
     for r in rows:
         seen.setdefault(r["sequence_id"], []).append(r)
-    for own in seen.values():
+    assert set(seen) == set(by_sequence)
+    found: dict = {}  # pieces by document, start and length
+    for s, own in seen.items():
         own.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in own] == np.cumsum([0] + [r["length"] for r in own[:-1]]).tolist()
-        assert sum(r["length"] for r in own) <= 2048
-    parts: dict = {}
-    for w in windows.collect():
-        for p in w["pieces"]:
-            assert zlib.crc32(p["ids"]) == p["ids_crc32"]
-            parts.setdefault(p["doc_id"], []).append((p["start"], bytes(p["ids"])))
+        assert sum(r["length"] for r in own) * 4 == len(by_sequence[s]) <= 2048 * 4
+        for r in own:
+            ids = by_sequence[s][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
+            assert zlib.crc32(ids) == r["ids_crc32"]
+            found.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], ids))
+    for (i, ids), n in want.items():  # rows that repeat one id are told apart by their number of tokens here
+        pieces, at = sorted(found.pop((i, len(ids) // 4))), 0
+        assert sum(p[1] for p in pieces) == n * len(ids) // 4
+        for start, length, own in pieces:
+            assert own == ids[4 * start : 4 * (start + length)] and (n > 1 or start == at)
+            at = start + length
+    assert not found
     if name == "docs":
-        assert Counter((i, b"".join(x for _, x in sorted(p))) for i, p in parts.items()) == want
-        total = sum(r["length"] for r in rows)
-        assert total / (2048 * len(seen)) > 0.97
-    assert sum(r["length"] for r in rows) == sum(len(x) // 4 * n for (_, x), n in want.items())
+        assert sum(r["length"] for r in rows) / (2048 * len(seen)) > 0.97
+    for r in packing.padded(windows, pad_id=9).collect():
+        n = r["used"]
+        assert bytes(r["ids"]) == by_sequence[r["sequence_id"]] + (b"" if n & (n - 1) == 0 else struct.pack("<I", 9) * (2048 - n))
 
 
 def test_packer_emits_the_fullest():
