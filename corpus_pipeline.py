@@ -36,7 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the sequences."""
-    return packing.placements(packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False))
+    return packing.placements(packing.pack(docs, vocabulary("byte_bpe_50k.json"), slice_bytes=4 << 20, max_runs=500_000))
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
