@@ -82,12 +82,15 @@ m AS (
          CAST(length(x) - length(translate(x, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-         length(x) - length(translate(x, '!', '')) AS bangs, len(lines) AS n_lines
+         length(x) - length(translate(x, '!', '')) AS bangs, length(x) - length(translate(x, '0123456789', '')) AS digits, len(lines) AS n_lines,
+         len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS bullets,
+         len(list_filter(lines, lambda l: regexp_matches(l, '([.][.][.]|\x{2026})[\x20\x09-\x0D]*$'))) AS cuts
   FROM t LEFT JOIN r ON t.doc_id = r.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words OR 100 * bangs > 30 * n_words
-            OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept
+            OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 60 * n_lines
+            OR 100 * digits > 30 * word_chars OR 100 * bullets > 90 * n_lines OR 100 * cuts > 30 * n_lines) AS kept
 FROM m
 """
 
