@@ -100,8 +100,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, m: int, r: int) -> DataFrame:
-    """One row for each document: id, n_shingles, digest of the set, low 32 bits of the minima (null when empty)."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+    """One row for each document: id, hash of the text, n_shingles, digest of the set, low 32 bits of the minima (null
+    when empty)."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -113,9 +114,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, m: int, r: in
                 found = signatures([sets[k] for k in full], 2 * m * r).astype("<u4")
                 for k, row in zip(full, found, strict=True):
                     sig[k], digest[k] = row.tobytes(), hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-            yield batch_of(schema, b.column("id"), [len(s) for s in sets], digest, sig)
+            yield batch_of(schema, b.column("id"), b.column("th"), [len(s) for s in sets], digest, sig)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n_shingles long, digest binary, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return map_arrow(rows, run, "id long, th long, n_shingles long, digest binary, sig binary")
 
 
 def _bands(reps: DataFrame, m: int, r: int) -> DataFrame:
@@ -150,13 +152,16 @@ def table_rows(reps: DataFrame, m: int, r: int) -> DataFrame:
     return materialize(keys.join(shared, "key").select("key", "id", "i", "j", "lead", "n"), "tables")
 
 
-def verify(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar; texts has id, text with unique ids."""
+def verify(edges: DataFrame, texts: DataFrame, size: int, percent: int, share: int = 1000) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar; texts has id, text. Where an id has several texts, any will do.
+
+    An a with more than share edges is dealt to several tasks, each with its own copy of a's text.
+    """
 
     def run(batches):
-        kept: OrderedDict = OrderedDict()  # sets of the last few ids on side a, which come one after another
+        kept: OrderedDict = OrderedDict()  # sets of the last few texts on side a, which come one after another
         for batch in slices(batches, "tb", 2 << 20):
-            a, ta = batch.column("a").to_pylist(), batch.column("ta")
+            a, ta = batch.column("ha").to_pylist(), batch.column("ta")
             new = [k for k in range(len(a)) if a[k] not in kept and (not k or a[k] != a[k - 1])]
             sets = dict(zip([a[k] for k in new], shingle_sets([ta[k].as_py() for k in new], size), strict=True))
             b = shingle_sets(batch.column("tb").to_pylist(), size)
@@ -166,8 +171,14 @@ def verify(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                 kept.popitem(last=False)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = edges.join(texts.selectExpr("id AS b", "text AS tb"), "b").join(texts.selectExpr("id AS a", "text AS ta"), "a").select("a", "b", "ta", "tb")
-    return map_arrow(joined, run, "a long, b long")
+    # of the leads only those with many edges, 1 / share of all edges at most, come as a table of their own
+    many = materialize(edges.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")).where("parts > 1"), "leads")
+    parts = F.coalesce("parts", F.lit(1))
+    left = edges.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    own = texts.selectExpr("id AS a", "text AS ta").join(edges.select("a").distinct(), "a", "left_semi").join(many, "a", "left")
+    own = own.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "ta", F.xxhash64("a", "ta").alias("ha"))
+    joined = left.join(texts.selectExpr("id AS b", "text AS tb"), "b").join(own, ["a", "part"]).select("a", "b", "ha", "ta", "tb")
+    return map_arrow(joined, run, "a long, b long").distinct()
 
 
 def wide_sketch(texts: DataFrame, size: int, width: int) -> DataFrame:
@@ -182,20 +193,48 @@ def wide_sketch(texts: DataFrame, size: int, width: int) -> DataFrame:
     return map_arrow(texts.select("id", "text"), run, "id long, wide binary")
 
 
-def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: int, size: int, percent: int, block: int = 512, width: int = 1024) -> DataFrame:
+def _finer(wide: DataFrame) -> DataFrame:
+    """(key, id) of the width / 8 tables whose keys are 8 minima of the wide sketch: a pair at similarity 0.75 shares none
+    of 128 with probability 10^-6, one that merely shares a passage, at 0.3, shares one in 130."""
+    schema = pa.schema([("id", pa.int64()), ("j", pa.int32()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<i8").reshape(batch.num_rows, -1)
+                n = keys.shape[1]
+                yield batch_of(schema, np.repeat(batch.column("id").to_numpy(), n), np.tile(np.arange(n, dtype=np.int32), len(keys)), keys.reshape(-1))
+
+    return map_arrow(wide, run, "id long, j int, b long").select(F.xxhash64("j", "b").alias("key"), "id")
+
+
+def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: int, size: int, percent: int, block: int = 512, width: int = 1024, split: int | None = None) -> DataFrame:
     """Pairs with a common key whose documents are still in different components, after the estimates' filters.
 
     rows: key, id, i, j, lead, comp. Pairs with the lead were verified before. Only keys with several components are
     left here, and only their documents get a wide sketch, which rules out nearly all pairs that merely share a passage.
     A pair comes from the first table that both are in alone. Keys with more than block rows are cut into blocks that
-    meet pairwise, so a task never holds more than two of them.
+    meet pairwise: a task never holds more than two of them, and no pair is left out. Each row is copied rows / block
+    times for that; from where this is more than the width / 8 finer tables of the wide sketches take (split rows), as
+    a very common passage has, a key is first split by those, so that the work grows with its rows, not their square.
     """
     need = percent / 100
     least = lambda n: n * need - 4 * (n * need * (1 - need)) ** 0.5
     narrow, broad = least(2 * m * r), least(width)
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 2").select("key", "rows")
+    counts = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")]
+    mixed = rows.groupBy("key").agg(*counts).where("lo <> hi AND rows > 2").select("key", "rows")
     left = materialize(rows.where("id <> lead").join(mixed, "key").drop("lead"), "mixed")
     wide = materialize(wide_sketch(texts.join(left.select("id").distinct(), "id", "left_semi"), size, width), "wide")
+    split = split or block * (width // 8)
+    common = left.where(F.col("rows") > split)
+    fine = left.where("false").drop("rows")
+    if not common.isEmpty():
+        placed = common.groupBy("id").agg(F.min("comp").alias("comp"))
+        finer = materialize(_finer(wide.join(placed.select("id"), "id", "left_semi")).distinct().join(placed, "id"), "finer")
+        fine = finer.select("key", "id", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "comp")
+        again = fine.groupBy("key").agg(*counts).where("lo <> hi").select("key", "rows")
+        fine = fine.join(again, "key")
+        left = left.where(F.col("rows") <= split).unionByName(fine)
     left = left.withColumn("nb", F.ceil(F.col("rows") / block).cast("int"))
     left = left.withColumn("bl", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     left = left.join(sigs.select("id", "sig", "n_shingles"), "id").join(wide, "id")
@@ -210,7 +249,7 @@ def cross_pairs(rows: DataFrame, sigs: DataFrame, texts: DataFrame, m: int, r: i
             hit = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k]))) + k + 1
             hit = hit[(sig[hit] == sig[k]).sum(axis=1) >= narrow]
             hit = hit[(wide[hit] == wide[k]).sum(axis=1) >= broad]
-            if len(hit):
+            if len(hit) and i >= 0:
                 same = (halves[hit] == halves[k]).all(axis=3)
                 hit = hit[(same[:, 0].argmax(axis=1) == i) & (same[:, 1].argmax(axis=1) == j) & same.any(axis=2).all(axis=1)]
             if len(hit):
@@ -248,19 +287,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of size words. Rows are
     linked when 100 * intersection >= percent * union, confirmed on the whole sets; component_id is the smallest id
     reachable, and kept marks that row. Edge cases: null, empty and blank texts have n_shingles 0 and are linked with
-    nothing; a null id is its own, unlinked row with component_id null and kept true; rows that repeat one id stand for
-    one document and all get its answer; other columns of docs are ignored; an empty table gives an empty result.
+    nothing; a null id is its own, unlinked row with component_id null and kept true; rows that repeat one id are one
+    document, which has the links of all its texts, and get its answer (but their own n_shingles); other columns of docs
+    are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = materialize(sketch(docs, "id", "text", size, m, r), "sketch")
     live = sk.where("n_shingles > 0 AND id IS NOT NULL")
-    # equal sets are linked; the smallest id stands for them
-    reps = materialize(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "reps")
+    # equal sets are linked; the smallest id stands for them. salts: which of 64 the rows of a set have, as bits
+    salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
+    held = F.bit_or(F.expr("shiftleft(1L, CAST(pmod(xxhash64(id), 64L) AS INT))")).alias("salts")
+    reps = live.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("f"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), held)
+    reps = materialize(reps.select("digest", "f.id", "f.th", "sig", "n_shingles", "salts"), "reps")
+    several = live.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+    same = live.join(several, "id", "left_semi").select(F.col("id").alias("b"), "digest").join(reps.selectExpr("digest", "id AS a"), "digest").where("a <> b").select("a", "b").distinct()
+    same = materialize(same, "same")
     tables = table_rows(reps, m, r)
     stars = materialize(tables.where("id <> lead").selectExpr("lead AS a", "id AS b").distinct(), "stars")
-    wanted = tables.select("id").distinct()
-    texts = materialize(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    links = materialize(verify(stars, texts, size, percent), "links")
+    wanted = reps.join(tables.select("id").distinct(), "id", "left_semi").select("id", "th").distinct()
+    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, ["id", "th"], "left_semi")
+    texts = materialize(texts.groupBy("id", "th").agg(F.first("text").alias("text")).select("id", "text"), "texts")
+    links = materialize(verify(stars, texts, size, percent).union(same), "links")
     comps = connected_components(links)
     # documents of one key that are in different components so far
     placed = tables.join(comps, tables.id == comps.node, "left").select("key", "id", "i", "j", "lead", F.coalesce("component", "id").alias("comp"))
@@ -268,9 +315,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(verify(more, texts, size, percent), "links")
     if not found.isEmpty():
         comps = connected_components(links.union(found))
-    named = reps.join(comps, reps.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component"))
-    # members of a set that many rows share are dealt over 8 salts
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    out = sk.withColumn("salt", F.pmod(F.hash("id"), F.lit(8))).join(named, ["digest", "salt"], "left")
+    named = reps.join(comps, reps.id == comps.node, "left").select("digest", F.coalesce("component", "id").alias("component"), "salts")
+    # a set's rows are dealt over their salts: as many copies of its answer as there are such rows, 64 at most
+    named = named.select("digest", "component", F.explode(F.expr("filter(sequence(0, 63), k -> (shiftright(salts, k) & 1L) = 1L)")).alias("salt"))
+    out = sk.withColumn("salt", salt).join(named, ["digest", "salt"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
