@@ -48,6 +48,7 @@ class _Model:
         self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # id and confidence (1 to 7); 0: none
         self.seen = np.full(lanes, 1500)  # share of order 0 in what orders 2 and 1 leave
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.ends = np.zeros((5, 0), np.int64)  # where the shares of order 2, 1 and 0 and the alphabet start, and the end
 
     def predict(self, n: int) -> None:
         """Guesses of the first n lanes, and the ends of the shares of order 2, 1 and 0 in 2^12."""
@@ -56,12 +57,17 @@ class _Model:
         entry = [t.take(at) for t, at in zip(self.table, self.at, strict=True)]
         self.level = [e & 7 for e in entry]
         self.guess = [e >> 3 for e in entry]
-        self.end2 = _SHARES[1].take(self.level[1])
-        rest = (1 << BITS) - self.end2
-        self.end1 = self.end2 + (rest * _SHARES[0].take(self.level[0]) >> BITS)
-        self.end0 = self.end1 + (((1 << BITS) - self.end1) * self.seen[:n] >> BITS)
+        if self.ends.shape[1] != n:
+            self.ends = np.zeros((5, n), np.int64)
+            self.ends[4] = 1 << BITS
+        _, self.end2, self.end1, self.end0, whole = self.ends
+        _SHARES[1].take(self.level[1], out=self.end2, mode="clip")
+        for before, end, share in ((self.end2, self.end1, _SHARES[0].take(self.level[0])), (self.end1, self.end0, self.seen[:n])):
+            np.subtract(whole, before, out=end)
+            end *= share
+            end >>= BITS
+            end += before
 
-        self.ends = np.stack([self.end2 - self.end2, self.end2, self.end1, self.end0, np.full(n, 1 << BITS)])
 
     def segment(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's share: 0 is order 2's, 1 order 1's, 2 order 0's, 3 the alphabet's."""
@@ -224,7 +230,7 @@ def decode_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [i if k else None for i, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], np.split(tokens, np.cumsum(lengths.astype(np.int64))[:-1]) if n_docs else []
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 1 << 22) -> None:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = 3 << 21) -> None:
     """Write (bucket, seq, n_tokens, data) rows to path: files of about file_tokens ids, in ascending order of id.
 
     Texts are dealt once into buckets of consecutive ids; buckets, and in them files, are in order. A document is never
@@ -232,9 +238,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, id_col: str =
     empty (its end id alone); null ids come first; tied ids are ordered by text; an empty table gives no files.
     """
     spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = bucketed_by_id(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", n, "bucket")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "text")
+    # a bucket a partition: its files are as full as they can be, which the coder's steps over all blocks gain by
+    dealt = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "text")
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
