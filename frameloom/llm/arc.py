@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -126,24 +127,26 @@ def to_warc(r: ArcRecord, key: str = "", refers_to: tuple[str, str, str, str] |
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record, cut by Content-Length; block digests are verified."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = dict(x.split(": ", 1) for x in lines)
-        start, n = end + 4, int(fields["Content-Length"])
-        block = data[start : start + n]
+def parse_warc(source) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record, cut by Content-Length; block digests are verified. source: bytes, or a
+    binary stream, of which only one record is held at a time."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record but {line[:100]!r}")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, value = line.decode().rstrip("\r\n").split(": ", 1)
+            fields[name] = value
+        n = int(fields["Content-Length"])
+        block = stream.read(n)
+        if len(block) != n:
+            raise ValueError(f"{fields['WARC-Record-ID']} is shorter than declared")
         if "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() != fields["WARC-Block-Digest"]:
             raise ValueError(f"the block digest of {fields['WARC-Record-ID']} doesn't hold")
         yield fields, block
-        at = start + n
-        if data[at : at + 4] != b"\r\n\r\n":
+        if stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record isn't closed by two line breaks")
-        at += 4
 
 
 def clean_url(url: str | None) -> str:
@@ -192,7 +195,10 @@ def write_warcs(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 
 def read_warcs(spark, path: str) -> DataFrame:
-    """One row for each record: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to."""
+    """One row for each record: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to.
+
+    A task holds a file as it is stored, compressed, and one record of it.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches):
@@ -200,7 +206,8 @@ def read_warcs(spark, path: str) -> DataFrame:
             for data in b.column("content"):
                 out = []
                 raw = data.as_py()
-                for f, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                source = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else raw
+                for f, block in parse_warc(source):
                     head, payload = split_http(block)
                     digest = base64.b32decode(f["WARC-Payload-Digest"][5:]).hex()
                     if f["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:

@@ -140,11 +140,11 @@ def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, penalty:
     starts = (np.cumsum(lengths) - lengths)[order]
     n = lengths[order]
     languages = scores.shape[1]
-    path = np.zeros(len(index), np.int8)
+    path = np.zeros(len(index), np.int16)
     if languages == 1 or not len(index):
         return path
     stay = np.zeros((len(index), languages), bool)
-    best = np.zeros(len(index), np.int8)  # of the word before
+    best = np.zeros(len(index), np.int16)  # of the word before
     longest = int(n[0])
     active = np.searchsorted(-n, -np.arange(longest), side="left")  # documents with more than t words
     v = scores[index[starts[: active[0]]]].astype(np.float64)
@@ -179,20 +179,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is the language with the most letters in its spans, score its share of all letters. Only the text is
     read. Edge cases: null texts and texts without a letter get `und` and score 0, no spans; ties go to the language
-    first in order; a model without languages says `und`; columns of docs that are called like the new ones are
-    replaced; an empty table gives an empty result. Narrow: no shuffle.
+    first in order; a model without languages says `und`; repeated rows are labelled one by one; columns of docs that
+    are called like the new ones, in any case, are replaced; an empty table gives an empty result. Narrow: no shuffle.
     """
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "spans")]
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score", "spans")]
     add = "lang_pred string, score double, spans array<struct<start:int,end:int,language:string>>"
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages * BUCKETS numbers, whatever the corpus
     names = [f.name for f in own]
 
     def run(batches):
         model, known, table = sent.value, {}, np.zeros((0, max(1, len(sent.value.languages))), np.float32)
-        for b in slices(batches, "_text", 3 << 20):
+        for b in slices(batches, "text", 3 << 20):
             if len(known) > 150_000:
                 known, table = {}, table[:0]
-            texts = [t or "" for t in b.column("_text").to_pylist()]
+            texts = [t or "" for t in b.column("text").to_pylist()]
             found = [WORD.findall(t.lower()) for t in texts]
             lengths = np.array([len(f) for f in found])
             new = list(dict.fromkeys(w for f in found for w in f if w not in known)) if model.languages else []
@@ -221,13 +221,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                             at = [(0, len(texts[k]))] * len(own_path)
                         parts[k] = [{"start": at[x][0], "end": at[y - 1][1], "language": model.languages[own_path[x]]} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string())]))
-            columns = [b.column(c) for c in names] + [pa.array(lang), pa.array(score, pa.float64()), pa.array(parts if spans else [None] * len(texts), kind)]
+            columns = b.column("own").flatten()[: len(names)] + [pa.array(lang), pa.array(score, pa.float64()), pa.array(parts if spans else [None] * len(texts), kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "spans"])
 
     from pyspark.sql.types import StructType
 
     schema = StructType(own + StructType.fromDDL(add).fields)
-    return map_arrow(docs.select(*names, F.col(text_col).alias("_text")), run, schema)
+    # one struct, so that no column of docs can be taken for the text
+    held = F.struct(*(F.col(f"`{n}`") for n in names), F.lit(0).alias("_"))
+    return map_arrow(docs.select(held.alias("own"), F.col(text_col).alias("text")), run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
