@@ -82,8 +82,20 @@ def squared_distance(columns: Sequence, point: Sequence[float], periods: Sequenc
     return out
 
 
-def wrap(x, lo: float, hi: float) -> Column:
-    return F.pmod(col(x) - lit(lo), lit(hi - lo)) + lit(lo)
+def wrap(x, lo: float, hi: float, periodic: bool = True) -> Column:
+    """Into [lo, hi): periodic, or cut off at the ends."""
+    return F.pmod(col(x) - lit(lo), lit(hi - lo)) + lit(lo) if periodic else F.least(F.greatest(col(x), lit(lo)), lit(hi))
+
+
+def softmax(values) -> Column:
+    """Of an array: exp(v - max), normalised; an empty array stays empty."""
+    raised = F.transform(col(values), lambda v: F.exp(v - F.array_max(col(values))))
+    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda s, x: s + x))
+
+
+def subset(vector, columns: Sequence[int]) -> Column:
+    """The chosen places of an array, in the order given; one that isn't there is null."""
+    return F.array(*[F.get(col(vector), F.lit(int(k))) for k in columns])
 
 
 def sin_cos(angles) -> Column:

@@ -17,10 +17,22 @@ def endpoints(frames: DataFrame, columns: list[str], walker: str = "walker", ord
     return frames.groupBy(walker).agg(F.max_by(F.struct(order, *columns), order).alias("e")).select(walker, "e.*")
 
 
-def survivors(weights: DataFrame, alive: DataFrame, walker: str = "walker") -> DataFrame:
-    """Weights of the walkers that are left, summing to 1 again."""
+def survivors(weights: DataFrame, alive: DataFrame, walker: str = "walker", least: float = 0.0) -> DataFrame:
+    """Weights of the walkers that are left, summing to 1 again, uniform if nothing is left of the weights. None left, or
+    under the share `least` of them, is an error: three numbers reach the driver."""
     left = weights.join(alive.select(walker).distinct(), walker, "left_semi")
-    return left.crossJoin(F.broadcast(left.agg(F.sum("weight").alias("_t")))).withColumn("weight", F.col("weight") / F.col("_t")).drop("_t")
+    n, total = left.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    if not n or n < least * weights.count():
+        raise RuntimeError(f"only {n} walkers are left")
+    return left.withColumn("weight", F.col("weight") / F.lit(float(total)) if total > 0 else F.lit(1.0 / n))
+
+
+def conserved(weights: DataFrame, weight: str = "weight", tolerance: float = 1e-9) -> DataFrame:
+    """weights unchanged; a sum that isn't 1 is an error, raised by the plan itself."""
+    total = weights.agg(F.sum(weight).alias("_t"))
+    text = F.concat(F.lit("weights sum to "), F.col("_t").cast("string"))
+    ok = total.select(F.when(F.abs(F.col("_t") - 1) <= F.lit(tolerance), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")).alias("_ok"))
+    return weights.crossJoin(F.broadcast(ok)).where("_ok").drop("_ok")
 
 
 def recycle(walkers: DataFrame, columns: list[str], box: list[tuple[float, float]], basis: list[float]) -> DataFrame:

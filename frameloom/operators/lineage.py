@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import squared_distance
+from ..scratch import materialize
 
 
-def to_root(records: DataFrame, start: str, key: str = "frame_key", parent: str = "parent", limit: int = 1_000_000) -> DataFrame:
-    """(frame_key, depth) from a frame to its root; a missing parent ends the walk, a cycle is an error.
+def to_root(records: DataFrame, start: str, key: str = "frame_key", parent: str = "parent") -> DataFrame:
+    """(frame_key, depth) from a frame to its root; a missing parent ends the walk, a cycle is an error: no walk is longer
+    than there are records. The two key columns are written once, and the recursive query walks those."""
+    return _walk(key_columns(records, key, parent), start)
 
-    Chains are walked by a recursive query over the two key columns.
-    """
-    spark = records.sparkSession
-    view = f"_lineage_{abs(hash((start, key, id(records))))}"
-    records.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE walk(frame_key, parent, depth) MAX RECURSION LEVEL {limit} AS (
-                  SELECT k, p, 0 FROM {view} WHERE k = '{start}'
+
+def key_columns(records: DataFrame, key: str = "frame_key", parent: str = "parent") -> DataFrame:
+    return materialize(records.select(F.col(key).alias("k"), F.col(parent).alias("p")), "lineage")
+
+
+def _walk(keys: DataFrame, start: str) -> DataFrame:
+    spark, view = keys.sparkSession, f"_lineage_{uuid.uuid4().hex}"
+    limit = keys.count() + 1
+    keys.createOrReplaceTempView(view)
+    try:
+        return spark.sql(
+            f"""WITH RECURSIVE walk(frame_key, parent, depth) MAX RECURSION LEVEL {limit} AS (
+                  SELECT k, p, 0 FROM {view} WHERE k = :start
                   UNION ALL
                   SELECT r.k, r.p, w.depth + 1 FROM walk w JOIN {view} r ON r.k = w.parent)
-                SELECT frame_key, depth FROM walk"""
-    )
+                SELECT frame_key, depth FROM walk""",
+            args={"start": start},
+        )
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: str = "parent", max_rounds: int = 40) -> DataFrame:
     """(frame_key, root, depth) of every record, by pointer doubling: log2(depth) self-joins. A cycle is an error.
 
-    Each round is checkpointed, on the executors when no checkpoint folder is set, so that plans don't grow.
+    Each round is written as a table, so that plans don't grow and no round is done again.
     """
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
     rec = records.select(F.col(key).alias("k"), F.col(parent).alias("p"))
     known = rec.select(F.col("k").alias("p"), F.lit(True).alias("known"))
     inner = F.coalesce("known", F.lit(False))
-    at = keep(rec.join(known, "p", "left").select("k", F.when(inner, F.col("p")).otherwise(F.col("k")).alias("root"), inner.cast("long").alias("depth"), inner.alias("open")))
+    at = materialize(rec.join(known, "p", "left").select("k", F.when(inner, F.col("p")).otherwise(F.col("k")).alias("root"), inner.cast("long").alias("depth"), inner.alias("open")), "roots")
     for _ in range(max_rounds):
         left = at.where("open")
         if left.isEmpty():
             return at.select(F.col("k").alias(key), "root", "depth")
         up = at.select(F.col("k").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("open").alias("still"))
         moved = left.join(up, "root").select("k", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"))
-        at = keep(at.where("NOT open").union(moved))
+        at = materialize(at.where("NOT open").union(moved), "roots")
     raise ValueError("the lineage has a cycle")
 
 
@@ -49,13 +61,16 @@ def nearest_record(records: DataFrame, columns: list[str], point: list[float], o
     """The record nearest to a point, ties by order."""
     if len(columns) != len(point):
         raise ValueError(f"{len(point)} coordinates for {len(columns)} columns")
+    if records.isEmpty():
+        raise ValueError("no records")
     return records.withColumn("d2", squared_distance(columns, point)).orderBy("d2", *order).limit(1)
 
 
 def connected_path(records: DataFrame, start: str, end: str) -> DataFrame:
     """(step, frame_key) from start up to the last common ancestor and down to end; no common ancestor is an error."""
-    a = to_root(records, start).withColumnRenamed("depth", "da")
-    b = to_root(records, end).withColumnRenamed("depth", "db")
+    keys = key_columns(records)
+    a = _walk(keys, start).withColumnRenamed("depth", "da")
+    b = _walk(keys, end).withColumnRenamed("depth", "db")
     common = a.join(b, "frame_key").orderBy("db").limit(1).select(F.col("da").alias("ca"), F.col("db").alias("cb"))
     checked = common.agg(F.first("ca").alias("ca"), F.first("cb").alias("cb")).select(F.when(F.col("ca").isNotNull(), F.col("ca")).otherwise(F.raise_error(F.lit("no shared ancestor")).cast("int")).alias("ca"), "cb")
     up = a.crossJoin(F.broadcast(checked)).where("da <= ca").select(F.col("da").alias("step"), "frame_key")

@@ -25,6 +25,14 @@ def transition_counts(df: DataFrame, state: str, lags: list[int], segment: list[
     return later.select("i", F.explode(pairs).alias("p")).where("p.j IS NOT NULL").groupBy("p.lag", "i", "p.j").agg(F.count("*").alias("c"))
 
 
+def segments(frames: DataFrame, segment: list[str], dimension: str | None = None) -> DataFrame:
+    """frames of segments of two and more; of a column of dimensions, only those with the latest iteration's."""
+    if dimension:
+        newest = frames.agg(F.max_by(dimension, "iteration").alias("_dim"))
+        frames = frames.crossJoin(F.broadcast(newest)).where(F.col(dimension) == F.col("_dim")).drop("_dim")
+    return frames.withColumn("_n", F.count("*").over(W.partitionBy(*segment))).where("_n > 1").drop("_n")
+
+
 def transition_matrix(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Add row sums `n` and row-normalised probabilities `p`."""
     w = W.partitionBy(*(by or []), "i")

@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import binning, ensemble, lineage, scaling, sequence, spawning, spectral
+from ..operators import binning, criteria, ensemble, lineage, msm, scaling, sequence, spawning, spectral
 from ..sources import frames as S
+from ..sources import inputs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -124,13 +125,12 @@ def connected_path(spark, d):
     return lineage.connected_path(rec, keys[6], keys[7])
 
 
-@query("frame_key! root! depth", "SELECT start AS frame_key, last(frame_key ORDER BY depth) AS root, max(depth) AS depth FROM walk GROUP BY start", "RECURSIVE " + _LINEAGE + ", walk AS (SELECT frame_key AS start, frame_key, parent, 0 AS depth FROM lin WHERE walker < 4 UNION ALL SELECT w.start, l.frame_key, l.parent, w.depth + 1 FROM walk w JOIN lin l ON l.frame_key = w.parent)")
-def lineage_roots(spark, d):
-    rec = S.with_lineage(ev(spark, d)).where("walker < 4")
-    return lineage.ancestors_by_doubling(rec)
-
-
-@query("frame_key! root! depth")
+@query(
+    "frame_key! root! depth",
+    "SELECT frame_key, (SELECT frame_key FROM kf WHERE walker = 0 AND frame = 0) AS root, base + frame AS depth FROM kf JOIN b USING (walker)",
+    "RECURSIVE " + _LINEAGE + """, sz AS (SELECT walker, count(*) AS n FROM fr GROUP BY 1), b AS (SELECT CAST(0 AS BIGINT) AS walker, CAST(0 AS BIGINT) AS base
+      UNION ALL SELECT c.walker, b.base + s.n // 2 + 1 FROM b JOIN sz s ON s.walker = b.walker JOIN sz c ON c.walker > 0 AND c.walker // 2 = b.walker)""",
+)
 def lineage_roots_all(spark, d):
     return lineage.ancestors_by_doubling(S.with_lineage(ev(spark, d)))
 
@@ -145,23 +145,11 @@ def frame_counts(spark, d):
     return ev(spark, d).groupBy("iteration", "walker").agg(F.count("*").alias("n_frames"))
 
 
-@query("request walker frame", "SELECT r.request, fr.walker, fr.frame FROM (SELECT range AS request, (range * 37) % 1000 AS idx FROM range(50)) r JOIN (SELECT *, row_number() OVER (ORDER BY walker, frame) - 1 AS idx FROM fr) fr USING (idx)", _FR)
-def positions_by_index(spark, d):
-    wanted = spark.range(50).select(F.col("id").alias("request"), ((F.col("id") * 37) % 1000).alias("idx"))
-    return _positions(ev(spark, d), wanted)
-
-
 @query("request walker frame", "SELECT r.request, fr.walker, fr.frame FROM (SELECT range AS request, range * (n - 1) // 49 AS idx FROM range(50), (SELECT count(*) AS n FROM events)) r JOIN (SELECT *, row_number() OVER (ORDER BY walker, frame) - 1 AS idx FROM fr) fr USING (idx)", _FR)
 def positions_whole_range(spark, d):
     per = ev(spark, d)
-    return _positions(per, spark.range(50).crossJoin(F.broadcast(per.agg(F.count("*").alias("total")))).selectExpr("id AS request", "id * (total - 1) div 49 AS idx"))
-
-
-def _positions(per: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Frames at the wanted (request, idx), counted by walker and frame."""
-    sizes = per.groupBy("walker").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("walker").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each walker
-    return per.join(base, "walker").withColumn("idx", F.col("base") + F.col("frame")).join(F.broadcast(wanted), "idx").select("request", "walker", "frame")
+    wanted = spark.range(50).crossJoin(F.broadcast(per.agg(F.count("*").alias("total")))).selectExpr("id AS request", "id * (total - 1) div 49 AS idx")
+    return inputs.by_index(per, wanted)
 
 
 @query("pick walker", "SELECT range AS pick, CAST(floor(range * (n - 1) / 9.0) AS BIGINT) AS walker FROM range(10), (SELECT count(DISTINCT user_id) AS n FROM events)")
@@ -246,13 +234,19 @@ def gradient_edges(spark, d):
     _HIST.format(n=60, x="l_extendedprice", lo="0.0::DOUBLE", hi="120000.0::DOUBLE", t="lineitem") + ", o AS (SELECT * FROM h WHERE n > 0)",
 )
 def mab_bottlenecks(spark, d):
-    found = binning.bottlenecks(binning.histogram(li(spark, d), "l_extendedprice", 0.0, 120000.0, 60))
-    return spark.createDataFrame([(k, s, z) for k, (s, z) in enumerate(found)], "direction int, slice int, score double").withColumn("score", X.scaled("score", 5))
+    return binning.bottlenecks(binning.slice_counts(li(spark, d), "l_extendedprice", 0.0, 120000.0, 60)).withColumn("score", X.scaled("score", 5))
 
 
-@query("edge value")
+@query(
+    "edge value",
+    f"SELECT row_number() OVER (ORDER BY v) - 1 AS edge, {_sc('v', 2)} AS value FROM (SELECT DISTINCT least(greatest(v, 0.0), 120000.0) AS v FROM (SELECT unnest([0.0::DOUBLE, 120000.0]) AS v UNION ALL SELECT m + side * eps FROM marks, (SELECT unnest([-1.0::DOUBLE, 1.0]) AS side), b UNION ALL SELECT a + (z - a) * k / 4 FROM b, (SELECT unnest(range(5)) AS k)))",
+    _HIST.format(n=60, x="l_extendedprice", lo="0.0::DOUBLE", hi="120000.0::DOUBLE", t="lineitem")
+    + """, o AS (SELECT * FROM h WHERE n > 0), b AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS z, greatest(0.02 * (max(l_extendedprice) - min(l_extendedprice)), 12.0) AS eps FROM lineitem),
+    u AS (SELECT arg_max(k, z) AS k FROM (SELECT k, ln(n) - ln(sum(n) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS z FROM o) WHERE z IS NOT NULL UNION ALL SELECT arg_max(k, z) FROM (SELECT k, ln(n) - ln(sum(n) OVER (ORDER BY k DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS z FROM o) WHERE z IS NOT NULL),
+    marks AS (SELECT a AS m FROM b UNION ALL SELECT z FROM b UNION ALL SELECT (k + 0.5) * 2000.0 FROM u)""",
+)
 def mab_edges(spark, d):
-    return spark.createDataFrame(list(enumerate(binning.mab_edges(li(spark, d), "l_extendedprice", 12, 0.0, 120000.0))), "edge int, value double")
+    return spark.createDataFrame(list(enumerate(binning.mab_edges(li(spark, d), "l_extendedprice", 12, 0.0, 120000.0))), "edge int, value double").withColumn("value", X.scaled("value", 2))
 
 
 @query("iteration frames cumulative_frames occupied fraction", f"SELECT f.iteration, frames, sum(frames) OVER (ORDER BY f.iteration) AS cumulative_frames, sum(coalesce(new, 0)) OVER (ORDER BY f.iteration) AS occupied, {_sc('sum(coalesce(new, 0)) OVER (ORDER BY f.iteration) / 900.0::DOUBLE', 8)} AS fraction FROM (SELECT iteration, count(*) AS frames FROM fr GROUP BY 1) f LEFT JOIN (SELECT first AS iteration, count(*) AS new FROM (SELECT min(iteration) AS first FROM fr GROUP BY {_ECELL}) GROUP BY 1) n ON f.iteration = n.iteration", _FR)
@@ -280,7 +274,7 @@ def fes_weighted(spark, d):
 
 @query("cell area")
 def voronoi_cells(spark, d):
-    c = binning.lloyd(li(spark, d), ["l_quantity", "l_extendedprice"], 20, rounds=5, sample_rows=2000)
+    c = binning.lloyd(li(spark, d), ["l_quantity", "l_extendedprice"], 20)
     a = binning.voronoi_areas(c, np.array([1.0, 900.0]), np.array([50.0, 105000.0]))
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(a)], "cell int, area double")
 
@@ -308,7 +302,10 @@ def density_recent(spark, d):
     return spawning.density_hard(c, 25, 1, "event_id", stale=c.where("iteration > 24"))
 
 
-@query("event_id")
+_U = lambda seed, x: f"((('0x' || substr(md5({seed} || ':' || {x}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+@query("event_id", f"SELECT event_id FROM c JOIN p USING (cell) ORDER BY ln({_U(7, 'event_id')}) / (1.0::DOUBLE / population / (SELECT sum(1.0::DOUBLE / population) FROM p)) DESC, event_id LIMIT 10", _FR + f", c AS (SELECT *, CAST({_ECELL} AS BIGINT) AS cell FROM fr), p AS (SELECT cell, count(*) AS population FROM c GROUP BY cell)")
 def weighted_draw(spark, d):
     c = ev_cells(spark, d)
     w = spawning.density_weights(c)
@@ -341,7 +338,16 @@ def lof_scores(spark, d):
     return spawning.local_outlier_factor(_rounded(spark, d), "vec_id", "v").withColumn("lof", X.scaled("lof", 5))
 
 
-@query("pick event_id")
+def _farthest_sql(n: int) -> str:
+    """The picks one after another, each a CTE of one row."""
+    ctes, d2 = [f"p0 AS (SELECT 0 AS pick, event_id, x, y FROM fr ORDER BY {_KEY(0, 'event_id')}, event_id LIMIT 1)"], lambda k: f"((fr.x - p{k}.x) * (fr.x - p{k}.x) + (fr.y - p{k}.y) * (fr.y - p{k}.y))"
+    for k in range(1, n):
+        near = f"least({', '.join(d2(j) for j in range(k))})" if k > 1 else d2(0)
+        ctes.append(f"p{k} AS (SELECT {k} AS pick, fr.event_id, fr.x, fr.y FROM fr, {', '.join(f'p{j}' for j in range(k))} ORDER BY {near} DESC, fr.event_id LIMIT 1)")
+    return ", ".join(ctes)
+
+
+@query("pick event_id", " UNION ALL ".join(f"SELECT pick, event_id FROM p{k}" for k in range(8)), _FR + ", " + _farthest_sql(8))
 def fps_select(spark, d):
     return spark.createDataFrame(list(enumerate(spawning.farthest_points(ev(spark, d), "event_id", ["x", "y"], 8))), "pick int, event_id long")
 
@@ -382,12 +388,36 @@ def transition_matrix(spark, d):
     return sequence.transition_matrix(sequence.transition_counts(ev(spark, d), "state", [5], ["walker"])).withColumn("p", X.scaled("p", 8))
 
 
-@query("i! j! sigma flux used?", f"SELECT i, j, {_sc('sqrt(p * (1 - p) / (n + 1))', 8)} AS sigma, {_sc('pi * p', 8)} AS flux, pi * p > 1e-1 * (SELECT max(pi * p) FROM m) AS used FROM m", _COUNTS + ", m AS (SELECT i, j, n, c / n::DOUBLE AS p, pi FROM (SELECT *, sum(c) OVER (PARTITION BY i) AS n FROM ct WHERE lag = 1) JOIN (SELECT state AS i, count(*) / (SELECT count(*) FROM fr)::DOUBLE AS pi FROM fr GROUP BY 1) USING (i))")
+#: The two-state chain of the events: whether value reaches 250. Its model has a closed form.
+_TWO = _FR + """, sx AS (SELECT *, CAST(x >= 250 AS BIGINT) AS s FROM fr), pr AS (SELECT iteration, walker, frame, s AS i, lead(s) OVER (PARTITION BY walker ORDER BY frame) AS j FROM sx),
+  c2 AS (SELECT i, j, count(*) AS c FROM pr WHERE j IS NOT NULL GROUP BY ALL),
+  m2 AS (SELECT i, j, c, sum(c) OVER (PARTITION BY i) AS n, c / (sum(c) OVER (PARTITION BY i))::DOUBLE AS p FROM c2),
+  q2 AS (SELECT max(p) FILTER (WHERE i = 0 AND j = 1) AS a, max(p) FILTER (WHERE i = 1 AND j = 0) AS b FROM m2),
+  pi2 AS (SELECT 0 AS i, b / (a + b) AS pi FROM q2 UNION ALL SELECT 1, a / (a + b) FROM q2)"""
+
+
+def _two(spark, d) -> DataFrame:
+    return ev(spark, d).withColumn("s", (F.col("x") >= 250).cast("long"))
+
+
+def _two_model(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(matrix, model) of the two-state chain."""
+    counts = sequence.transition_counts(_two(spark, d), "s", [1], ["walker"]).withColumn("all", F.lit(0))
+    return sequence.transition_matrix(counts), msm.models(counts, "all", 1, 1)
+
+
+@query("i j sigma flux used?", f"SELECT i, j, {_sc('sqrt(p * (1 - p) / (n + 1))', 7)} AS sigma, {_sc('pi * p', 6)} AS flux, pi * p > 1e-4 * (SELECT max(pi * p) FROM m2 JOIN pi2 USING (i)) AS used FROM m2 JOIN pi2 USING (i)", _TWO)
 def tmatrix_uncertainty(spark, d):
-    f = ev(spark, d)
-    pi = f.groupBy(F.col("state").alias("i")).agg(F.count("*").alias("c0")).withColumn("pi", F.col("c0") / F.sum("c0").over(W.partitionBy())).drop("c0")
-    m = sequence.transition_matrix(sequence.transition_counts(f, "state", [1], ["walker"]))
-    return sequence.matrix_uncertainty(m, pi, 1e-1).withColumns({"sigma": X.scaled("sigma", 8), "flux": X.scaled("flux", 8)})
+    matrix, model = _two_model(spark, d)
+    pi = msm.state_rows(model).select(F.col("state").alias("i"), "pi")
+    return sequence.matrix_uncertainty(matrix, pi).withColumns({"sigma": X.scaled("sigma", 7), "flux": X.scaled("flux", 6)})
+
+
+@query("value satisfied?", f"SELECT {_sc('max(sqrt(p * (1 - p) / (n + 1)) / p)', 6)} AS value, max(sqrt(p * (1 - p) / (n + 1)) / p) < 0.2 AS satisfied FROM m2", _TWO)
+def tmatrix_criterion(spark, d):
+    matrix, model = _two_model(spark, d)
+    pi = msm.state_rows(model).select(F.col("state").alias("i"), "pi")
+    return criteria.transition_error(sequence.matrix_uncertainty(matrix, pi)).withColumn("value", X.scaled("value"))
 
 
 @query("state! n pi", f"SELECT state, count(*) AS n, {_sc('count(*) / (SELECT count(*) FROM fr)::DOUBLE', 8)} AS pi FROM fr GROUP BY 1", _FR)
@@ -396,12 +426,9 @@ def state_stationary_empirical(spark, d):
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("state", "n", X.scaled(F.col("n") / F.col("t"), 8).alias("pi"))
 
 
-@query("event_id w", f"SELECT event_id, {_sc('(n / (SELECT count(*) FROM fr)::DOUBLE) / n', 12)} AS w FROM fr JOIN (SELECT state, count(*) AS n FROM fr GROUP BY 1) USING (state)", _FR)
+@query("event_id active w", f"SELECT event_id, s AS active, {_sc('pi / n', 10)} AS w FROM sx JOIN (SELECT s, count(*) AS n FROM sx GROUP BY 1) USING (s) JOIN pi2 ON pi2.i = s", _TWO)
 def msm_frame_weights(spark, d):
-    f = ev(spark, d)
-    c = f.groupBy("state").agg(F.count("*").alias("n"))
-    pi = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("state", (F.col("n") / F.col("t") / F.col("n")).alias("w"))
-    return f.join(pi, "state").select("event_id", X.scaled("w", 12).alias("w"))
+    return msm.frame_weights(_two(spark, d), "s", _two_model(spark, d)[1]).withColumn("w", X.scaled("weight", 10))
 
 
 @query("shortest lag assessable?", "SELECT min(n) AS shortest, lag, 5 * lag <= min(n) AS assessable FROM (SELECT walker, count(*) AS n FROM fr GROUP BY 1), (VALUES (5), (10), (20)) v(lag) GROUP BY lag", _FR)
@@ -422,26 +449,65 @@ def stalls(spark, d):
     return sequence.stalled(_occupied(spark, d), "occupied", 2)
 
 
-_CHANGE = "abs(score - p) / greatest(abs(p), abs(score), 1e-12)"
+_SERIES = (
+    _TWO
+    + """, ci AS (SELECT iteration, count(*) FILTER (WHERE i = 0 AND j = 1) AS n01, count(*) FILTER (WHERE i = 0) AS n0, count(*) FILTER (WHERE i = 1 AND j = 0) AS n10, count(*) FILTER (WHERE i = 1) AS n1 FROM pr WHERE j IS NOT NULL GROUP BY 1),
+  ab AS (SELECT iteration, n01 / n0::DOUBLE AS a, n10 / n1::DOUBLE AS b FROM ci WHERE n01 > 0 AND n10 > 0),
+  se AS (SELECT iteration, 1 + (1 - a - b) * (1 - a - b) AS score, CASE WHEN abs(1 - a - b) > 0 AND abs(1 - a - b) < 1 THEN -1 / ln(abs(1 - a - b)) END AS t, greatest(a, b) / (a + b) AS hi, least(a, b) / (a + b) AS lo FROM ab)"""
+)
+
+
+def _model_series(spark, d) -> DataFrame:
+    """One model for each iteration's transitions."""
+    w = W.partitionBy("walker").orderBy("frame")
+    pairs = _two(spark, d).select("iteration", F.col("s").alias("i"), F.lead("s").over(w).alias("j")).where("j IS NOT NULL")
+    return msm.models(pairs.groupBy("iteration", "i", "j").agg(F.count("*").alias("c")), "iteration", 1, 1).where("timescales IS NOT NULL")
 
 
-@query("iteration change satisfied?", f"SELECT iteration, {_sc(_CHANGE)} AS change, coalesce({_CHANGE} < 0.05, false) AS satisfied FROM (SELECT *, lag(score) OVER (ORDER BY iteration) AS p FROM oc)", _OCC)
+@query("iteration vamp2 major", f"SELECT iteration, {_sc('score', 5)} AS vamp2, {_sc('hi', 5)} AS major FROM se", _SERIES)
+def msm_series(spark, d):
+    return _model_series(spark, d).select("iteration", X.scaled("vamp2", 5).alias("vamp2"), X.scaled(F.array_max("populations"), 5).alias("major"))
+
+
+@query("iteration vamp2", f"SELECT iteration, {_sc('score', 5)} AS vamp2 FROM se ORDER BY iteration DESC LIMIT 1", _SERIES)
+def msm_latest(spark, d):
+    return msm.latest(_model_series(spark, d)).select("iteration", X.scaled("vamp2", 5).alias("vamp2"))
+
+
+_REL = lambda x, p: f"abs({x} - {p}) / greatest(abs({p}), abs({x}), 1e-12)"
+_STEPS = _SERIES + ", st AS (SELECT *, lag(score) OVER (ORDER BY iteration) AS ps, lag(hi) OVER (ORDER BY iteration) AS ph, lag(lo) OVER (ORDER BY iteration) AS pl FROM se)"
+
+
+@query("iteration change satisfied?", f"SELECT iteration, {_sc(_REL('score', 'ps'), 4)} AS change, coalesce({_REL('score', 'ps')} < 0.02, false) AS satisfied FROM st", _STEPS)
 def vamp2_criterion_series(spark, d):
-    return sequence.relative_change(_occupied(spark, d), "score", 0.05).withColumn("change", X.scaled("change"))
+    return criteria.score(_model_series(spark, d), tolerance=0.02).withColumn("change", X.scaled("value", 4))
+
 
+@query("iteration drift satisfied?", f"SELECT iteration, {_sc('abs(hi - ph) + abs(lo - pl)', 4)} AS drift, coalesce(abs(hi - ph) + abs(lo - pl) < 0.05, false) AS satisfied FROM st", _STEPS)
+def population_criterion_series(spark, d):
+    return criteria.populations(_model_series(spark, d)).withColumn("drift", X.scaled("value", 4))
 
-@query("iteration streak", f"SELECT iteration, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY iteration) AS streak FROM (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY iteration) AS g FROM (SELECT *, coalesce({_CHANGE} < 0.05, false) AS ok FROM (SELECT *, lag(score) OVER (ORDER BY iteration) AS p FROM oc)))", _OCC)
+
+@query("iteration streak converged?", "SELECT iteration, streak, max(streak) OVER (ORDER BY iteration) >= 2 AS converged FROM (SELECT iteration, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY iteration) AS streak FROM (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY iteration) AS g FROM (SELECT *, coalesce(" + _REL("score", "ps") + " < 0.02, false) OR coalesce(abs(hi - ph) + abs(lo - pl) < 0.05, false) AS ok FROM st)))", _STEPS)
 def criterion_streaks(spark, d):
-    return sequence.streaks(sequence.relative_change(_occupied(spark, d), "score", 0.05), "satisfied")
+    s = criteria.score(_model_series(spark, d), tolerance=0.02).withColumnRenamed("satisfied", "a").drop("value", "reason")
+    return criteria.monitor(criteria.populations(s).withColumnRenamed("satisfied", "b"), ["a", "b"], "any", 2)
+
+
+@query("lag timescale", " UNION ALL ".join(f"SELECT {k} AS lag, {_sc('-' + str(k) + ' / ln(abs(1 - a - b))', 4)} AS timescale FROM (SELECT count(*) FILTER (WHERE i = 0 AND j = 1) / (count(*) FILTER (WHERE i = 0))::DOUBLE AS a, count(*) FILTER (WHERE i = 1 AND j = 0) / (count(*) FILTER (WHERE i = 1))::DOUBLE AS b FROM (SELECT s AS i, lead(s, {k}) OVER (PARTITION BY walker ORDER BY frame) AS j FROM sx) WHERE j IS NOT NULL)" for k in (1, 2, 5, 10)), _TWO)
+def implied_timescales(spark, d):
+    return msm.implied_timescales(sequence.transition_counts(_two(spark, d), "s", [1, 2, 5, 10], ["walker"]), 1).withColumn("timescale", X.scaled("timescale", 4))
 
 
-@query("state timescale")
+@query("state timescale pi", f"SELECT i AS state, {_sc('-1 / ln(abs(1 - a - b))', 4)} AS timescale, {_sc('pi', 6)} AS pi FROM pi2, q2", _TWO)
 def msm_estimate(spark, d):
-    f = ev(spark, d)
-    names = sorted(r[0] for r in f.select("state").distinct().collect())
-    number = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)]), F.col("state"))
-    m = spectral.markov_model(spectral.count_matrix(sequence.transition_counts(f.withColumn("state", number), "state", [1], ["walker"]), len(names)), 1)
-    return spark.createDataFrame([(k, float(t) * 1e6 if np.isfinite(t) else None) for k, t in enumerate(m["timescales"])], "state int, timescale double")
+    return msm.state_rows(_two_model(spark, d)[1]).select("state", X.scaled(F.get("timescales", F.lit(0)), 4).alias("timescale"), X.scaled("pi", 6).alias("pi"))
+
+
+@query("state weight", f"SELECT i AS state, {_sc('(pi * lever * sigma / (SELECT avg(sigma) FROM sg WHERE sigma > 0) + 1 / sqrt(n + 1)) / f', 9)} AS weight FROM sg JOIN pi2 USING (i) JOIN (SELECT s AS i, count(*) AS f FROM sx GROUP BY 1) USING (i), (SELECT a, b, sqrt(a * a + b * b) AS z FROM q2), LATERAL (SELECT CASE WHEN i = 0 THEN a / z ELSE b / z END AS lever)", _TWO + ", sg AS (SELECT i, any_value(n) AS n, sqrt(sum(p * (1 - p)) / (any_value(n) + 1)) AS sigma FROM m2 GROUP BY 1)")
+def guided_weights(spark, d):
+    matrix, model = _two_model(spark, d)
+    return msm.guided_weights(_two(spark, d), "s", model, matrix).groupBy(F.col("s").alias("state")).agg(X.scaled(F.first("weight"), 9).alias("weight"))
 
 
 # ---- kinetics and ensembles ---------------------------------------------------------------------------------------
@@ -514,27 +580,12 @@ def effective_sample_size(spark, d):
 
 
 def _features(spark, d):
-    return S.table(spark, d, "embeddings").select("vec_id", F.lit(0).alias("walker"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return S.table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("walker"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
 
 
 _V = lambda k: f"embedding[{k + 1}]::DOUBLE"
 
 
-@query("vec_id minmax standard", f"SELECT vec_id, {_sc('CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END')} AS minmax, {_sc('CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END', 4)} AS standard FROM (SELECT vec_id, {_V(0)} AS v FROM embeddings), (SELECT min({_V(0)}) AS lo, max({_V(0)}) AS hi, avg({_V(0)}) AS m, stddev_pop({_V(0)}) AS s FROM embeddings)")
-def scale_features(spark, d):
-    f = _features(spark, d).select("vec_id", F.get("v", F.lit(0)).alias("v"))
-    a = f.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    j = f.crossJoin(F.broadcast(a))
-    return j.select("vec_id", X.scaled(F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))).alias("minmax"), X.scaled(F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(F.lit(0.0)), 4).alias("standard"))
-
-
-@query("vec_id robust", f"SELECT vec_id, {_sc('(v - m) / (q3 - q1)', 5)} AS robust FROM (SELECT vec_id, {_V(0)} AS v FROM embeddings), (SELECT quantile_cont({_V(0)}, 0.25) AS q1, quantile_cont({_V(0)}, 0.5) AS m, quantile_cont({_V(0)}, 0.75) AS q3 FROM embeddings)")
-def robust_scale(spark, d):
-    f = _features(spark, d).select("vec_id", F.get("v", F.lit(0)).alias("v"))
-    q = f.agg(*(F.percentile("v", p).alias(n) for n, p in (("q1", 0.25), ("m", 0.5), ("q3", 0.75))))
-    return f.crossJoin(F.broadcast(q)).select("vec_id", X.scaled((F.col("v") - F.col("m")) / (F.col("q3") - F.col("q1")), 5).alias("robust"))
-
-
 _LONG = "l AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 
 
@@ -560,7 +611,7 @@ def periodic(spark, d):
     return ev(spark, d).select("event_id", X.scaled(X.wrap("x", -180.0, 180.0), 4).alias("wrapped"), X.scaled(X.squared_distance(["x"], [10.0], [360.0]), 3).alias("d2"))
 
 
-_PAIRS = f"pr AS (SELECT * FROM (SELECT {_V(0)} AS x, lead({_V(0)}, 2) OVER (ORDER BY vec_id) AS y FROM embeddings) WHERE y IS NOT NULL), mm AS (SELECT (avg(x) + avg(y)) / 2 AS m FROM pr), cv AS (SELECT count(*) AS n, avg((x - m) * (x - m)) AS c00, avg((x - m) * (y - m)) AS c0t, avg((y - m) * (y - m)) AS ctt FROM pr, mm)"
+_PAIRS = f"pr AS (SELECT * FROM (SELECT {_V(0)} AS x, lead({_V(0)}, 2) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS y FROM embeddings) WHERE y IS NOT NULL), mm AS (SELECT (avg(x) + avg(y)) / 2 AS m FROM pr), cv AS (SELECT count(*) AS n, avg((x - m) * (x - m)) AS c00, avg((x - m) * (y - m)) AS c0t, avg((y - m) * (y - m)) AS ctt FROM pr, mm)"
 
 
 @query("n c00 c0t ctt", f"SELECT n, {_sc('c00', 7)} AS c00, {_sc('c0t', 7)} AS c0t, {_sc('ctt', 7)} AS ctt FROM cv", _PAIRS)
@@ -575,11 +626,26 @@ def vamp2_1d(spark, d):
     return spark.createDataFrame([(spectral.vamp2(c, [0]),)], "score double").withColumn("score", X.scaled("score", 8))
 
 
+def _scaled_vectors(spark, d) -> DataFrame:
+    return scaling.scale_vectors(_features(spark, d), "v", ("minmax",))
+
+
 @query("vec_id pc0~ pc1~")
 def pca_project(spark, d):
-    f = _features(spark, d)
-    c = spectral.covariances(f, "v", 1, ["walker"])
-    return spectral.project(f, "v", c["mean"], spectral.pca(c, 2)).select("vec_id", F.get("cv", F.lit(0)).alias("pc0"), F.get("cv", F.lit(1)).alias("pc1"))
+    f = _scaled_vectors(spark, d)
+    c = spectral.moments(f, "minmax")
+    return spectral.project(f, "minmax", c["mean"], spectral.pca(c, 2)).select("vec_id", F.get("cv", F.lit(0)).alias("pc0"), F.get("cv", F.lit(1)).alias("pc1"))
+
+
+@query("dims variance uncorrelated?", f"SELECT count(*) AS dims, {_sc('sum(v)', 6)} AS variance, true AS uncorrelated FROM (SELECT k, var_pop(v) / ((max(v) - min(v)) * (max(v) - min(v))) AS v FROM l GROUP BY k)", "l AS (SELECT unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)")
+def pca_spectrum(spark, d):
+    """All components together hold the variance of the scaled columns, and are uncorrelated."""
+    f = _scaled_vectors(spark, d)
+    c = spectral.moments(f, "minmax")
+    n = len(c["mean"])
+    out = spectral.moments(spectral.project(f, "minmax", c["mean"], spectral.pca(c, n)).select("cv"), "cv")["c00"]
+    apart = np.abs(out - np.diag(np.diag(out))).max() < 1e-9 and bool((np.diff(np.diag(out)) < 1e-9).all())
+    return spark.createDataFrame([(n, float(np.trace(out)), bool(apart))], "dims long, variance double, uncorrelated boolean").withColumn("variance", X.scaled("variance", 6))
 
 
 @query("vec_id ic0~")
@@ -596,9 +662,9 @@ def greedy_vamp(spark, d):
     return spark.createDataFrame([(k, score) for k in columns], "column int, score double")
 
 
-@query("seg_id weight", f"SELECT seg_id, {_sc('w / (SELECT sum(w) FROM z)', 9)} AS weight FROM z", "s AS (SELECT vec_id AS seg_id, label AS i, lead(label) OVER (ORDER BY vec_id) AS j FROM embeddings), t AS (SELECT * FROM s WHERE j IS NOT NULL), o AS (SELECT i, count(*) / (SELECT count(*) FROM t)::DOUBLE AS own FROM t GROUP BY 1), z AS (SELECT seg_id, 1.0::DOUBLE / (SELECT count(*) FROM t) * sqrt(((t.i + 1) / 55.0::DOUBLE) / own) AS w FROM t JOIN o ON t.i = o.i)")
+@query("seg_id weight", f"SELECT seg_id, {_sc('w / (SELECT sum(w) FROM z)', 9)} AS weight FROM z", "s AS (SELECT vec_id AS seg_id, label AS i, lead(label) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS j FROM embeddings), t AS (SELECT * FROM s WHERE j IS NOT NULL), o AS (SELECT i, count(*) / (SELECT count(*) FROM t)::DOUBLE AS own FROM t GROUP BY 1), z AS (SELECT seg_id, 1.0::DOUBLE / (SELECT count(*) FROM t) * sqrt(((t.i + 1) / 55.0::DOUBLE) / own) AS w FROM t JOIN o ON t.i = o.i)")
 def riteweight_step(spark, d):
-    e = sequence.lagged(S.table(spark, d, "embeddings").withColumn("frame", F.col("vec_id")).withColumn("w", F.lit(0)), ["label"], 1, ["w"])
+    e = sequence.lagged(S.table(spark, d, "embeddings").withColumn("frame", F.col("vec_id")).withColumn("w", F.floor(F.col("vec_id") / 50)), ["label"], 1, ["w"])
     s = e.select(F.col("vec_id").alias("seg_id"), F.col("label").alias("i"), F.col("label_lag").alias("j"))
     n = s.agg(F.count("*").alias("n"))
     s = s.crossJoin(F.broadcast(n)).withColumn("weight", 1.0 / F.col("n"))
@@ -623,11 +689,6 @@ def log_meta_parse(spark, d):
     return S.run_meta(spark.createDataFrame([("# tau_ps=2.0",), ("# seed = 42 ",), ("# scheme=we",), ("1\t2\t3",)], "value string"))
 
 
-@query("stem!", "SELECT regexp_replace(event_type || ' /' || props, '[^A-Za-z0-9_.-]+', '_', 'g') AS stem FROM events WHERE event_id % 100 = 0")
-def safe_stems(spark, d):
-    return S.table(spark, d, "events").where("event_id % 100 = 0").select(X.safe_stem(F.concat("event_type", F.lit(" /"), "props")).alias("stem"))
-
-
 @query("event_id stem!", "SELECT event_id, regexp_replace(event_type || ' /' || props, '[^A-Za-z0-9_.-]+', '_', 'g') AS stem FROM events")
 def safe_stems_all(spark, d):
     return S.table(spark, d, "events").select("event_id", X.safe_stem(F.concat("event_type", F.lit(" /"), "props")).alias("stem"))
@@ -647,3 +708,6 @@ def campaign_loop(spark, d):
     from .campaign import run_walk
 
     return run_walk(spark, n_walkers=20, iterations=5)
+
+
+from . import more_queries  # noqa: E402, F401  adds its own to QUERIES

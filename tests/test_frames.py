@@ -92,14 +92,21 @@ def test_markov_model_recovers_chain():
     assert len({tuple(sorted(np.flatnonzero(spectral.pcca(q, 2) == k))) for k in (0, 1)} & {(0, 1, 2), (3, 4, 5)}) == 2
 
 
-def test_riteweight_recovers_stationary_distribution():
+def test_reweighting_recovers_stationary_distribution(spark):
     rng = np.random.default_rng(1)
     p = np.array([[0.80, 0.15, 0.05], [0.10, 0.70, 0.20], [0.05, 0.25, 0.70]])
     s = rng.choice(3, 6000, p=(0.85, 0.10, 0.05))
     e = np.array([rng.choice(3, p=p[k]) for k in s])
-    x, y = (10.0 * a[:, None] + rng.normal(0, 0.05, (6000, 1)) for a in (s, e))
-    w, _ = spectral.riteweight(x, y, 8, 400, 1.0, 100)
-    assert np.abs(np.array([w[s == k].sum() for k in range(3)]) - spectral.stationary(p)).max() < 0.05
+    x, y = (10.0 * a + rng.normal(0, 0.05, 6000) for a in (s, e))
+    df = spark.createDataFrame([(k, [float(x[k])], [float(y[k])]) for k in range(6000)], "seg_id long, x0 array<double>, x1 array<double>")
+    w, drift = spectral.reweighting_rounds(df, 24, 3, average_last=1)
+    got = np.zeros(6000)
+    for r in w.collect():
+        got[r["seg_id"]] = r["weight"]
+    assert np.abs(np.array([got[s == k].sum() for k in range(3)]) - spectral.stationary(p)).max() < 0.05 and drift[0] > drift[-1]
+    assert not spectral.drift_converged(drift) and spectral.drift_converged([0.5] * 10 + [0.001] * 20)
+    empty, none = spectral.reweighting_rounds(df.limit(0), 4, 2)
+    assert empty.count() == 0 and none == []
 
 
 def test_greedy_vamp_picks_the_slow_column(spark):
@@ -148,13 +155,206 @@ def test_weighted_draw(spark):
     assert spawning.weighted_draw(df.withColumn("w", F.lit(0.0)), "w", 7, 1, "id").count() == 7
 
 
+def test_draw_with_replacement(spark):
+    df = spark.createDataFrame([(k, 1.0 if k < 3 else 0.0) for k in range(6)], "id long, w double")
+    got = [r["id"] for r in spawning.weighted_draw(df, "w", 50, 1, "id").collect()]
+    assert len(got) == 50 and set(got) == {0, 1, 2}
+    assert len(spawning.weighted_draw(df.withColumn("w", F.lit(float("nan"))), "w", 9, 1, "id").collect()) == 9
+    assert spawning.weighted_draw(df.limit(0), "w", 5, 1, "id").count() == 0
+
+
+def test_knn_by_blocks_and_by_broadcast(spark):
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 5, (60, 3)).astype(float)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    want = {(k, j, r + 1) for k in range(60) for r, j in enumerate([j for j in np.lexsort((np.arange(60), d[k])) if j != k][:4])}
+    for size in (1 << 20, 0):
+        assert {(r["id"], r["neighbour"], r["rank"]) for r in spawning.knn(df, "id", "v", 4, 16, size).collect()} == want
+
+
 def test_lineage_errors(spark):
-    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "gone"), ("x", "y"), ("y", "x")], "frame_key string, parent string")
+    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "gone"), ("x", "y"), ("y", "x"), ("it's", "a")], "frame_key string, parent string")
     assert [r["frame_key"] for r in lineage.connected_path(df, "b", "a").orderBy("step").collect()] == ["b", "a"]
+    assert [r["frame_key"] for r in lineage.to_root(df, "it's").orderBy("depth").collect()] == ["it's", "a"]
     with pytest.raises(Exception, match="no shared ancestor"):
         lineage.connected_path(df, "b", "c").collect()
+    with pytest.raises(Exception, match="(?i)recursi"):
+        lineage.to_root(df, "x").collect()
     with pytest.raises(ValueError, match="cycle"):
         lineage.ancestors_by_doubling(df, max_rounds=8)
+    with pytest.raises(ValueError, match="no records"):
+        lineage.nearest_record(df.limit(0), ["frame_key"], [0.0], [])
+
+
+def test_survivors_and_conservation(spark):
+    w = spark.createDataFrame([(k, 0.25) for k in range(4)], "walker long, weight double")
+    some = lambda *ids: w.where(F.col("walker").isin(list(ids)))
+    assert sorted(tuple(r) for r in ensemble.survivors(w, some(0, 1)).collect()) == [(0, 0.5), (1, 0.5)]
+    assert [r["weight"] for r in ensemble.survivors(w.withColumn("weight", F.lit(0.0)), some(2, 3)).collect()] == [0.5, 0.5]
+    for alive, least in ((w.limit(0), 0.0), (some(0), 0.5)):
+        with pytest.raises(Exception, match="walkers are left"):
+            ensemble.survivors(w, alive, least=least).collect()
+    assert ensemble.conserved(w).count() == 4
+    with pytest.raises(Exception, match="weights sum to"):
+        ensemble.conserved(some(0)).collect()
+
+
+def test_registries():
+    from frameloom import registry as R
+
+    assert {"uniform", "gradient", "mab", "eigenvector", "voronoi"} <= set(R.BINNERS.names()) and "pca" in R.MODELS.available()
+    with pytest.raises(ValueError, match="no binner is called"):
+        R.BINNERS.make("nothing")
+    for name in ("tvae", "vampnet", "deep_tica", "spib"):
+        with pytest.raises((RuntimeError, NotImplementedError), match="needs|outside"):
+            R.MODELS.make(name)
+    with pytest.raises(NotImplementedError):
+        R.MODELS.make("deep_lda")
+    R.PROJECTIONS.register("Twice", lambda df: df.withColumn("twice", F.col("id") * 2))
+    assert "twice" in R.PROJECTIONS.names()
+    with pytest.raises(ValueError):
+        R.PROJECTIONS.register("", None)
+
+
+def test_projection_plug_in(spark):
+    from frameloom import registry as R
+
+    R.PROJECTIONS.register("twice", lambda df: df.withColumn("twice", F.col("id") * 2))
+    R.PROJECTIONS.register("loses", lambda df: df.select((F.col("id") * 2).alias("x")))
+    assert [r["twice"] for r in R.project(spark.range(3), "twice").orderBy("id").collect()] == [0, 2, 4]
+    with pytest.raises(ValueError, match="drops"):
+        R.project(spark.range(3), "loses")
+
+
+def test_checkpoints(spark, tmp_path):
+    import shutil
+
+    from frameloom.sources import checkpoints as C
+
+    store = C.Checkpoints(spark, f"file://{tmp_path}/run")
+    with pytest.raises(FileNotFoundError):
+        store.load()
+    history = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d")], "iteration int, entry string")
+    store.save(0, history.where("iteration < 1"), {"flux_history": [0.5]})
+    store.save(2, history)
+    assert spark.read.parquet(f"{tmp_path}/run/history/ckpt=2").count() == 2  # the gap is in the delta
+    assert sorted(r["entry"] for r in store.load().collect()) == ["a", "b", "c"] and store.flux_history() == [0.5]
+    assert [r["entry"] for r in store.load(0).collect()] == ["a"] and store.state(0) == {"flux_history": [0.5]}
+    with pytest.raises(FileNotFoundError):
+        store.load(1)
+    shutil.rmtree(tmp_path / "run" / "history" / "ckpt=0")
+    with pytest.raises(C.BrokenChain):
+        store.load()
+    with pytest.warns(UserWarning, match="incomplete"):
+        assert sorted(r["entry"] for r in store.load(ignore_missing=True).collect()) == ["b", "c"]
+    shutil.rmtree(tmp_path / "run" / "manifest" / "ckpt=2")
+    assert store.complete() == [0]
+    state = {}
+    assert C.frozen_basis(state, [1.0, 2.0]) == [1.0, 2.0] == C.frozen_basis(state, [5.0, 6.0])
+    with pytest.raises(ValueError):
+        C.frozen_basis(state, [1.0])
+    with pytest.raises(ValueError, match="no frame records"):
+        C.history_records(spark.createDataFrame([], "iteration int, frames array<struct<walker:int>>"))
+    deltas = spark.createDataFrame([(0, 0, "a"), (2, 1, "b")], "ckpt long, iteration int, entry string")
+    chain = spark.createDataFrame([(2, 0), (2, 1), (2, 2)], "ckpt long, required long")
+    with pytest.raises(Exception, match="chain is broken: deltas 1 are missing"):
+        C.merged(deltas, chain, 2).collect()
+    assert C.merged(deltas, chain, 2, ignore_missing=True).count() == 2
+    C.write_outcome(spark, f"{tmp_path}/outcome", True, 7, None)
+    assert spark.read.json(f"{tmp_path}/outcome").first()["iterations"] == 7
+
+
+def test_inputs(spark, tmp_path):
+    from frameloom.sources import inputs as I
+
+    (tmp_path / "a.json").write_text('[{"start": [1, 2], "end": [3, 4]}]')
+    (tmp_path / "b.csv").write_text('start,end\n"1,2","3,4"\n')
+    (tmp_path / "c.csv").write_text("start_0,start_1,end_0,end_1\n1,2,3,4\n")
+    for name in ("a.json", "b.csv", "c.csv"):
+        assert [(r["start"], r["end"]) for r in I.read_pairs(spark, f"{tmp_path}/{name}").collect()] == [([1.0, 2.0], [3.0, 4.0])]
+    (tmp_path / "d.json").write_text('[{"start": [1, 2], "end": [3]}]')
+    (tmp_path / "e.json").write_text("[]")
+    for name, text in (("d.json", "one dimension"), ("e.json", "one at least")):
+        with pytest.raises(ValueError, match=text):
+            I.read_pairs(spark, f"{tmp_path}/{name}")
+    (tmp_path / "run.json").write_text('{"walkers": 3, "topology": "top.pdb", "n_bins": [4], "bounds": [[0, 1]]}')
+    c = I.load_campaign(f"{tmp_path}/run.json")
+    assert c.walkers == 3 and c.topology == f"{tmp_path}/top.pdb" and c.n_bins == (4,)
+    for text in ('{"walker": 3}', '{"walkers": 0}', '{"bounds": [[1, 0], [0, 1]]}'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(ValueError):
+            I.load_campaign(f"{tmp_path}/bad.json")
+    frames = spark.createDataFrame([(w, f) for w in range(2) for f in range(3)], "walker int, frame int")
+    ask = lambda *xs: spark.createDataFrame(list(enumerate(xs)), "request int, idx long")
+    assert [(r["request"], r["walker"], r["frame"]) for r in I.by_index(frames, ask(5, 0, 5)).orderBy("request").collect()] == [(0, 1, 2), (1, 0, 0), (2, 1, 2)]
+    for bad in (-1, 6):
+        with pytest.raises(Exception, match="outside the frames"):
+            I.by_index(frames, ask(bad)).collect()
+    with pytest.raises(ValueError):
+        I.labels_of_files(spark.createDataFrame([("x",)], "path string"))
+
+
+def test_criteria(spark):
+    from frameloom.operators import criteria as K
+
+    nan = float("nan")
+    rows = [(0, [10.0, 5.0], 2.0, [0.5]), (1, [nan], None, None), (2, [10.5, 5.0], 2.05, [0.6]), (3, [10.5], 3.0, [2.0]), (4, [20.0], 3.0, None)]
+    s = spark.createDataFrame(rows, "iteration int, timescales array<double>, vamp2 double, errors array<double>")
+    one = lambda df: [(r["satisfied"], r["reason"]) for r in df.orderBy("iteration").collect()]
+    assert one(K.timescales(s)) == [(False, K.NO_BASE), (False, "no finite timescales"), (True, None), (False, K.NO_BASE), (False, None)]
+    assert one(K.score(s)) == [(False, K.NO_BASE), (False, "no VAMP-2 score"), (True, None), (False, None), (True, None)]
+    assert one(K.statistical_error(s)) == [(True, None), (False, "no Bayesian errors"), (True, None), (False, None), (False, "no Bayesian errors")]
+    pops = spark.createDataFrame([(0, [0.2, 0.8]), (1, [0.79, 0.21]), (2, None), (3, [0.5, 0.5])], "iteration int, populations array<double>")
+    assert one(K.populations(pops)) == [(False, K.NO_BASE), (True, None), (False, "no metastable populations"), (False, None)]
+    flags = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate([(True, True), (True, True), (False, True), (False, False), (True, True)])], "iteration int, a boolean, b boolean")
+    got = lambda mode, n: [(r["streak"], r["converged"]) for r in K.monitor(flags, ["a", "b"], mode, n).orderBy("iteration").collect()]
+    assert got("all", 2) == [(1, False), (2, True), (0, True), (0, True), (1, True)] and got("any", 3)[2] == (3, True) and not got("all", 3)[-1][1]
+    for bad in (([], "all"), (["a"], "most")):
+        with pytest.raises(ValueError):
+            K.monitor(flags, *bad)
+    fixed, adaptive = K.Retraining(freq=3), K.Retraining("adaptive", least=2, most=6)
+    assert [fixed.step(k) for k in range(4)] == [True, False, False, True] and fixed.step(5, has_model=False)
+    assert adaptive.step(0, False, new_score=2.0) and [adaptive.step(k, True, 1.0) for k in (1, 2, 3)] == [False, False, True]
+    assert [adaptive.step(k, True, 1.95) for k in range(4, 11)] == [False] * 6 + [True]
+    with pytest.raises(ValueError):
+        K.Retraining("sometimes")
+    kept = K.keep_features(list(range(40)), 5000)
+    assert len(kept) == 10 and kept[0] == 0 and kept[-2:] == [38, 39] and kept == sorted(kept) and K.keep_features([1, 2], 9) == [1, 2]
+
+
+def test_models(spark):
+    from frameloom.operators import msm
+
+    c = np.round(spectral.stationary(P3 := np.array([[0.9, 0.1, 0.0], [0.05, 0.9, 0.05], [0.0, 0.2, 0.8]]))[:, None] * P3 * 1e5)
+    rows = [(0, i, j, int(c[i, j])) for i in range(3) for j in range(3) if c[i, j]] + [(1, 7, 7, 5)]
+    counts = spark.createDataFrame(rows, "iteration int, i long, j long, c long")
+    got = {r["iteration"]: r for r in msm.models(counts, "iteration", 1, 2, 2, 50).collect()}
+    assert np.allclose(got[0]["pi"], spectral.stationary(P3), atol=1e-3) and len(got[0]["populations"]) == 2 and min(got[0]["errors"]) > 0
+    assert got[1]["timescales"] is None and msm.latest(msm.models(counts, "iteration", 1)).first()["iteration"] == 0
+    pads = msm.padded(spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan")]), (2, None)], "iteration int, timescales array<double>"))
+    assert [r["timescales"] for r in pads.orderBy("iteration").collect()] == [[1.0, 2.0], [None, None], [None, None]]
+    frames = spark.createDataFrame([(k, s) for k, s in enumerate([0, 0, 1, 2, 9])], "id int, s long")
+    w = {r["id"]: (r["active"], r["weight"]) for r in msm.frame_weights(frames, "s", msm.models(counts.where("iteration = 0"), "iteration", 1)).collect()}
+    assert w[4] == (-1, 0.0) and w[0] == w[1] and abs(sum(x for _, x in w.values()) - 1) < 1e-9
+
+
+def test_regular_space_centres(spark):
+    df = spark.createDataFrame([(float(x), 0.0) for x in (0, 1, 2, 9, 10, 20)], "x double, y double")
+    assert sorted(c[0] for c in binning.regular_centres(df, ["x", "y"], 5.0)) == [0.0, 10.0, 20.0]
+    assert len(binning.regular_centres(df, ["x", "y"], 0.5, most=2)) == 2 and len(binning.regular_centres(df.limit(0), ["x", "y"], 1.0)) == 0
+
+
+def test_fitted_deviation_is_free_of_rotation(spark):
+    from frameloom.functions import geometry as G
+
+    rng = np.random.default_rng(0)
+    ref = rng.normal(size=(7, 3))
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    df = spark.createDataFrame([(0, (ref @ q + 5).tolist()), (1, (ref * [1, 1, -1]).tolist())], "id int, xyz array<array<double>>")
+    got = {r["id"]: r["rmsd"] for r in G.fitted(df, "xyz", ref.tolist()).collect()}
+    assert got[0] < 1e-6 < 0.1 < got[1]
 
 
 def test_whole_tables(spark, duck):
