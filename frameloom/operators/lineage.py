@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,30 +10,30 @@ from ..scratch import materialize
 
 
 def to_root(records: DataFrame, start: str, key: str = "frame_key", parent: str = "parent") -> DataFrame:
-    """(frame_key, depth) from a frame to its root; a missing parent ends the walk, a cycle is an error: no walk is longer
-    than there are records. The two key columns are written once, and the recursive query walks those."""
-    return _walk(key_columns(records, key, parent), start)
-
-
-def key_columns(records: DataFrame, key: str = "frame_key", parent: str = "parent") -> DataFrame:
-    return materialize(records.select(F.col(key).alias("k"), F.col(parent).alias("p")), "lineage")
-
-
-def _walk(keys: DataFrame, start: str) -> DataFrame:
-    spark, view = keys.sparkSession, f"_lineage_{uuid.uuid4().hex}"
-    limit = keys.count() + 1
-    keys.createOrReplaceTempView(view)
-    try:
-        return spark.sql(
-            f"""WITH RECURSIVE walk(frame_key, parent, depth) MAX RECURSION LEVEL {limit} AS (
-                  SELECT k, p, 0 FROM {view} WHERE k = :start
-                  UNION ALL
-                  SELECT r.k, r.p, w.depth + 1 FROM walk w JOIN {view} r ON r.k = w.parent)
-                SELECT frame_key, depth FROM walk""",
-            args={"start": start},
-        )
-    finally:
-        spark.catalog.dropTempView(view)
+    """(frame_key, depth) from a frame to its root; a missing parent ends the walk, an unknown start has none, a cycle is
+    an error."""
+    return chains(records, [start], key, parent).select("frame_key", "depth")
+
+
+def chains(records: DataFrame, starts: list[str], key: str = "frame_key", parent: str = "parent") -> DataFrame:
+    """(start, frame_key, depth) from each start to its root, by doubling: what is known of a chain is carried as far up
+    again by a table of jumps that are twice as long each round. log2(depth) rounds over two written columns, so neither
+    the records' own plan nor a chain's single steps are repeated."""
+    spark = records.sparkSession
+    keys = materialize(records.select(F.col(key).alias("k"), F.col(parent).alias("p")), "lineage")
+    n, step = keys.count(), 1
+    jumps = keys.join(keys.select(F.col("k").alias("p")), "p").select("k", "p")
+    wanted = spark.createDataFrame([(x,) for x in dict.fromkeys(starts)], "k string")
+    known = materialize(keys.join(F.broadcast(wanted), "k", "left_semi").select(F.col("k").alias("start"), F.col("k").alias("frame_key"), F.lit(0).cast("long").alias("depth")), "chains")
+    while True:
+        up = materialize(known.join(jumps, known.frame_key == jumps.k).select("start", F.col("p").alias("frame_key"), (F.col("depth") + step).alias("depth")), "chains")
+        if up.isEmpty():
+            return known
+        if step > n:
+            raise ValueError("the lineage has a cycle")
+        known, step = known.union(up), 2 * step
+        far = jumps.select(F.col("k").alias("p"), F.col("p").alias("far"))
+        jumps = materialize(jumps.join(far, "p").select("k", F.col("far").alias("p")), "jumps")
 
 
 def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: str = "parent", max_rounds: int = 40) -> DataFrame:
@@ -68,9 +66,9 @@ def nearest_record(records: DataFrame, columns: list[str], point: list[float], o
 
 def connected_path(records: DataFrame, start: str, end: str) -> DataFrame:
     """(step, frame_key) from start up to the last common ancestor and down to end; no common ancestor is an error."""
-    keys = key_columns(records)
-    a = _walk(keys, start).withColumnRenamed("depth", "da")
-    b = _walk(keys, end).withColumnRenamed("depth", "db")
+    both = chains(records, [start, end])
+    a = both.where(F.col("start") == start).select("frame_key", F.col("depth").alias("da"))
+    b = both.where(F.col("start") == end).select("frame_key", F.col("depth").alias("db"))
     common = a.join(b, "frame_key").orderBy("db").limit(1).select(F.col("da").alias("ca"), F.col("db").alias("cb"))
     checked = common.agg(F.first("ca").alias("ca"), F.first("cb").alias("cb")).select(F.when(F.col("ca").isNotNull(), F.col("ca")).otherwise(F.raise_error(F.lit("no shared ancestor")).cast("int")).alias("ca"), "cb")
     up = a.crossJoin(F.broadcast(checked)).where("da <= ca").select(F.col("da").alias("step"), "frame_key")
