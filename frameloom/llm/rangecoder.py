@@ -25,64 +25,90 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, bucketed_by_id, map_arrow, scratch_path, slices, token_cache
 
-MAGIC = b"FLCM2\n"
+MAGIC = b"FLCM3\n"
 BLOCK, SLOTS = 1024, 1 << 10
 BITS, TOP = 12, 20  # shares are parts of 2^12, alphabets at most 2^20: together they fit the range, 2^32 at least
 #: Order 0's share moves a sixteenth of the way to HIT or MISS; every part of the mixture keeps at least one of 2^12.
 RATE, HIT, MISS = 4, 3840, 300
 #: What orders 1 and 2 get of what is left, by how often in a row the guess was right at its place.
 _SHARES = np.array([[32, 600, 1800, 2500, 2900, 3200, 3400, 3500], [32, 1500, 2700, 3200, 3500, 3650, 3750, 3840]])
-_U = np.uint64
+#: Where, in 2^12, order 2's share ends and order 1's after it, by 8 times order 2's level and order 1's.
+_END2 = np.repeat(_SHARES[1], 8).astype(np.int32)
+_END1 = (_END2 + ((1 << BITS) - _END2) * np.tile(_SHARES[0], 8) // (1 << BITS)).astype(np.int32)
+_U, _I = np.uint64, np.uint32
+_SLOT = _I(33 - SLOTS.bit_length())  # a hash's upper bits name its slot
 _LOW, _HALF, _BITS = _U(1 << 32), _U(32), _U(BITS)
 #: Order 0: weight of the id seen d steps ago, and sums of the weights up to d.
 _SEEN = np.concatenate([[0], (1 << 14) // (np.arange(1, BLOCK + 1) + 4)])
 _SUMS = np.cumsum(_SEEN)
+_STEPS = np.repeat(np.arange(BLOCK + 1), _SEEN)  # how long ago, by a number below the last of the sums
 
 
 class _Model:
-    """Orders 2 and 1 and the shares of all lanes; both coders drive it in the same way. Ids are counted from 1 here."""
+    """Orders 2 and 1 and the shares of all lanes; both coders drive it in the same way. Ids are counted from 1 here.
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+    An entry of the tables is an id and a confidence (1 to 7), 0 is none. With wide=1, each entry of order 1 has a
+    neighbour for the coder's own use: the place of an id is where the next step looks for what follows it.
+    """
+
+    def __init__(self, lanes: int, wide: int = 0):
+        self.lane, self.wide = np.arange(lanes), wide
         self.base = self.lane * SLOTS
-        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # id and confidence (1 to 7); 0: none
-        self.seen = np.full(lanes, 1500)  # share of order 0 in what orders 2 and 1 leave
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.ends = np.zeros((5, 0), np.int64)  # where the shares of order 2, 1 and 0 and the alphabet start, and the end
+        self.first, self.second = np.zeros(lanes * SLOTS << wide, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.seen = np.full(lanes, 1500, np.int32)  # share of order 0 in what orders 2 and 1 leave
+        self.one, self.one_hash, self.two_hash = (np.zeros(lanes, _I) for _ in range(3))
+        self.at1 = self.base << wide
+        self.ends = np.zeros((5, 0), np.int32)  # where the shares of order 2, 1 and 0 and the alphabet start, and the end
 
     def predict(self, n: int) -> None:
         """Guesses of the first n lanes, and the ends of the shares of order 2, 1 and 0 in 2^12."""
-        one, mixed = self.one[:n], self.one[:n] * 2654435761
-        self.at = [(mixed >> 9 & SLOTS - 1) + self.base[:n], (((mixed ^ self.two[:n] * 40503) * 2246822519) >> 15 & SLOTS - 1) + self.base[:n]]
-        entry = [t.take(at) for t, at in zip(self.table, self.at, strict=True)]
-        self.level = [e & 7 for e in entry]
-        self.guess = [e >> 3 for e in entry]
+        mixed = self.one_hash[:n] ^ self.two_hash[:n]
+        mixed *= _I(2246822519)
+        mixed >>= _SLOT
+        self.at2 = mixed.astype(np.intp)
+        self.at2 += self.base[:n]
+        one, two = self.first.take(self.at1[:n]), self.second.take(self.at2)
+        self.level1, self.level2 = one & 7, two & 7
+        self.guess1, self.guess2 = one >> 3, two >> 3
         if self.ends.shape[1] != n:
-            self.ends = np.zeros((5, n), np.int64)
+            self.ends = np.zeros((5, n), np.int32)
             self.ends[4] = 1 << BITS
         _, self.end2, self.end1, self.end0, whole = self.ends
-        _SHARES[1].take(self.level[1], out=self.end2, mode="clip")
-        for before, end, share in ((self.end2, self.end1, _SHARES[0].take(self.level[0])), (self.end1, self.end0, self.seen[:n])):
-            np.subtract(whole, before, out=end)
-            end *= share
-            end >>= BITS
-            end += before
-
+        levels = (self.level2 * 8 + self.level1).astype(np.intp)
+        _END2.take(levels, out=self.end2, mode="clip")
+        _END1.take(levels, out=self.end1, mode="clip")
+        np.subtract(whole, self.end1, out=self.end0)
+        self.end0 *= self.seen[:n]
+        self.end0 >>= BITS
+        self.end0 += self.end1
+
+    def place(self, n: int, x: np.ndarray) -> np.ndarray:
+        """Places in the table of order 1 of the next step, where x (counted from 1) is the id before."""
+        x = x.view(_I)
+        self.two_hash[:n] = self.one[:n] * _I(40503)
+        self.one_hash[:n] = x * _I(2654435761)
+        self.one[:n] = x
+        at = (self.one_hash[:n] >> _SLOT).astype(np.intp)
+        at += self.base[:n]
+        at <<= self.wide
+        return at
 
     def segment(self, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's share: 0 is order 2's, 1 order 1's, 2 order 0's, 3 the alphabet's."""
-        at = which * n + self.lane[:n]
+        at = which * n
+        at += self.lane[:n]
         start = self.ends.take(at)
-        return start.astype(_U), (self.ends.take(at + n) - start).astype(_U)
-
-    def update(self, n: int, x: np.ndarray, which: np.ndarray) -> None:
-        """x counted from 1, and the share each lane was coded in."""
-        own = self.seen[:n]
-        own += (which > 1) * ((which == 2) * (HIT - MISS) + MISS - own >> RATE)
-        for k, hit in ((1, which == 0), (0, self.guess[0] == x)):
-            self.table[k][self.at[k]] = x * 8 + 1 + hit * np.minimum(self.level[k], 6)
-        self.two[:n] = self.one[:n]
-        self.one[:n] = x
+        at += n
+        return start.astype(_U), (self.ends.take(at) - start).astype(_U)
+
+    def update(self, n: int, x: np.ndarray, which: np.ndarray, late: np.ndarray, at: np.ndarray) -> None:
+        """x counted from 1, the share each lane was coded in, the lanes whose share is 2 or 3, and x's places."""
+        own = self.seen[late]
+        self.seen[late] = own + (np.where(which[late] == 2, np.int32(HIT), np.int32(MISS)) - own >> RATE)
+        entry = x * 8 + 1
+        self.second[self.at2] = entry + np.minimum(self.level2, 6) * (which == 0)
+        self.first[self.at1[:n]] = entry + np.minimum(self.level1, 6) * (self.guess1 == x)
+        self.at1[:n] = at
 
 
 def _lengths(n: int) -> np.ndarray:
@@ -101,28 +127,29 @@ def _by_time(tokens: np.ndarray, lanes: int) -> np.ndarray:
 
 def encode_blocks(tokens: np.ndarray, alphabet: int) -> bytes:
     lengths = _lengths(len(tokens))
-    lanes, model = len(lengths), _Model(len(lengths))
+    lanes, model = len(lengths), _Model(len(lengths), 1)
     lane, x_of = model.lane, _by_time(tokens, lanes)
-    flat, last_at = x_of.ravel(), np.zeros(lanes * SLOTS, np.int32)  # time after the last id of a hash, to find distances
+    last = model.first  # beside an entry: the id that was last there and when, to find distances
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     words, used = np.zeros((lanes, BLOCK + 4), _U), np.zeros(lanes, np.int64)  # a step gives one word at most
     for t in range(int(lengths.max(initial=0))):
         n = lanes if t < lengths[-1] else lanes - 1  # only the last block can be short
-        x = x_of[t, :n].astype(np.int64)
-        at = (x * 2654435761 >> 13 & SLOTS - 1) + model.base[:n]
-        before = last_at.take(at) - 1
-        last_at[at] = t + 1
+        x = x_of[t, :n]
+        x1 = x + 1
         model.predict(n)
-        which = 3 - 3 * (hit2 := model.guess[1] == x + 1)
-        which -= 2 * ((model.guess[0] == x + 1) & ~hit2)
-        k = np.flatnonzero(which == 3)
-        back = before[k]
-        k_seen = (back >= 0) & (flat.take(np.maximum(back, 0) * lanes + k) == x[k])
-        which[k] -= k_seen
+        miss2 = model.guess2 != x1
+        k = np.flatnonzero(miss2 & (model.guess1 != x1))
+        at = model.place(n, x1)
+        beside = at + 1
+        was = last.take(beside[k])
+        last[beside] = x1 * BLOCK + t
+        k_seen = was // BLOCK == x1[k]
+        which = miss2.astype(np.intp)
+        which[k] = 3 - k_seen
         start, size = model.segment(n, which)
         r = rng[:n] >> _BITS
         add, new = r * start, r * size
-        d = k_seen * (t - back)
+        d = k_seen * (t - was % BLOCK)
         r = new[k] // np.where(k_seen, max(1, int(_SUMS[t])), alphabet).astype(_U)
         add[k] += r * np.where(k_seen, _SUMS[np.maximum(d - 1, 0)], x[k]).astype(_U)
         new[k] = r * np.where(k_seen, _SEEN[d], 1).astype(_U)
@@ -130,16 +157,17 @@ def encode_blocks(tokens: np.ndarray, alphabet: int) -> bytes:
         over = np.flatnonzero(add < low[:n])
         words[over, used[over] - 1] += _U(1)
         low[:n], rng[:n] = add, new
+        model.update(n, x1, which, k, at)
         k = np.flatnonzero(new < _LOW)
         words[k, used[k]] = low[k] >> _HALF
         used[k] += 1
         low[k] <<= _HALF
         rng[k] <<= _HALF
-        model.update(n, x + 1, which)
     for _ in range(2):
         words[lane, used] = low >> _HALF
         low <<= _HALF
         used += 1
+    words = words[:, : int(used.max(initial=0)) + 1]
     for j in range(words.shape[1] - 1, 0, -1):  # what ran over goes to the word before
         words[:, j - 1] += words[:, j] >> _HALF
     words = words.astype("<u4")
@@ -160,6 +188,8 @@ def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
     if not lanes:
         return np.empty(0, np.uint32)
     lengths = np.array([h[0] for h in heads])
+    if lengths.max() > BLOCK:
+        raise ValueError(f"a block of over {BLOCK} ids")
     words = np.zeros((lanes, max(h[1] for h in heads) + 2), np.uint32)
     for k, (_, used, _, start) in enumerate(heads):
         words[k, :used] = np.frombuffer(data, "<u4", used, start)
@@ -169,20 +199,21 @@ def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
     code, rng = words.take(at).astype(_U) << _HALF | words.take(at + 1).astype(_U), np.full(lanes, (1 << 64) - 1, _U)
     out = np.zeros((BLOCK, lanes), np.int32)
     flat = out.ravel()
-    for t in range(int(lengths.max())):
-        n = int((lengths > t).sum())
+    for t, n in enumerate((lanes - np.cumsum(np.bincount(lengths)))[:-1].tolist()):
         model.predict(n)
         r = rng[:n] >> _BITS
-        value = np.minimum(code[:n] // r, _U((1 << BITS) - 1)).astype(np.int64)
-        which = (value >= model.end2).astype(np.int64) + (value >= model.end1) + (value >= model.end0)
+        value = np.minimum(code[:n] // r, _U((1 << BITS) - 1)).astype(np.int32)
+        which = np.add((value >= model.end2).view(np.int8), (value >= model.end1).view(np.int8))
+        which += (value >= model.end0).view(np.int8)
+        which = which.astype(np.intp)
         start, size = model.segment(n, which)
-        x = np.where(which == 0, model.guess[1], model.guess[0]).astype(np.int64) - 1
+        x = np.where(which == 0, model.guess2, model.guess1) - 1
         rest, new = code[:n] - r * start, r * size
-        k = np.flatnonzero(which > 1)
+        late = k = np.flatnonzero(which > 1)
         lately, total = which[k] == 2, max(1, int(_SUMS[t]))
         r = np.maximum(new[k] // np.where(lately, total, alphabet).astype(_U), _U(1))  # nought only in a broken file
         value = np.minimum(rest[k] // r, np.where(lately, total, alphabet).astype(_U) - _U(1)).astype(np.int64)
-        d = np.minimum(np.searchsorted(_SUMS, value, side="right"), max(1, t))
+        d = np.minimum(_STEPS.take(value, mode="clip"), max(1, t))
         x[k] = np.where(lately, flat.take(np.maximum(t - d, 0) * lanes + lane[k]), value)
         rest[k] -= r * np.where(lately, _SUMS[d - 1], value).astype(_U)
         new[k] = r * np.where(lately, _SEEN[d], 1).astype(_U)
@@ -192,7 +223,8 @@ def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
         code[k] = code[k] << _HALF | words.take(at[k] + np.minimum(used[k], width - 1)).astype(_U)
         used[k] += 1
         rng[k] = np.maximum(rng[k] << _HALF, _U(1 << BITS))
-        model.update(n, x + 1, which)
+        x += 1
+        model.update(n, x, which, late, model.place(n, x))
     out = np.ascontiguousarray(out.T)
     tokens = np.concatenate([out[k, : lengths[k]] for k in range(lanes)]).astype(np.uint32)
     at = 0
