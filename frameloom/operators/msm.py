@@ -24,7 +24,7 @@ def models(counts: DataFrame, by: str, lag: int | str, n_timescales: int = 2, n_
     """One row for each group of counts (by, i, j, c), states being numbers: see SERIES. lag: a number, or the column of it.
 
     A group is one small matrix (guard states at most), and groups are independent tasks. states are the active ones, in
-    order; populations are those of n_metastable sets, or of the states without. Groups whose largest connected set has
+    order; populations are those of n_metastable sets, or of the states without or if there are no more of them. Groups whose largest connected set has
     under two states have nulls.
     """
     import pandas as pd
@@ -42,7 +42,7 @@ def models(counts: DataFrame, by: str, lag: int | str, n_timescales: int = 2, n_
             m = spectral.markov_model(c, step, n_timescales)
         except RuntimeError:
             return pd.DataFrame([{by: key[0], "timescales": None, "vamp2": None, "populations": None, "errors": None, "states": None, "pi": None, "counts": None, "slow": None}])
-        sets = spectral.pcca(m["matrix"], n_metastable) if n_metastable > 1 else np.arange(len(m["pi"]))
+        sets = spectral.pcca(m["matrix"], n_metastable) if 1 < n_metastable < len(m["pi"]) else np.arange(len(m["pi"]))
         errors = bayesian_errors(m["counts"], step, bayesian, n_timescales).tolist() if bayesian else None
         return pd.DataFrame([{by: key[0], "timescales": m["timescales"].tolist(), "vamp2": m["vamp2"], "populations": np.bincount(sets, m["pi"]).tolist(), "errors": errors, "states": names[m["states"]].tolist(), "pi": m["pi"].tolist(), "counts": m["counts"].sum(axis=1).tolist(), "slow": m["eigenvectors"].T.tolist()}])
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import geometry as G
-from ..operators import binning, criteria, sequence, spawning, spectral
+from ..operators import binning, criteria, msm, sequence, spawning, spectral, states
 from ..scratch import scratch_dir
 from ..sources import checkpoints as C
 from ..sources import frames as S
 from ..sources import inputs
-from .queries import _CELL, _ECELL, _FR, _KNN, _SERIES, _TWO, BOUNDS, SHAPE, _model_series, _rounded, _sc, _two, ev, ev_cells, li, query
+from .queries import _CELL, _ECELL, _FR, _KNN, _SERIES, _TWO, BOUNDS, SHAPE, _features, _model_series, _rounded, _sc, _two, ev, ev_cells, li, query
 
 
 def _scratch(spark, name: str) -> str:
@@ -236,3 +236,59 @@ def reweighting(spark, d):
     steps = sequence.lagged(ev(spark, d), ["x", "y"], 1, ["walker"]).select(F.col("event_id").alias("seg_id"), F.array("x", "y").alias("x0"), F.array("x_lag", "y_lag").alias("x1"))
     w, drift = spectral.reweighting_rounds(steps, 12, 2, average_last=2)
     return w.agg(F.count("*").alias("segments"), X.scaled(F.sum("weight")).alias("total")).withColumn("drift", F.lit(bool(np.isfinite(drift).all() and max(drift) < 2)))
+
+
+# ---- models and labels --------------------------------------------------------------------------------------------
+
+
+def _lagged_sql(value: str, lag: int) -> str:
+    """Moments of pairs of a value of embeddings' vectors, in segments of 50, by k."""
+    return f"pr AS (SELECT k, u, lead(u, {lag}) OVER (PARTITION BY k, vec_id // 50 ORDER BY vec_id) AS w FROM ({value})), mn AS (SELECT k, (avg(u) + avg(w)) / 2 AS m FROM pr WHERE w IS NOT NULL GROUP BY k), ks AS (SELECT k, least(avg((u - m) * (w - m)) ** 2 / (avg((u - m) ** 2) * avg((w - m) ** 2)), 1) AS score FROM pr JOIN mn USING (k) WHERE w IS NOT NULL GROUP BY k)"
+
+
+@query("score", f"SELECT {_sc('score', 7)} AS score FROM ks", _lagged_sql("SELECT 0 AS k, vec_id, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS u FROM embeddings", 2))
+def projected_score(spark, d):
+    """A model that averages the 64 columns."""
+    model = lambda f: spectral.project(f, "v", np.zeros(64), np.full((64, 1), 1 / 64))
+    score = states.projected_score(_features(spark, d), model, "cv", 2, ["walker"])
+    return spark.createDataFrame([(score,)], "score double").withColumn("score", X.scaled("score", 7))
+
+
+@query("type! score selected?", f"SELECT 'column ' || k AS type, {_sc('score', 7)} AS score, row_number() OVER (ORDER BY score DESC) = 1 AS selected FROM ks", _lagged_sql("SELECT * FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS u FROM embeddings)", 1))
+def feature_types(spark, d):
+    """Each of the 64 columns as a feature type of its own."""
+    types = {f"column {k}": [k] for k in range(64)}
+    scores = states.type_scores(spectral.covariances(_features(spark, d), "v", 1, ["walker"]), types)
+    chosen = states.FeatureChoice(list(types), "column 0").step(0, lambda: scores)
+    return spark.createDataFrame([(k, v, k == chosen) for k, v in scores.items()], "type string, score double, selected boolean").withColumn("score", X.scaled("score", 7))
+
+
+@query("vec_id state target", "SELECT vec_id, dense_rank() OVER (ORDER BY p) - 1 AS state, t AS target FROM pl", "pl AS (SELECT vec_id, label // 3 * 7 AS p, lead(label, 2) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS t FROM embeddings)")
+def relabelled_states(spark, d):
+    """Three labels become one state; the target is the label two steps later."""
+    f = S.table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("walker"), F.col("vec_id").alias("frame"), "label", (F.floor(F.col("label") / 3) * 7).alias("predicted"))
+    targets = states.label_pairs(f, "vec_id", "label", 2, ["walker"]).select("vec_id", "target")
+    return states.relabel(f, "predicted").join(targets, "vec_id", "left")
+
+
+@query("changed states", f"SELECT {_sc('avg(CASE WHEN label <> label // 3 * 7 THEN 1.0::DOUBLE ELSE 0 END)')} AS changed, count(DISTINCT label // 3) AS states FROM embeddings")
+def label_churn(spark, d):
+    f = S.table(spark, d, "embeddings").withColumn("predicted", F.floor(F.col("label") / 3) * 7)
+    return states.churn(f, "label", "predicted").withColumn("changed", X.scaled("changed"))
+
+
+@query("rank population", f"SELECT row_number() OVER (ORDER BY p) AS rank, {_sc('p / sum(p) OVER ()')} AS population FROM (SELECT r, sum(c)::DOUBLE AS p FROM nc GROUP BY r)", "nc AS (SELECT a.n_regionkey AS r, CASE WHEN a.n_regionkey = b.n_regionkey THEN 1000 ELSE 1 + a.n_regionkey * b.n_regionkey END AS c FROM nation a JOIN nation b ON true)")
+def metastable_populations(spark, d):
+    """Nations as states that change mostly within their region: the sets are the regions."""
+    n = S.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("j"), F.col("n_regionkey").alias("s"))
+    rows = n.select(F.col("j").alias("i"), F.col("s").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("j")).join(n, "j")
+    counts = rows.select(F.lit(0).alias("part"), "i", "j", F.when(F.col("r") == F.col("s"), 1000).otherwise(1 + F.col("r") * F.col("s")).alias("c"))
+    sets = msm.models(counts, "part", 1, 4, n_metastable=5).select(F.posexplode(F.array_sort("populations")).alias("k", "population"))
+    return sets.select((F.col("k") + 1).alias("rank"), X.scaled("population").alias("population"))
+
+
+@query("iteration processes positive?", "SELECT iteration, 1 AS processes, true AS positive FROM se", _SERIES)
+def posterior_errors(spark, d):
+    """Deviations of the timescale over 100 samples of each iteration's posterior; a test has the size they should have."""
+    m = _model_series(spark, d, bayesian=100)
+    return m.select("iteration", F.size("errors").alias("processes"), F.forall("errors", lambda e: (e > 0) & (e < 1e9)).alias("positive"))

@@ -457,11 +457,11 @@ _SERIES = (
 )
 
 
-def _model_series(spark, d) -> DataFrame:
+def _model_series(spark, d, **more) -> DataFrame:
     """One model for each iteration's transitions."""
     w = W.partitionBy("walker").orderBy("frame")
     pairs = _two(spark, d).select("iteration", F.col("s").alias("i"), F.lead("s").over(w).alias("j")).where("j IS NOT NULL")
-    return msm.models(pairs.groupBy("iteration", "i", "j").agg(F.count("*").alias("c")), "iteration", 1, 1).where("timescales IS NOT NULL")
+    return msm.models(pairs.groupBy("iteration", "i", "j").agg(F.count("*").alias("c")), "iteration", 1, 1, **more).where("timescales IS NOT NULL")
 
 
 @query("iteration vamp2 major", f"SELECT iteration, {_sc('score', 5)} AS vamp2, {_sc('hi', 5)} AS major FROM se", _SERIES)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import expressions as X
-from frameloom.operators import binning, ensemble, lineage, sequence, spawning, spectral
+from frameloom.operators import binning, ensemble, lineage, msm, sequence, spawning, spectral, states
 from frameloom.plans.queries import ORACLE_SQL, QUERIES
 from frameloom.sources import frames as S
 
@@ -425,3 +425,70 @@ def test_text_folder_is_optional():
 
     code = "import sys; sys.modules['frameloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+
+def test_posterior_errors_have_the_size_of_the_delta_method():
+    n0, n1, a, b = 4e5, 2e5, 0.05, 0.1
+    counts = np.array([[n0 * (1 - a), n0 * a], [n1 * b, n1 * (1 - b)]])
+    size = 1 - a - b
+    expected = np.sqrt(a * (1 - a) / n0 + b * (1 - b) / n1) / (size * np.log(size) ** 2)
+    assert abs(msm.bayesian_errors(counts, 1, 2000, 1)[0] / expected - 1) < 0.1
+
+
+def test_sets_of_too_few_states_are_the_states(spark):
+    counts = spark.createDataFrame([(0, 0, 0, 90), (0, 0, 1, 10), (0, 1, 0, 10), (0, 1, 1, 190)], "part int, i long, j long, c long")
+    for n in (2, 3):
+        assert np.allclose(msm.models(counts, "part", 1, 1, n_metastable=n).first()["populations"], [1 / 3, 2 / 3], atol=1e-6)
+
+
+def test_feature_choice():
+    choice, calls = states.FeatureChoice(["near", "angle"], "near", cadence=3), []
+
+    def scores(**found):
+        return lambda: calls.append(1) or found
+
+    assert choice.step(1, scores()) == "near" and choice.selected is None  # nothing could be computed: still due
+    assert choice.step(2, scores(near=0.5, angle=0.9, other=2.0)) == "angle"
+    choice.columns = [3, 1]
+    assert choice.step(4, scores(near=5.0)) == "angle" and len(calls) == 2
+    assert choice.step(6, scores(near=0.1, angle=0.2)) == "angle" and choice.columns == [3, 1]
+    assert choice.step(9, scores(near=0.3, angle=0.2)) == "near" and choice.columns is None
+    assert states.FeatureChoice([], "near").step(0, scores(near=1.0)) == "near"
+    cov = {"c00": np.diag([1.0, 2.0, 0.0]), "ctt": np.diag([1.0, 2.0, 0.0]), "c0t": np.diag([0.5, 1.8, 0.0])}
+    found = states.type_scores(cov, {"a": [0], "b": [1], "both": [0, 1], "none": []})
+    assert np.allclose([found["a"], found["b"], found["both"]], [0.25, 0.81, 1.06]) and "none" not in found
+
+
+def test_score_of_a_model(spark):
+    rng = np.random.default_rng(3)
+    slow = np.cumsum(rng.normal(size=400)) * 0.1
+    df = spark.createDataFrame([(0, k, [float(slow[k]), float(rng.normal())]) for k in range(400)], "walker int, frame int, v array<double>")
+    keep = lambda k: lambda f: f.withColumn("cv", F.array(F.get("v", F.lit(k))))
+    assert states.projected_score(df, keep(0), "cv", 1, ["walker"]) > 0.8 > 0.2 > states.projected_score(df, keep(1), "cv", 1, ["walker"])
+    assert states.projected_score(df, None, "cv", 1, ["walker"]) is None and states.projected_score(df, keep(0), "cv", 400, ["walker"]) is None
+
+
+def test_labels_are_refined_until_they_settle(spark):
+    df = spark.createDataFrame([(k, float(k % 10), k % 3) for k in range(60)], "frame int, x double, label int")
+    fits = []
+
+    def fit(frames, label):
+        fits.append(frames.agg(F.countDistinct(label)).first()[0])
+        low, high = (4, 9) if len(fits) == 1 else (0, 1)  # the first fit leaves most of its states empty
+        return lambda f: f.withColumn("predicted", F.when(F.col("x") < 5, low).otherwise(high))
+
+    got, changes = states.refine(df, "label", fit, lambda f: f.checkpoint())
+    assert changes == [1.0, 0.0] and fits == [3, 2]
+    assert {(r.x < 5, r.label) for r in got.collect()} == {(True, 0), (False, 1)}
+    one, changes = states.refine(df, "label", lambda f, c: lambda g: g.withColumn("predicted", F.lit(1)), lambda f: f.checkpoint())
+    assert len(changes) == 1 and {r.label for r in one.collect()} == {0}
+    none, changes = states.refine(df.limit(0), "label", fit, lambda f: f.checkpoint())
+    assert changes == [] and none.count() == 0
+    nulls = states.relabel(spark.createDataFrame([(1, None), (2, 7), (3, 3), (4, 7)], "frame int, p int"), "p")
+    assert {(r.frame, r.state) for r in nulls.collect()} == {(1, None), (2, 1), (3, 0), (4, 1)}
+    assert {(r.frame, r.target) for r in states.label_pairs(df.withColumn("w", F.lit(0)).where("frame < 5"), "x", "label", 3, ["w"]).collect()} == {(0, 0), (1, 1)}
+
+
+def test_label_bookkeeping_of_nothing(spark):
+    r = states.churn(spark.createDataFrame([], "label int, p int"), "label", "p").first()
+    assert r["changed"] is None and r["states"] == 0
