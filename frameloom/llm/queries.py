@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, chat, fingerprints, langid, minhash, packing, quality, rangecoder, style_tree
+from . import arc, bpe, chat, fingerprints, langid, line_dedup, minhash, packing, prefix_trie, quality, rangecoder, style_tree, whitening
+from .common import materialize
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +66,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.positions(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.grafted(materialize(turns, "positions")))
+
+
 QUALITY_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS x,
@@ -104,5 +119,66 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000
 """
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_chat, op4_language, op5_quality, op6_main_text, op7_archives, op8_packing, op9_near_duplicates, op10_bpe)}
-ORACLE_SQL = {"op5_quality": QUALITY_SQL, "op7_archives": ARCHIVES_SQL}
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+c AS (
+  SELECT key, max(doc_id) AS owner FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, line, pos, coalesce(c.owner <> l.doc_id, false) AS gone FROM l LEFT JOIN c ON l.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS i, d, b
+  FROM (SELECT conv_id, turn, strlen(coalesce(text, '')) AS b,
+               sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL)),
+crc_table(n, k, v) AS (SELECT * FROM (
+  WITH RECURSIVE r(n, k, v) AS (
+    SELECT range, 0, CAST(range AS BIGINT) FROM range(256)
+    UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END FROM r WHERE k < 8)
+  SELECT n, k, v FROM r WHERE k = 8)),
+hash(c, i, v) AS (SELECT * FROM (
+  WITH RECURSIVE r(c, i, v) AS (
+    SELECT DISTINCT c, 0, CAST(4294967295 AS BIGINT) FROM t
+    UNION ALL
+    SELECT r.c, r.i + 1, xor(r.v // 256, x.v)
+    FROM r JOIN crc_table x ON x.n = xor(r.v % 256, ascii(substr(CAST(r.c AS VARCHAR), r.i + 1, 1)))
+    WHERE r.i < length(CAST(r.c AS VARCHAR)))
+  SELECT c, i, v FROM r WHERE i = length(CAST(c AS VARCHAR)))),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+k AS (SELECT n.c, n.n, hash.c - hash.c % 5 AS base, xor(hash.v, CAST(4294967295 AS BIGINT)) % 9 AS h FROM n JOIN hash ON n.c = hash.c),
+kb AS (SELECT k.*, least(k.h, coalesce(n.n, 0)) AS head FROM k LEFT JOIN n ON n.c = k.base),
+rows AS (
+  SELECT kb.c, t.i + 1 AS depth, t.d, t.b FROM kb JOIN t ON t.c = kb.base WHERE t.i < kb.h
+  UNION ALL SELECT kb.c, t.i - kb.h + kb.head + 1, t.d, t.b FROM kb JOIN t ON t.c = kb.c WHERE t.i >= kb.h),
+p AS (
+  SELECT c, depth, b, sha256(string_agg(d, ',') OVER (PARTITION BY c ORDER BY depth)) AS p FROM rows
+  UNION ALL SELECT c, 0, 0, '' FROM kb),
+l AS (SELECT c, max(depth) AS len FROM p GROUP BY c),
+nodes AS (
+  SELECT p.depth, p.p, min(p.c) AS o, count(*) AS n, any_value(p.b) AS b,
+         sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (l.len = p.depth), '')) AS e
+  FROM p JOIN l ON l.c = p.c GROUP BY p.depth, p.p),
+up AS (
+  SELECT m.depth, m.p, m.o, m.n, m.b, m.e, q.o AS parent
+  FROM nodes m LEFT JOIN p a ON a.c = m.o AND a.depth = m.depth - 1 LEFT JOIN nodes q ON q.depth = a.depth AND q.p = a.p),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS k FROM up WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT a.depth, a.p, sum((m.n - 1) * m.b) AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+  FROM nodes m LEFT JOIN kids ON kids.parent = m.o AND kids.depth = m.depth JOIN p a ON a.c = m.o AND a.depth <= m.depth
+  GROUP BY a.depth, a.p)
+SELECT up.o AS conv_id, CAST(up.depth AS BIGINT) AS depth, up.parent AS parent_conv_id, up.n AS n_convs,
+       CAST(coalesce(kids.k, 0) AS BIGINT) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, up.e AS ends_sha256
+FROM up JOIN sums ON sums.depth = up.depth AND sums.p = up.p LEFT JOIN kids ON kids.parent = up.o AND kids.depth = up.depth
+"""
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_token_files, op3_chat, op4_language, op5_quality, op6_main_text, op7_archives, op8_packing, op9_near_duplicates, op10_bpe, op11_line_dedup, op12_whitening, op13_prefix_trie)}
+ORACLE_SQL = {"op5_quality": QUALITY_SQL, "op7_archives": ARCHIVES_SQL, "op11_line_dedup": LINES_SQL, "op13_prefix_trie": TRIE_SQL}
