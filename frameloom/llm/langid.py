@@ -8,6 +8,7 @@ language, and the languages seen in each script.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from dataclasses import dataclass
 
@@ -38,7 +39,17 @@ SCRIPTS = (
     (0xAC00, 0xD7AF, "Hangul"),
 )
 NAMES = tuple(dict.fromkeys(s for _, _, s in SCRIPTS)) + ("Other",)
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """Pattern of runs of letters (Unicode category L): word characters but digits, the underscore and other numerals."""
+    odd = [k for k in range(sys.maxunicode + 1) if (c := chr(k)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    starts = [k for k, before in zip(odd, [-2, *odd], strict=False) if k != before + 1]
+    ends = [k for k, after in zip(odd, [*odd[1:], -2], strict=True) if after != k + 1]
+    return r"[^\W\d_" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+"
+
+
+WORD = re.compile(_letters())
 BUCKETS = 1 << 15
 _STARTS = np.array([s[0] for s in SCRIPTS])
 _ENDS = np.array([s[1] for s in SCRIPTS])
@@ -79,11 +90,9 @@ class Model:
     log: np.ndarray
     allowed: np.ndarray
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log likelihoods relative to the best language, at least -12; -20 for languages of other scripts.
-
-        A word in a script that no language was learned in says nothing: all zeros.
-        """
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods relative to the best language, at least -12; -20 for languages of other scripts. And which words
+        say something: one in a script that no language was learned in has zeros and counts for none."""
         found, offsets, script = features(words)
         s = np.add.reduceat(self.log[found], offsets, axis=0)
         ok = self.allowed[script]
@@ -92,7 +101,7 @@ class Model:
         s[some] = np.maximum(s[some] - s[some].max(axis=1, keepdims=True), -12)
         s[~ok] = -20
         s[~some] = 0
-        return s.astype(np.float32)
+        return s.astype(np.float32), some
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, min_share: float = 0.01) -> Model:
@@ -177,9 +186,10 @@ def viterbi(scores: np.ndarray, index: np.ndarray, lengths: np.ndarray, penalty:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0, spans: bool = True) -> DataFrame:
     """docs with lang_pred, score and, if wanted, spans (start, end in code points, language) after its own columns.
 
-    lang_pred is the language with the most letters in its spans, score its share of all letters. Only the text is
-    read. Edge cases: null texts and texts without a letter get `und` and score 0, no spans; ties go to the language
-    first in order; a model without languages says `und`; repeated rows are labelled one by one; columns of docs that
+    lang_pred is the language with the most letters in its spans, score its share of all letters; letters of words in
+    scripts that no language was learned in are no language's, so a text of such words alone gets the first language and
+    score 0. Only the text is read. Edge cases: null texts and texts without a letter (Unicode category L; numerals aren't
+    letters) get `und` and score 0, no spans; ties go to the language first in order; a model without languages says `und`; repeated rows are labelled one by one; columns of docs that
     are called like the new ones, in any case, are replaced; an empty table gives an empty result. Narrow: no shuffle.
     """
     own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score", "spans")]
@@ -188,10 +198,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = [f.name for f in own]
 
     def run(batches):
-        model, known, table = sent.value, {}, np.zeros((0, max(1, len(sent.value.languages))), np.float32)
+        model, known, table, says = sent.value, {}, np.zeros((0, max(1, len(sent.value.languages))), np.float32), np.zeros(0, bool)
         for b in slices(batches, "text", 3 << 20):
             if len(known) > 150_000:
-                known, table = {}, table[:0]
+                known, table, says = {}, table[:0], says[:0]
             texts = [t or "" for t in b.column("text").to_pylist()]
             found = [WORD.findall(t.lower()) for t in texts]
             lengths = np.array([len(f) for f in found])
@@ -199,16 +209,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for k in range(0, len(new), 50_000):
                 some = new[k : k + 50_000]
                 known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
-                table = np.concatenate([table, model.word_scores(some)])
+                scores, learned = model.word_scores(some)
+                table, says = np.concatenate([table, scores]), np.concatenate([says, learned])
             lang, score, parts = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if model.languages and lengths.sum():
                 index = np.fromiter((known[w] for f in found for w in f), np.int64, int(lengths.sum()))
                 letters = np.fromiter((len(w) for f in found for w in f), np.int64, len(index))
                 path = viterbi(table, index, lengths, penalty)
                 doc = np.repeat(np.arange(len(texts)), lengths)
-                sums = np.bincount(doc * len(model.languages) + path, weights=letters, minlength=len(texts) * len(model.languages)).reshape(len(texts), -1)
+                sums = np.bincount(doc * len(model.languages) + path, weights=letters * says[index], minlength=len(texts) * len(model.languages)).reshape(len(texts), -1)
                 win = sums.argmax(axis=1)
-                share = sums[np.arange(len(texts)), win] / sums.sum(axis=1).clip(1)
+                share = sums[np.arange(len(texts)), win] / np.bincount(doc, weights=letters, minlength=len(texts)).clip(1)
                 for k in np.flatnonzero(lengths):
                     lang[k], score[k] = model.languages[win[k]], float(share[k])
                 if spans:
