@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ class WordBPE:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         same = {t: t for t in self.vocab}  # one string object for each token
         self.joins = {(same[a], same[b]): (k, same[a + b]) for k, (a, b) in enumerate(merges)}
-        self.none = (len(merges), "")
         size = max(self.vocab.values()) + 1
         #: rank of the merge that makes a token (-1: none), and the two tokens it joins
         self.rank, self.left, self.right = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
@@ -102,13 +102,12 @@ class WordBPE:
         return out
 
     def propose(self, symbols: list[str]) -> list[int]:
-        """Greedy longest match; every single symbol is in the vocabulary."""
+        """Greedy longest match; every single symbol is in the vocabulary. Linear in the word's length."""
         out, at, n, known = [], 0, len(symbols), self.proposals
         text = "".join(symbols)
-        last = n - 1
+        last, size = n - 1, len(text)
         while at < n:
-            tail = text[at:]
-            if len(tail) <= self.longest and tail in known:  # reaches the word's end
+            if size - at <= self.longest and (tail := text[at:]) in known:  # reaches the word's end
                 out.append(known[tail])
                 break
             for to in range(min(last, at + self.longest), at, -1):
@@ -118,26 +117,32 @@ class WordBPE:
                     at = to
                     break
             else:
-                out.append(known[tail])
+                out.append(known[text[at:]])
                 break
         return out
 
     def merge(self, symbols: list[str]) -> list[int]:
-        """Exact merging: the pair of lowest rank, the leftmost of equals, until none is left."""
-        s, join, none = list(symbols), self.joins.get, self.none
-        found = [join(p, none) for p in zip(s[:-1], s[1:], strict=True)]  # (rank, joined) of each pair
-        while found:
-            low = min(found)
-            if low is none:
-                break
-            k = found.index(low)
-            s[k : k + 2] = [low[1]]
-            del found[k]
-            if k:
-                found[k - 1] = join((s[k - 1], s[k]), none)
-            if k < len(found):
-                found[k] = join((s[k], s[k + 1]), none)
-        return [self.vocab[x] for x in s]
+        """Exact merging: the pair of lowest rank, the leftmost of equals, until none is left. n log n in the word's length:
+        pairs wait in a heap, and one whose symbols have changed since is passed over."""
+        s, join, n = list(symbols), self.joins.get, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m[0], k, m[1]) for k, p in enumerate(zip(s[:-1], s[1:], strict=True)) if (m := join(p))]
+        heapify(heap)
+        while heap:
+            rank, k, joined = heappop(heap)
+            right = after[k]
+            if not s[k] or right >= n or (now := join((s[k], s[right]))) is None or now[0] != rank:
+                continue
+            s[k], s[right] = joined, ""
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+                if m := join((joined, s[right])):
+                    heappush(heap, (m[0], k, m[1]))
+            left = before[k]
+            if left >= 0 and (m := join((s[left], joined))):
+                heappush(heap, (m[0], left, m[1]))
+        return [self.vocab[x] for x in s if x]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         split = [self.symbols(w) for w in words]
