@@ -26,17 +26,20 @@ BLOCK = frozenset("div h1 h2 h3 ul ol table section article main nav footer asid
 MAIN = frozenset(("article", "main"))
 #: Open elements that a new one closes, if only inline elements and paragraphs stand between.
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: Words of class names, ids and roles. One of NAMED alone, or a few of them with PLACES, names furniture;
-#: so does one of STRONG beside any other words, unless the name says that something has it or is without it (ABOUT).
-STRONG = frozenset("advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr navbar newsletter popup sidebar sponsored".split())
-NAMED = STRONG | frozenset("ad ads banner consent footer header menu modal nav navigation notice notices pagination promo promoted promotion recommended related replies share sharing social sponsor subscribe subscription toolbar widget".split())
-PLACES = frozenset("area bar block bottom box buttons container global inner item items left line link links list main outer page panel posts primary right secondary section side site slot top wrap wrapper".split())
+#: Words of class names, ids and roles. One of NAMED alone, or a few of them with PLACES, names furniture,
+#: unless the name says that something has it or is without it (ABOUT). On paragraphs and smaller elements the words of
+#: TALK name nothing: readers' comments come in containers.
+NAMED = frozenset("advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr navbar newsletter popup sidebar sponsored ad ads banner consent footer header menu modal nav navigation notice notices pagination promo promoted promotion recommended related replies share sharing social sponsor subscribe subscription toolbar widget".split())
+PLACES = frozenset("area bar block bottom box buttons container global inner item items left line link links list main outer page panel posts primary right secondary reader readers section side signup site slot sticky overlay thread top user users wrap wrapper".split())
 ABOUT = frozenset("has have with without no not is hide show".split())
+SMALL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 TALK = frozenset("comment comments commentlist disqus replies".split())
 _OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_EACH = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
@@ -73,7 +76,19 @@ def names_furniture(tag: str, tokens: list[str], inside: bool) -> bool:
         if tag in MAIN:
             if len(words) == 1 and words[0] in TALK:
                 return True
-        elif any(w in STRONG for w in words) or any(w in NAMED for w in words) and all(w in NAMED or w in PLACES for w in words):
+        elif tag in SMALL and all(w in TALK for w in words):
+            continue
+        elif any(w in NAMED for w in words) and all(w in NAMED or w in PLACES for w in words):
+            return True
+    return False
+
+
+def is_hidden(attributes: str) -> bool:
+    """An element with the attribute hidden, aria-hidden true, or a style of display none; what other attributes say is
+    text."""
+    for m in _EACH.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
             return True
     return False
 
@@ -179,7 +194,7 @@ def parse(page: str, low: frozenset[int] | set[int] = frozenset()) -> tuple[list
         tokens, hidden = [], False
         if attributes:
             tokens = sorted({t for a in _ATTR.finditer(attributes) for t in (a[2] or a[3] or a[4] or "").lower().split()})
-            hidden = _HIDDEN.search(attributes) is not None
+            hidden = _MAY_HIDE.search(attributes) is not None and is_hidden(attributes)
         furniture = False
         if tag not in ("html", "body"):
             furniture = hidden or tag in FURNITURE and not (tag in ("header", "figure") and up.main) or names_furniture(tag, tokens, up.main)
