@@ -197,7 +197,8 @@ def test_language_query_by_brute_force(spark, docs):
         if not words:
             assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
             continue
-        s = model.word_scores(words).astype(float)
+        s, says = model.word_scores(words)
+        s = s.astype(float)
         best = s[0]
         back = []
         for row in s[1:]:
@@ -208,10 +209,28 @@ def test_language_query_by_brute_force(spark, docs):
         path = [state]
         for b in reversed(back):
             path.append(state := int(b[state]))
-        for w, p in zip(words, reversed(path), strict=True):
-            letters[p] += len(w)
+        for w, p, known in zip(words, reversed(path), says, strict=True):
+            letters[p] += len(w) * known
         k = model.languages.index(got[i]["lang_pred"])
-        assert letters[k] == letters.max() and abs(got[i]["score"] - letters[k] / letters.sum()) < 1e-9
+        assert letters[k] == letters.max() and abs(got[i]["score"] - letters[k] / sum(map(len, words))) < 1e-9
+
+
+def test_language_of_what_was_not_learned(spark, docs):
+    """Numerals aren't letters, and a script that no language was learned in says nothing: a learned value, score 0."""
+    import unicodedata
+
+    letters = {k for k in range(0x110000) if unicodedata.category(chr(k))[0] == "L"}
+    assert {ord(c) for k in range(0x110000) if not 0xD800 <= k < 0xE000 for c in langid.WORD.findall(chr(k))} == letters
+    model = langid.train(docs.where(~langid.held_out()))
+    english = docs.where("lang = 'en'").first()["text"][:300]
+    cyrillic = "Слово и ещё слово " * 20
+    texts = ["½ ² 3", "Ⅷ ፩ ㊿", cyrillic, "日本語のテキスト", f"{english} {cyrillic}", english, "1 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()}
+    assert [got[k] for k in (0, 1, 6)] == [("und", 0.0)] * 3
+    assert all(got[k][0] in model.languages and got[k][1] == 0 for k in (2, 3))
+    own = lambda t: sum(c.isalpha() for c in t)
+    assert got[4][0] == "en" == got[5][0] and got[5][1] == 1 and abs(got[4][1] - own(english) / own(texts[4])) < 1e-9
 
 
 def brute_quality(t):
@@ -320,6 +339,9 @@ def test_names_and_hostile_pages():
         ("<article class='post has-sidebar'><p>x</p></article>", "x"), ("<div class='content with-sidebar'>y</div>", "y"),
         ("<article><div class='article-header'><h1>T</h1></div><p class='share-price'>z</p><div class='comments'>no</div></article>", "T z"),
         ("<div class=comments><article class=comment>no</article></div>a", "a"), ("<a href='x>y'>t</a> <b title=it's>c</b>", "t c"),
+        ("<p title='the hidden valley'>a</p><p data-hidden=1>b</p>", "a b"), ("<div hidden>no</div><p style='color: red; DISPLAY : none'>no</p><p aria-hidden=true>no</p>c", "c"),
+        ("<section class='comments-on-law'>d</section><div class='cookie-recipe'>e</div><p class='comment'>f</p>", "d e f"),
+        ("<div class='user-comments'>no</div><div class='cookie-notice'>no</div><div class='newsletter-signup'>no</div><section class=comment>no</section>g", "g"),
         ("<div id=site-header>no</div><div class='post-header'>h</div><ul class='top menu-list'><li>no</ul>b", "h b"),
     ):
         assert style_tree.extract(page) == want
@@ -557,9 +579,26 @@ def test_bpe(docs, odd, empty):
         want = tok.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded == tok.decode(want, skip_special_tokens=False) == own.decode(ids)
     assert 0 < own.failed < own.checked
+    for word in ("".join(rnd.choices("acgt", k=200_000)), "aab" * 50_000, "x" * 100_000, "straße" * 20_000):  # quadratic: hours
+        ids, _ = own.encode([word])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids
     for df in (odd, empty):
-        got = bpe.encode_decode(df, path, digests=True).collect()
-        assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(tok.encode(t, add_special_tokens=False).ids)) for i, t in pairs(df))
+        assert Counter(tuple(r) for r in bpe.encode_decode(df, path, digests=True).collect()) == brute_bpe(df, tok)
+
+
+def brute_bpe(df, tok):
+    coded = [(i, tok.encode(t, add_special_tokens=False).ids) for i, t in pairs(df)]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return Counter((i, len(x), sha(np.array(x, "<u4").tobytes()), sha(tok.decode(x, skip_special_tokens=False).encode())) for i, x in coded)
+
+
+def test_bpe_query_by_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    from frameloom.llm.queries import op10_bpe
+
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert Counter(tuple(r) for r in op10_bpe(spark, SF).collect()) == brute_bpe(docs, tok)
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
@@ -578,3 +617,28 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r["doc_id"] for r in c.collect()} == {x for _, x in brute_components([(i, rows[i]) for i in left]).values()}
     d = p.STAGES[3][1](spark, c, SF)
     assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in c.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, odd, empty):
+    """Nulls, empty texts, repeated rows and ids, clashing names, an empty table, each stage on its own."""
+    import corpus_pipeline as p
+
+    good = docs.where("lang = 'en' AND n_chars BETWEEN 400 AND 3000").limit(3).collect()
+    rows = [(7, good[0]["text"], "en", "s", 1)] * 10 + [(8, good[1]["text"], None, None, None), (8, good[2]["text"], "en", None, None), (None, good[1]["text"], "en", None, None), (9, None, "en", "s", 0), (10, "", "en", "s", 0), (11, "Слово " * 80, "en", "s", 0), (12, "½ ² 3", "en", "s", 0)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, score string")
+    alike = lambda f: Counter((r["doc_id"], r["text"]) for r in f.collect())
+    quality_, language, near, pack = (f for _, f in p.STAGES)
+    for stage in (quality_, language, near):
+        assert stage(spark, empty, SF).count() == 0 and stage(spark, df, SF).columns == list(p.COLUMNS)
+    assert pack(spark, empty, SF).count() == 0
+    assert alike(quality_(spark, df, SF))[(7, good[0]["text"])] == 10
+    assert not {9, 10} & {r["doc_id"] for r in quality_(spark, df, SF).collect()}
+    model = langid.train(docs.where(~langid.held_out()))
+    labelled = langid.identify(df.select(*p.COLUMNS), model).where("lang_pred <> 'und' AND score >= 0.5")
+    assert alike(labelled)[(7, good[0]["text"])] == 10 and not {9, 10, 11, 12} & {r["doc_id"] for r in labelled.collect()}
+    kept = alike(near(spark, df, SF))
+    least = min(good[1]["text"], good[2]["text"])
+    assert kept[(7, good[0]["text"])] == 1 and kept[(8, least)] == 1 and kept[(None, good[1]["text"])] == 1
+    assert sum(n for (i, _), n in kept.items() if i == 8) == 1 and all(kept[(i, t)] == 1 for i, t in [(9, None), (10, ""), (12, "½ ² 3")])
+    pieces = pack(spark, near(spark, df, SF), SF).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(i for i, _ in kept.elements())
