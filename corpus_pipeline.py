@@ -1,11 +1,17 @@
 """The corpus pipeline: quality rules, language, near duplicates, packing; each stage reads what the one before kept.
 
 No SQL is given: language and packing aren't expressible; tests hold each stage against a brute-force version.
+
+Stages read the five columns of documents and return them; other columns, whatever their names, are left out. Null or empty
+texts don't reach the later stages, since the quality rules reject them (given to those stages alone: no language, no near
+duplicate, a piece of one id). Repeated rows are judged alike by the first two stages, and near_duplicates keeps one of an
+id; ties go by the smallest id, then text. Rows without id are rows like others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameloom.llm import langid, minhash, packing, quality
 from frameloom.llm.common import materialize
@@ -28,10 +34,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows without id stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """One document of each group of near duplicates: the one with the smallest id. Of rows that repeat that id the one with
+    the smallest text stays (a null text is the smallest, then the other columns decide); rows without id all stay."""
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = docs.select(*COLUMNS).join(kept, "doc_id")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = found.where("n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("r")).select("doc_id", "r.*")
+    return found.where("n = 1").select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
