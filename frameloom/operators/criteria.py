@@ -1,4 +1,4 @@
-"""Convergence criteria over a table with a row for each iteration, their combination, and the retraining policy.
+"""Convergence criteria over a table with a row for each iteration, their combination, and when models are retrained.
 
 Each criterion adds value, satisfied and reason. Rows that have nothing to compare with are not satisfied, with a reason:
 no data, or the first of its kind, which becomes the baseline. A row without data leaves the baseline as it is.
@@ -6,8 +6,6 @@ no data, or the first of its kind, which becomes the baseline. A row without dat
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,40 +95,37 @@ def no_growth(occupancy: DataFrame, patience: int, occupied: str = "occupied", a
     return latched(run_length(occupancy, F.col(at_top) & ~F.coalesce(grown, F.lit(True)), order), patience, order)
 
 
-@dataclass
-class Retraining:
-    """When a feature model is trained anew. fixed: every freq-th iteration. adaptive: when the score falls by more than
-    tolerance of the best so far, not before least iterations since the last time, always after most. Without a model,
-    always. A few numbers of state, on the driver."""
-
-    policy: str = "fixed"
-    freq: int = 1
-    tolerance: float = 0.1
-    least: int = 1
-    most: int | None = None
-    reference: float | None = None
-    since: int = 0
-
-    def __post_init__(self):
-        if self.policy not in ("fixed", "adaptive"):
-            raise ValueError("the policy is fixed or adaptive")
-
-    def due(self, iteration: int, has_model: bool = True, score: float | None = None) -> bool:
-        if not has_model or self.policy == "fixed":
-            return not has_model or self.freq > 0 and iteration % self.freq == 0
-        if self.since < self.least or self.most is not None and self.since >= self.most:
-            return self.since >= self.least
-        return None not in (self.reference, score) and self.reference - score > self.tolerance * max(abs(self.reference), 1e-9)
-
-    def step(self, iteration: int, has_model: bool = True, score: float | None = None, new_score: float | None = None) -> bool:
-        """Decide and take note; new_score is the trained model's."""
-        if not self.due(iteration, has_model, score):
-            self.since += 1
-            return False
-        self.since = 0
-        if new_score is not None:
-            self.reference = new_score if self.reference is None else max(self.reference, new_score)
-        return True
+def retrained_every(iterations: DataFrame, freq: int, has_model: str | None = None, order: str = "iteration") -> DataFrame:
+    """Add trained: at every freq-th iteration (0: never), and wherever there is no model."""
+    on = F.col(order) % freq == 0 if freq > 0 else F.lit(False)
+    return iterations.withColumn("trained", on | ~F.col(has_model) if has_model else on)
+
+
+def retrained_on_decline(series: DataFrame, tolerance: float = 0.1, least: int = 1, most: int | None = None, score: str = "score", trained_score: str = "trained_score", order: str = "iteration") -> DataFrame:
+    """Add trained, waited and best: a model is trained where its score has fallen by more than tolerance of the best score
+    after a training so far, once at least `least` iterations have gone by since the last one, and after `most` anyway.
+
+    series has a row for each iteration: the score of the model in use, and what a model trained there scores. The first
+    iteration has no model and trains. One row's decision rests on the one before, so the rows, a few numbers for each
+    iteration, are folded as one sorted array.
+    """
+    one = F.struct(F.col(order).alias("at"), F.col(score).cast("double").alias("s"), F.col(trained_score).cast("double").alias("new"))
+    none = F.lit(None).cast("double")
+    log = F.array().cast("array<struct<at:bigint,trained:boolean,waited:bigint,best:double>>")
+    start = F.struct(F.lit(None).cast("long").alias("waited"), none.alias("best"), log.alias("log"))
+
+    def step(state, row):
+        fallen = F.coalesce(state["best"] - row["s"] > F.greatest(F.abs(state["best"]), F.lit(1e-9)) * tolerance, F.lit(False))
+        late = F.lit(False) if most is None else state["waited"] >= most
+        train = state["waited"].isNull() | (state["waited"] >= least) & (fallen | late)
+        waited = F.when(train, F.lit(0).cast("long")).otherwise(state["waited"] + 1)
+        best = F.when(train, F.greatest(state["best"], row["new"])).otherwise(state["best"])  # greatest passes nulls over
+        entry = F.struct(row["at"].cast("long").alias("at"), train.alias("trained"), waited.alias("waited"), best.alias("best"))
+        return F.struct(waited.alias("waited"), best.alias("best"), F.concat(state["log"], F.array(entry)).alias("log"))
+
+    folded = series.agg(F.aggregate(F.array_sort(F.collect_list(one)), start, step, lambda s: s["log"]).alias("log"))
+    rows = folded.select(F.explode("log").alias("e")).select(F.col("e.at").alias(order), "e.trained", "e.waited", "e.best")
+    return series.join(rows, order)
 
 
 def keep_features(iterations: list[int], frames_each: int, max_frames: int = 50_000, seed: int = 0) -> list[int]:

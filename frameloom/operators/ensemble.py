@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import in_box
+from ..scratch import ship
 
 
 def endpoints(frames: DataFrame, columns: list[str], walker: str = "walker", order: str = "frame") -> DataFrame:
@@ -98,6 +99,7 @@ def resample(walkers: DataFrame, cell: str, target: DataFrame | int, seed: int =
     """(cell, parent_walker, weight): each bin resampled to its slots; a bin's weight is conserved."""
     import pandas as pd
 
+    ship(walkers.sparkSession)
     if isinstance(target, int):
         df = walkers.select(cell, walker, "weight").withColumn("slots", F.lit(target).cast("long"))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import squared_distance
-from ..scratch import materialize
+from ..scratch import discard, materialize
 
 
 def to_root(records: DataFrame, start: str, key: str = "frame_key", parent: str = "parent") -> DataFrame:
@@ -33,7 +33,8 @@ def chains(records: DataFrame, starts: list[str], key: str = "frame_key", parent
             raise ValueError("the lineage has a cycle")
         known, step = known.union(up), 2 * step
         far = jumps.select(F.col("k").alias("p"), F.col("p").alias("far"))
-        jumps = materialize(jumps.join(far, "p").select("k", F.col("far").alias("p")), "jumps")
+        before, jumps = jumps, materialize(jumps.join(far, "p").select("k", F.col("far").alias("p")), "jumps")
+        discard(before)
 
 
 def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: str = "parent", max_rounds: int = 40) -> DataFrame:
@@ -51,10 +52,68 @@ def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: st
             return at.select(F.col("k").alias(key), "root", "depth")
         up = at.select(F.col("k").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("open").alias("still"))
         moved = left.join(up, "root").select("k", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"))
-        at = materialize(at.where("NOT open").union(moved), "roots")
+        before, at = at, materialize(at.where("NOT open").union(moved), "roots")
+        discard(before)
     raise ValueError("the lineage has a cycle")
 
 
+Segment = tuple[int, int, int]  # walker, the frame it is left at, and that frame's depth
+
+
+def walker_paths(births: DataFrame, starts: list[tuple[int, int]]) -> list[list[Segment]]:
+    """For each start (walker, frame), the segments of its path to the root, the start's first.
+
+    births: (walker, parent_walker, parent_frame), a row for each walker; a null parent, or one that isn't there, ends the
+    path. A level of the walkers' tree is one look at births, which is written once in order of walker, for all starts
+    together; a few rows a level come back. A walker that comes twice is a cycle, an error.
+    """
+    rows = materialize(births.select("walker", "parent_walker", "parent_frame").repartitionByRange("walker").sortWithinPartitions("walker"), "births")
+    paths: list[list[Segment]] = [[] for _ in starts]
+    at = {k: (w, f, 0) for k, (w, f) in enumerate(starts)}
+    while at:
+        found = {r["walker"]: r for r in rows.where(F.col("walker").isin(sorted({w for w, _, _ in at.values()}))).collect()}
+        after = {}
+        for k, (walker, frame, depth) in at.items():
+            if walker not in found:
+                continue
+            if any(walker == w for w, _, _ in paths[k]):
+                raise ValueError("the lineage has a cycle")
+            paths[k].append((walker, frame, depth))
+            up = found[walker]
+            if up["parent_walker"] is not None:
+                after[k] = up["parent_walker"], up["parent_frame"], depth + frame + 1
+        at = after
+    discard(rows)
+    return paths
+
+
+def path_frames(frames: DataFrame, path: list[Segment]) -> DataFrame:
+    """(depth, and frames' columns) of a path's frames: one pass over the walkers' frames, which are numbered from 0."""
+    segments = frames.sparkSession.createDataFrame(path, "walker long, top long, base long")  # a row a level of the tree
+    own = frames.where(F.col("walker").isin([w for w, _, _ in path])) if len(path) <= 1000 else frames
+    inside = own.join(F.broadcast(segments), "walker").where("frame <= top")
+    return inside.select((F.col("base") + F.col("top") - F.col("frame")).alias("depth"), *(F.col(c) for c in frames.columns))
+
+
+def last_common(up: list[Segment], down: list[Segment]) -> tuple[int, int]:
+    """Depths of two paths' last common ancestor, below each path's start. None in common is an error."""
+    of = {w: (frame, depth) for w, frame, depth in down}
+    for walker, frame, depth in up:
+        if walker in of:
+            last = min(frame, of[walker][0])
+            return depth + frame - last, of[walker][1] + of[walker][0] - last
+    raise ValueError("no shared ancestor")
+
+
+def walker_path(frames: DataFrame, births: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
+    """(step, and frames' columns) from start up to the last common ancestor and down to end."""
+    a, b = walker_paths(births, [start, end])
+    up, down = last_common(a, b)
+    first = path_frames(frames, a).where(F.col("depth") <= up).withColumnRenamed("depth", "step")
+    rest = path_frames(frames, b).where(F.col("depth") < down).withColumn("depth", F.lit(up + down) - F.col("depth")).withColumnRenamed("depth", "step")
+    return first.union(rest)
+
+
 def nearest_record(records: DataFrame, columns: list[str], point: list[float], order: list[str]) -> DataFrame:
     """The record nearest to a point, ties by order."""
     if len(columns) != len(point):

@@ -6,20 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import ship
 from . import spectral
+from .posterior import bayesian_errors
 
 SERIES = "timescales array<double>, vamp2 double, populations array<double>, errors array<double>, states array<long>, pi array<double>, counts array<double>, slow array<array<double>>"
 
 
-def bayesian_errors(counts: np.ndarray, lag: int, n_samples: int = 100, k: int = 5, seed: int = 0) -> np.ndarray:
-    """Deviations of the k slowest timescales over samples of the rows' Dirichlet posteriors, drawn all at once."""
-    gamma = np.random.default_rng(seed).standard_gamma(np.broadcast_to(counts + 1.0 / len(counts), (n_samples, *counts.shape)))
-    rows = gamma / gamma.sum(axis=2, keepdims=True)
-    size = np.sort(np.abs(np.linalg.eigvals(rows)), axis=1)[:, ::-1][:, 1 : k + 1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nanstd(np.where((size > 0) & (size < 1), -lag / np.log(size), np.nan), axis=0)
-
-
 def models(counts: DataFrame, by: str, lag: int | str, n_timescales: int = 2, n_metastable: int = 0, bayesian: int = 0, guard: int = 4000) -> DataFrame:
     """One row for each group of counts (by, i, j, c), states being numbers: see SERIES. lag: a number, or the column of it.
 
@@ -29,6 +22,7 @@ def models(counts: DataFrame, by: str, lag: int | str, n_timescales: int = 2, n_
     """
     import pandas as pd
 
+    ship(counts.sparkSession)
     kind = counts.schema[by].dataType.simpleString()
 
     def one(key, pdf):

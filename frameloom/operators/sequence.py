@@ -47,27 +47,12 @@ def matrix_uncertainty(matrix: DataFrame, pi: DataFrame, least_flux: float = 1e-
     return j.crossJoin(F.broadcast(top)).select("i", "j", "p", "sigma", "flux", (F.col("flux") > F.col("top") * F.lit(least_flux)).alias("used"))
 
 
-def streaks(df: DataFrame, flag: str, order: str = "iteration") -> DataFrame:
-    """Add `streak`: how many rows in a row, up to this one, have the flag."""
-    w = W.orderBy(order)  # a row for each iteration
-    groups = df.withColumn("_g", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(w))
-    run = W.partitionBy("_g").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return groups.withColumn("streak", F.sum(F.when(F.col(flag), 1).otherwise(0)).over(run)).drop("_g")
-
-
 def stalled(df: DataFrame, value: str, patience: int, order: str = "iteration") -> DataFrame:
     """Add `stalled`: the last `patience` values are all equal."""
     w = W.orderBy(order).rowsBetween(-(patience - 1), 0)
     return df.withColumn("stalled", (F.count(value).over(w) == patience) & (F.min(value).over(w) == F.max(value).over(w)))
 
 
-def relative_change(df: DataFrame, value: str, tolerance: float, order: str = "iteration") -> DataFrame:
-    """Add change |c - p| / max(|p|, |c|, 1e-12) against the row before, and satisfied; the first row is a baseline."""
-    before = F.lag(value).over(W.orderBy(order))
-    change = F.abs(F.col(value) - before) / F.greatest(F.abs(before), F.abs(F.col(value)), F.lit(1e-12))
-    return df.withColumn("change", change).withColumn("satisfied", F.coalesce(F.col("change") < F.lit(tolerance), F.lit(False)))
-
-
 def mfpt(flux: DataFrame, tau_ps: float, discard: float = 0.2, order: str = "iteration", value: str = "flux") -> DataFrame:
     """One row of the Hill relation: after the leading int(n * discard) rows, tau / mean flux in ns; the plateau ratio is
     the second half's mean over the first's; events are counted over all rows; converged as 0.8 to 1.25 with 10 events."""

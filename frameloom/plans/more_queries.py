@@ -85,9 +85,17 @@ def no_growth_counter(spark, d):
 
 @query("iteration trained?", "SELECT DISTINCT iteration, iteration % 4 = 0 AS trained FROM fr", _FR)
 def retrain_schedule(spark, d):
-    its = sorted(r[0] for r in ev(spark, d).select("iteration").distinct().collect())  # a number an iteration
-    policy = criteria.Retraining(freq=4)
-    return spark.createDataFrame([(i, policy.step(i)) for i in its], "iteration int, trained boolean")
+    return criteria.retrained_every(ev(spark, d).select("iteration").distinct(), 4)
+
+
+@query("iteration trained? waited", "SELECT iteration, trained, waited FROM fold", "RECURSIVE " + _SERIES + """, o AS (SELECT iteration, score, row_number() OVER (ORDER BY iteration) AS k FROM se), fold AS (
+  SELECT iteration, k, true AS trained, CAST(0 AS BIGINT) AS waited, score AS best FROM o WHERE k = 1
+  UNION ALL SELECT n.iteration, n.k, t, CASE WHEN t THEN 0 ELSE f.waited + 1 END, CASE WHEN t THEN greatest(f.best, n.score) ELSE f.best END
+  FROM fold f JOIN o n ON n.k = f.k + 1, LATERAL (SELECT f.waited >= 1 AND (f.best - n.score > 0.005 * greatest(abs(f.best), 1e-9) OR f.waited >= 5) AS t) x)""")
+def retrain_on_decline(spark, d):
+    """The score of each iteration's model stands for the model in use and for one that is trained there."""
+    series = _model_series(spark, d).select("iteration", F.col("vamp2").alias("score"), F.col("vamp2").alias("trained_score"))
+    return criteria.retrained_on_decline(series, 0.005, 1, 5)
 
 
 @query("walker frames", "SELECT walker, count(*) AS frames FROM fr GROUP BY 1 HAVING count(*) > 1", _FR)
@@ -285,10 +293,3 @@ def metastable_populations(spark, d):
     counts = rows.select(F.lit(0).alias("part"), "i", "j", F.when(F.col("r") == F.col("s"), 1000).otherwise(1 + F.col("r") * F.col("s")).alias("c"))
     sets = msm.models(counts, "part", 1, 4, n_metastable=5).select(F.posexplode(F.array_sort("populations")).alias("k", "population"))
     return sets.select((F.col("k") + 1).alias("rank"), X.scaled("population").alias("population"))
-
-
-@query("iteration processes positive?", "SELECT iteration, 1 AS processes, true AS positive FROM se", _SERIES)
-def posterior_errors(spark, d):
-    """Deviations of the timescale over 100 samples of each iteration's posterior; a test has the size they should have."""
-    m = _model_series(spark, d, bayesian=100)
-    return m.select("iteration", F.size("errors").alias("processes"), F.forall("errors", lambda e: (e > 0) & (e < 1e9)).alias("positive"))

@@ -106,9 +106,9 @@ def broken_chain(spark, d):
 
 @query("frame_key! depth", "SELECT frame_key, depth FROM walk", "RECURSIVE " + _LINEAGE + ", walk AS (SELECT frame_key, parent, 0 AS depth FROM lin WHERE walker = 7 AND frame = 10 UNION ALL SELECT l.frame_key, l.parent, w.depth + 1 FROM walk w JOIN lin l ON l.frame_key = w.parent)")
 def lineage_to_root(spark, d):
-    rec = S.with_lineage(ev(spark, d))
-    start = rec.where("walker = 7 AND frame = 10").first()["frame_key"]
-    return lineage.to_root(rec, start)
+    f = ev(spark, d)
+    keyed = f.select("walker", "frame", X.frame_key("iteration", "walker", "frame").alias("frame_key"))
+    return lineage.path_frames(keyed, lineage.walker_paths(S.walker_births(f), [(7, 10)])[0])
 
 
 _PATH = (
@@ -120,9 +120,9 @@ _PATH = (
 
 @query("step frame_key!", "SELECT a.d AS step, frame_key FROM a, c WHERE a.d <= ca UNION ALL SELECT ca + cb - b.d, frame_key FROM b, c WHERE b.d < cb", _PATH)
 def connected_path(spark, d):
-    rec = S.with_lineage(ev(spark, d))
-    keys = {r["walker"]: r["frame_key"] for r in rec.where("walker = 6 AND frame = 20 OR walker = 7 AND frame = 10").select("walker", "frame_key").collect()}
-    return lineage.connected_path(rec, keys[6], keys[7])
+    f = ev(spark, d)
+    keyed = f.select("walker", "frame", X.frame_key("iteration", "walker", "frame").alias("frame_key"))
+    return lineage.walker_path(keyed, S.walker_births(f), (6, 20), (7, 10))
 
 
 @query(
@@ -710,4 +710,4 @@ def campaign_loop(spark, d):
     return run_walk(spark, n_walkers=20, iterations=5)
 
 
-from . import more_queries  # noqa: E402, F401  adds its own to QUERIES
+from . import model_queries, more_queries  # noqa: E402, F401  add their own to QUERIES

@@ -68,7 +68,7 @@ def _not_here(*_, **__):
 
 
 def _defaults() -> None:
-    from .operators import binning, criteria, msm, spawning, spectral
+    from .operators import binning, criteria, msm, posterior, spawning, spectral
     from .plans import campaign
 
     edges = lambda f: lambda points, column, n, lo, hi, **o: f(points, column, n, lo, hi, **o)
@@ -85,7 +85,7 @@ def _defaults() -> None:
         MODELS.register(name, _not_here, "neural", needs, "Install it and train outside, or use pca or tica")
     MODELS.register("deep_lda", _not_here, "needs labelled states; not implemented")
     ESTIMATORS.register("mle", spectral.markov_model, "maximum-likelihood reversible")
-    ESTIMATORS.register("bayesian", msm.bayesian_errors, "posterior deviations of the timescales")
+    ESTIMATORS.register("bayesian", posterior.bayesian_errors, "posterior deviations of the timescales")
     for name, f in (("implied_timescales", criteria.timescales), ("vamp2", criteria.score), ("stationary_distribution", criteria.populations), ("statistical_error", criteria.statistical_error), ("transition_matrix", criteria.transition_error)):
         CRITERIA.register(name, f)
     PROPAGATORS.register("biased_walk", campaign.biased_walk, "reflected walk with drift")

@@ -1,9 +1,12 @@
-"""Tables written in between: they cut lineage and survive lost executors."""
+"""Tables written in between: they cut lineage and survive lost executors. And what workers need to run this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +20,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_frameloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    out = os.path.join(tempfile.mkdtemp(prefix="frameloom-"), "frameloom.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"{top.name}/{p.relative_to(top)}")
+    sc.addPyFile(out)
+    sc._frameloom_shipped = True

@@ -25,14 +25,25 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def walker_births(frames: DataFrame) -> DataFrame:
+    """(walker, parent_walker, parent_frame): walker w starts at the middle frame of walker w // 2, walker 0 at nothing. Only
+    walkers are counted and joined, a row each."""
+    sizes = frames.groupBy("walker").agg(F.count("*").alias("n"))
+    up = sizes.select(F.col("walker").alias("parent_walker"), F.floor(F.col("n") / 2).alias("parent_frame"))
+    own = sizes.select("walker", F.when(F.col("walker") > 0, F.floor(F.col("walker") / 2)).alias("_up"))
+    return own.join(up, own["_up"] == up["parent_walker"], "left").select("walker", "parent_walker", "parent_frame")
+
+
 def with_lineage(frames: DataFrame) -> DataFrame:
     """Add frame_key and parent: the walker's previous frame; a walker's first frame comes from the middle frame of
     walker // 2, walker 0's first frame from nothing."""
     key = frame_key("iteration", "walker", "frame")
     w = W.partitionBy("walker").orderBy("frame")
     out = frames.withColumn("frame_key", key).withColumn("before", F.lag("frame_key").over(w))
-    middle = out.withColumn("n", F.count("*").over(W.partitionBy("walker"))).where("frame = n div 2").select(F.col("walker").alias("pw"), F.col("frame_key").alias("spawn"))
-    joined = out.join(middle, (out.frame == 0) & (out.walker > 0) & (F.floor(out.walker / 2) == middle.pw), "left")
+    born = walker_births(frames)
+    spawned = frames.select("iteration", "walker", "frame").join(born.select(F.col("walker").alias("child"), F.col("parent_walker").alias("walker"), F.col("parent_frame").alias("frame")), ["walker", "frame"])
+    spawned = spawned.select(F.col("child"), key.alias("spawn"), F.lit(0).cast("long").alias("first"))
+    joined = out.join(spawned, (out.frame == spawned["first"]) & (out.walker == spawned["child"]), "left")
     return joined.select(*frames.columns, "frame_key", F.coalesce("before", "spawn").alias("parent"))
 
 

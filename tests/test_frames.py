@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions import expressions as X
-from frameloom.operators import binning, ensemble, lineage, msm, sequence, spawning, spectral, states
+from frameloom.operators import binning, ensemble, lineage, msm, posterior, sequence, spawning, spectral, states
 from frameloom.plans.queries import ORACLE_SQL, QUERIES
 from frameloom.sources import frames as S
 
@@ -314,12 +314,6 @@ def test_criteria(spark):
     for bad in (([], "all"), (["a"], "most")):
         with pytest.raises(ValueError):
             K.monitor(flags, *bad)
-    fixed, adaptive = K.Retraining(freq=3), K.Retraining("adaptive", least=2, most=6)
-    assert [fixed.step(k) for k in range(4)] == [True, False, False, True] and fixed.step(5, has_model=False)
-    assert adaptive.step(0, False, new_score=2.0) and [adaptive.step(k, True, 1.0) for k in (1, 2, 3)] == [False, False, True]
-    assert [adaptive.step(k, True, 1.95) for k in range(4, 11)] == [False] * 6 + [True]
-    with pytest.raises(ValueError):
-        K.Retraining("sometimes")
     kept = K.keep_features(list(range(40)), 5000)
     assert len(kept) == 10 and kept[0] == 0 and kept[-2:] == [38, 39] and kept == sorted(kept) and K.keep_features([1, 2], 9) == [1, 2]
 
@@ -343,7 +337,9 @@ def test_models(spark):
 def test_regular_space_centres(spark):
     df = spark.createDataFrame([(float(x), 0.0) for x in (0, 1, 2, 9, 10, 20)], "x double, y double")
     assert sorted(c[0] for c in binning.regular_centres(df, ["x", "y"], 5.0)) == [0.0, 10.0, 20.0]
-    assert len(binning.regular_centres(df, ["x", "y"], 0.5, most=2)) == 2 and len(binning.regular_centres(df.limit(0), ["x", "y"], 1.0)) == 0
+    assert len(binning.regular_centres(df, ["x", "y"], 0.5)) == 6 and len(binning.regular_centres(df.limit(0), ["x", "y"], 1.0)) == 0
+    with pytest.raises(ValueError, match="2 centres leave points"):
+        binning.regular_centres(df, ["x", "y"], 0.5, most=2)
 
 
 def test_fitted_deviation_is_free_of_rotation(spark):
@@ -432,7 +428,7 @@ def test_posterior_errors_have_the_size_of_the_delta_method():
     counts = np.array([[n0 * (1 - a), n0 * a], [n1 * b, n1 * (1 - b)]])
     size = 1 - a - b
     expected = np.sqrt(a * (1 - a) / n0 + b * (1 - b) / n1) / (size * np.log(size) ** 2)
-    assert abs(msm.bayesian_errors(counts, 1, 2000, 1)[0] / expected - 1) < 0.1
+    assert abs(posterior.bayesian_errors(counts, 1, 2000, 1)[0] / expected - 1) < 0.1
 
 
 def test_sets_of_too_few_states_are_the_states(spark):
