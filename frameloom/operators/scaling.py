@@ -2,37 +2,138 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize, ship
+
 KINDS = ("minmax", "standard", "robust")
+BITS = 11  # of the 64 that a round of quantiles decides
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order; both zeros alike."""
+    u = (x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(u & top, ~u, u | top)
+
+
+def _values(keys: np.ndarray) -> np.ndarray:
+    top = np.uint64(1 << 63)
+    return np.where(keys & top, keys ^ top, ~keys).view(np.float64)
+
+
+def exact_quantiles(df: DataFrame, vector: str, shares: list[float]) -> np.ndarray:
+    """(column, share): the exact quantiles of each column of an array, between two values by their distance; null and NaN
+    entries don't count, a column of nothing has NaN. Arrays may differ in length.
+
+    Selection by rounds of histograms: a value's 64 bits, in an order like the values', are decided 11 at a time, and each
+    round counts what follows the bits that are known. Tasks and driver hold 2048 counts for each column and rank, whatever
+    the rows; six passes over a written table.
+    """
+    own = materialize(df.select(F.transform(vector, lambda v: F.nanvl(v.cast("double"), F.lit(None).cast("double"))).alias("v")).where("size(v) > 0"), "columns")
+    n = _counts(own)
+    d = len(n)
+    ranks = np.array([[f(q * max(0, m - 1)) for q in shares for f in (math.floor, math.ceil)] for m in n], np.int64).reshape(d, -1)
+    known, left = np.zeros(ranks.shape, np.uint64), 64
+    while left and d:
+        take = min(BITS, left)
+        counts = _histograms(own, known, left, take)
+        below = np.cumsum(counts, axis=2)
+        at = (below <= ranks[:, :, None]).sum(axis=2).clip(0, (1 << take) - 1)
+        ranks = ranks - np.where(at > 0, np.take_along_axis(below, np.maximum(at - 1, 0)[:, :, None], 2)[:, :, 0], 0)
+        left -= take
+        known |= at.astype(np.uint64) << np.uint64(left)
+    discard(own)
+    found = np.where(n[:, None] > 0, _values(known), np.nan)
+    low, high = found[:, ::2], found[:, 1::2]
+    place = np.array([[q * max(0, m - 1) for q in shares] for m in n]).reshape(d, -1)
+    return low + (high - low) * (place - np.floor(place))
+
+
+def _counts(own: DataFrame) -> np.ndarray:
+    """Entries of each column that aren't null."""
+    rows = own.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.count("x").alias("n")).collect()  # a row a column
+    out = np.zeros(max((r["k"] for r in rows), default=-1) + 1, np.int64)
+    for r in rows:
+        out[r["k"]] = r["n"]
+    return out
+
+
+def _histograms(own: DataFrame, known: np.ndarray, left: int, take: int) -> np.ndarray:
+    """counts [column, rank, next bits] of the entries whose bits above `left` are the known ones."""
+    d, ranks = known.shape
+    size = 1 << take
+    groups = [np.unique(known[k], return_inverse=True) for k in range(d)]  # ranks mostly share what is known
+    ship(own.sparkSession)
+
+    def run(batches):
+        total = [np.zeros((len(g), size), np.int64) for g, _ in groups]
+        for b in batches:
+            lengths = pc.list_value_length(b.column("v")).to_numpy()
+            flat = b.column("v").flatten()
+            column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            ok = flat.is_valid().to_numpy(zero_copy_only=False)
+            x, column = flat.to_numpy(zero_copy_only=False)[ok].astype(np.float64), column[ok]
+            keys = _keys(x)
+            head = keys >> np.uint64(left) if left < 64 else np.zeros(len(keys), np.uint64)
+            next_ = ((keys >> np.uint64(left - take)) & np.uint64(size - 1)).astype(np.int64)
+            order = np.argsort(column, kind="stable")
+            ends = np.searchsorted(column[order], np.arange(d + 1))
+            for k in range(d):
+                rows = order[ends[k] : ends[k + 1]]
+                for g, value in enumerate(groups[k][0]):
+                    same = head[rows] == (value >> np.uint64(left) if left < 64 else np.uint64(0))
+                    total[k][g] += np.bincount(next_[rows[same]], minlength=size)
+        for k in range(d):
+            g, at = np.nonzero(total[k])
+            if len(g):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k][g, at])], names=["k", "g", "at", "n"])
+
+    parts = own.mapInArrow(run, "k int, g int, at int, n long").groupBy("k", "g", "at").agg(F.sum("n").alias("n")).toArrow()
+    k, g, at, n = (parts.column(c).to_numpy() for c in ("k", "g", "at", "n"))
+    out = np.zeros((d, ranks, size), np.int64)
+    per = [np.zeros((len(x), size), np.int64) for x, _ in groups]
+    for a, b, c, m in zip(k, g, at, n, strict=True):
+        per[a][b, c] = m
+    for c in range(d):
+        out[c] = per[c][groups[c][1]]
+    return out
 
 
 def scale_vectors(df: DataFrame, vector: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """df with a vector of the same shape for each kind: (v - min) / (max - min), (v - mean) / population deviation,
-    (v - median) / (third - first quartile, exact).
+    (v - median) / (third - first quartile, exact; see exact_quantiles).
 
-    A column without spread is divided by 1. Null vectors and values stay null.
+    A column without spread is divided by 1. Null vectors and values stay null. The figures, six numbers a column, are
+    sums of the tasks' arrays: rows aren't taken apart.
     """
     if not kinds or set(kinds) - set(KINDS):
         raise ValueError(f"kinds are some of {KINDS}")
-    v = F.col("v")
-    figures = {
-        "minmax": (F.min(v), F.max(v) - F.min(v)),
-        "standard": (F.avg(v), F.when(F.max(v) > F.min(v), F.stddev_pop(v))),
-        "robust": (F.percentile(v, 0.5), F.percentile(v, 0.75) - F.percentile(v, 0.25)),
-    }
-    long = df.select(F.posexplode(vector).alias("k", "v"))
-    each = long.groupBy("k").agg(*(x.alias(f"{n}_{s}") for n in kinds for x, s in zip(figures[n], ("at", "by"), strict=True)))
-    # one row: the figures in order of the columns
-    row = each.agg(F.array_sort(F.collect_list(F.struct("k", *(f"{n}_{s}" for n in kinds for s in ("at", "by"))))).alias("_f"))
+    figures: dict[str, list[tuple]] = {}
+    if {"minmax", "standard"} & set(kinds):
+        v = F.col("v")
+        each = df.select(F.posexplode(vector).alias("k", "v")).groupBy("k").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+        rows = sorted(each.collect(), key=lambda r: r["k"])  # a row a column
+        figures["minmax"] = [(r["lo"], r["hi"] - r["lo"]) if r["lo"] is not None else (None, None) for r in rows]
+        figures["standard"] = [(r["mean"], r["sd"] if r["lo"] is not None and r["hi"] > r["lo"] else 0.0) for r in rows]
+    if "robust" in kinds:
+        q = exact_quantiles(df, vector, [0.25, 0.5, 0.75])
+        figures["robust"] = [(float(m), float(c - a)) if m == m else (None, None) for a, m, c in q]
+    number = lambda xs: F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in xs]) if xs else F.array().cast("array<double>")
 
     def scaled(n):
+        at, by = number([f[0] for f in figures[n]]), number([f[1] for f in figures[n]])
+
         def one(x, k):
-            f = F.get("_f", k)
-            by = f[f"{n}_by"]
-            return (x - f[f"{n}_at"]) / F.when(by > 0, by).otherwise(F.lit(1.0))
+            spread = F.get(by, k)
+            return (x - F.get(at, k)) / F.when(spread > 0, spread).otherwise(F.lit(1.0))
 
         return F.transform(vector, one)
 
-    return df.crossJoin(F.broadcast(row)).select(*df.columns, *(scaled(n).alias(n) for n in kinds))
+    return df.select(*df.columns, *(scaled(n).alias(n) for n in kinds))

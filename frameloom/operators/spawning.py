@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import stable_key
+from ..scratch import materialize
 
 
 def density_weights(binned: DataFrame, cell: str = "cell", closeness: DataFrame | None = None) -> DataFrame:
@@ -97,35 +96,14 @@ def knn(points: DataFrame, row_id: str, vector: str, k: int, block: int = 256, b
     """(id, neighbour, d2, rank) of the k nearest others, ties by id. Exact.
 
     While all vectors come to at most broadcast_bytes (counted first), every task gets them, in blocks, and its own points
-    stay where they are: no shuffle. Beyond that, blocks of points meet blocks of points, and each meeting keeps k
-    candidates a point, so no task holds more than two blocks.
+    stay where they are: no shuffle. Beyond that, points meet only the cells that can hold a nearer one (neighbours).
     """
-    import numpy as np
-    import pandas as pd
-
     sizes = points.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
     if sizes["n"] * (8 * (sizes["d"] or 0) + 8) <= broadcast_bytes:
         return _knn_broadcast(points.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")), k, block)
-    n = max(1, math.ceil(sizes["n"] / block))
-    p = points.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    queries = p.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("b", "o", "id", "v", F.lit(True).alias("q"))
-    targets = p.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("o").alias("b"), F.col("b").alias("o"), "id", "v", F.lit(False).alias("q"))
-
-    def meet(pdf):
-        a, c = pdf[pdf.q], pdf[~pdf.q].sort_values("id")
-        if a.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "d2": []})
-        x, y = np.stack(a.v.to_list()), np.stack(c.v.to_list())
-        d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-        ids = c.id.to_numpy()
-        d[a.id.to_numpy()[:, None] == ids[None, :]] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(a.id.to_numpy(), at.shape[1]), "neighbour": ids[at].ravel(), "d2": np.take_along_axis(d, at, axis=1).ravel()})
-        return out[np.isfinite(out.d2)]
-
-    found = queries.union(targets).groupBy("b", "o").applyInPandas(meet, "id long, neighbour long, d2 double")
-    w = W.partitionBy("id").orderBy("d2", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(points, row_id, vector, k)[0]
 
 
 def _knn_broadcast(p: DataFrame, k: int, block: int) -> DataFrame:
@@ -159,10 +137,10 @@ def _knn_broadcast(p: DataFrame, k: int, block: int) -> DataFrame:
 def local_outlier_factor(points: DataFrame, row_id: str, vector: str, k: int = 20) -> DataFrame:
     """(id, lof): mean local reachability density of the k neighbours over the point's own; a point isn't its own
     neighbour."""
-    g = knn(points, row_id, vector, k).withColumn("d", F.sqrt("d2"))
+    g = materialize(knn(points, row_id, vector, k).select("id", "neighbour", F.sqrt("d2").alias("d")), "graph")
     kdist = g.groupBy("id").agg(F.max("d").alias("kdist"))
     reach = g.join(kdist.withColumnsRenamed({"id": "neighbour"}), "neighbour").select("id", "neighbour", F.greatest("kdist", "d").alias("reach"))
-    lrd = reach.groupBy("id").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("lrd"))
+    lrd = materialize(reach.groupBy("id").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("lrd")), "density")
     near = g.join(lrd.withColumnsRenamed({"id": "neighbour", "lrd": "nlrd"}), "neighbour").groupBy("id").agg(F.avg("nlrd").alias("nlrd"))
     return near.join(lrd, "id").select(F.col("id").alias(row_id), (F.col("nlrd") / F.greatest("lrd", F.lit(1e-12))).alias("lof"))
 

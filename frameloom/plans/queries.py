@@ -710,4 +710,4 @@ def campaign_loop(spark, d):
     return run_walk(spark, n_walkers=20, iterations=5)
 
 
-from . import model_queries, more_queries  # noqa: E402, F401  add their own to QUERIES
+from . import model_queries, more_queries, state_queries  # noqa: E402, F401  add their own to QUERIES

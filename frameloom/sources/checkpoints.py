@@ -1,8 +1,11 @@
 """A run's stored state as Parquet: history in deltas, the manifest that completes a checkpoint, log, models and outcome.
 
-Layout below a root folder that all executors share: history/ckpt=N holds the entries of the iterations after the last
-complete checkpoint up to N; state/ckpt=N one row of the sampler's state; manifest/ckpt=N, written last, the deltas that
-N rests on. A checkpoint without its manifest doesn't exist. One driver writes.
+Layout below a root folder that all executors share: history/ckpt=N/try=T holds the entries of the iterations after the
+last complete checkpoint up to N; state/ckpt=N/try=T one row of the sampler's state; manifest/ckpt=N/try=T, one file that is
+written last, the deltas that N rests on with the rows and the checksum of each. A checkpoint without its manifest doesn't
+exist. A save never writes over anything: it has a try of its own, the newest manifest of a checkpoint holds, and what no
+manifest names any more is removed once the new one stands. So whatever step a crash comes between, what was there before
+can be read. One driver writes.
 """
 
 from __future__ import annotations
@@ -11,9 +14,13 @@ import json
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-VERSION = 1
+from ..scratch import remove
+
+VERSION = 2
+DELTAS = "array<struct<ckpt:bigint,try:bigint,rows:bigint,checksum:string>>"
 LOG = ("iteration", "runner_s", "analysis_s", "total_s", "successful_walkers", "failed_walkers", "frames_this_iteration", "cumulative_frames", "occupied_bins", "total_bins", "exploration_fraction", "spawn_indices", "cvs_file", "trajectory_dir", "checkpoint_dir")
 
 
@@ -33,11 +40,13 @@ class Checkpoints:
         return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}"))
 
     def manifest(self) -> DataFrame:
-        """(ckpt, version, chain) of the complete checkpoints."""
-        schema = "version int, chain array<long>, ckpt long"
+        """(ckpt, try, version, chain) of the complete checkpoints, the newest try of each; chain has the deltas."""
+        schema = f"version int, chain {DELTAS}, ckpt long, try long"
         if not self._exists("manifest"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest")
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/manifest").parquet(f"{self.root}/manifest")
+        newest = rows.groupBy("ckpt").agg(F.max_by(F.struct("version", "chain", "try"), "try").alias("m"))
+        return newest.select("ckpt", "m.try", "m.version", "m.chain")
 
     def complete(self) -> list[int]:
         return sorted(r["ckpt"] for r in self.manifest().select("ckpt").distinct().collect())  # a number a checkpoint
@@ -50,32 +59,63 @@ class Checkpoints:
 
     def save(self, iteration: int, history: DataFrame, state: dict | None = None) -> None:
         """Store the rows of history (a column iteration, others as they are) since the last checkpoint, then state, then
-        the manifest; a repeated save replaces the checkpoint."""
-        before = [c for c in self.complete() if c < iteration]
-        delta = history.where((F.col("iteration") <= iteration) & (F.col("iteration") > (before[-1] if before else -(1 << 40))))
-        delta.write.mode("overwrite").parquet(f"{self.root}/history/ckpt={iteration}")
-        self.spark.createDataFrame([(json.dumps(state or {}),)], "state string").write.mode("overwrite").parquet(f"{self.root}/state/ckpt={iteration}")
-        row = self.spark.createDataFrame([(VERSION, [*before, iteration])], "version int, chain array<long>")
-        row.write.mode("overwrite").parquet(f"{self.root}/manifest/ckpt={iteration}")
+        the manifest; a repeated save replaces the checkpoint, and later checkpoints go on resting on what it replaces."""
+        known = {r["ckpt"]: r for r in self.manifest().collect()}  # a row a checkpoint
+        before = max((c for c in known if c < iteration), default=None)
+        attempt = max((r["try"] for r in known.values()), default=-1) + 1
+        delta = history.where((F.col("iteration") <= iteration) & (F.col("iteration") > (before if before is not None else -(1 << 40))))
+        where = f"ckpt={iteration}/try={attempt}"
+        delta.write.mode("overwrite").parquet(f"{self.root}/history/{where}")  # of a try that no manifest names, at most
+        self.spark.createDataFrame([(json.dumps(state or {}),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/state/{where}")
+        rows, checksum = self._figures([(iteration, attempt)])[iteration]
+        chain = [tuple(x) for x in known[before]["chain"]] if before is not None else []
+        row = self.spark.createDataFrame([(VERSION, [*chain, (iteration, attempt, rows, checksum)])], f"version int, chain {DELTAS}")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{where}")
+        if iteration in known:
+            self._clean(iteration, known[iteration]["try"])
+
+    def _figures(self, deltas: list[tuple[int, int]]) -> dict[int, tuple[int, str]]:
+        """Rows and checksum of deltas as they stand in the files; those that can't be read are left out."""
+        found = {}
+        for c, attempt in deltas:
+            try:
+                part = self.spark.read.parquet(f"{self.root}/history/ckpt={c}/try={attempt}")
+                plain = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in sorted(part.schema.fields, key=lambda f: f.name)]
+                r = part.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*plain).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
+                found[c] = r["n"], r["s"]
+            except Exception:  # whatever the reader says of a missing or cut file
+                continue
+        return found
+
+    def _clean(self, iteration: int, old: int) -> None:
+        """Remove a replaced try's manifest and state, and its delta unless another checkpoint rests on it."""
+        remove(self.spark, f"{self.root}/manifest/ckpt={iteration}/try={old}")
+        remove(self.spark, f"{self.root}/state/ckpt={iteration}/try={old}")
+        if not any((d["ckpt"], d["try"]) == (iteration, old) for r in self.manifest().collect() for d in r["chain"]):
+            remove(self.spark, f"{self.root}/history/ckpt={iteration}/try={old}")
 
     def load(self, iteration: int | None = None, ignore_missing: bool = False) -> DataFrame:
-        """The history up to a checkpoint (the latest), an iteration's rows from its newest delta. Deltas that are missing
-        or unreadable are an error, unless ignored, with a warning; a newer version only warns."""
+        """The history up to a checkpoint (the latest), an iteration's rows from its newest delta. Deltas that are missing,
+        unreadable, or not what was written, by rows and checksum, are an error, unless ignored, with a warning; a newer
+        version only warns."""
         at = self.latest() if iteration is None else iteration
         row = self.manifest().where(F.col("ckpt") == at).first()
         if row is None:
             raise FileNotFoundError(f"no complete checkpoint {at} in {self.root}")
         if row["version"] > VERSION:
             warnings.warn(f"checkpoint {at} is of version {row['version']}, newer than {VERSION}", stacklevel=2)
+        found = self._figures([(d["ckpt"], d["try"]) for d in row["chain"]])
         parts = []
-        for c in row["chain"]:
-            try:
-                part = self.spark.read.parquet(f"{self.root}/history/ckpt={c}")
+        for d in row["chain"]:
+            c = d["ckpt"]
+            if found.get(c) == (d["rows"], d["checksum"]):
+                part = self.spark.read.parquet(f"{self.root}/history/ckpt={c}/try={d['try']}")
                 parts.append(part.withColumn("ckpt", F.lit(c).cast("long")))
-            except Exception as e:  # whatever the reader says of a missing or cut file
-                if not ignore_missing:
-                    raise BrokenChain(f"checkpoint {at} rests on delta {c}, which can't be read") from e
-                warnings.warn(f"delta {c} can't be read; the history of checkpoint {at} is incomplete", stacklevel=2)
+                continue
+            wrong = "can't be read" if c not in found else f"has {found[c][0]} rows of {d['rows']}" if found[c][0] != d["rows"] else "has other rows than were written"
+            if not ignore_missing:
+                raise BrokenChain(f"checkpoint {at} rests on delta {c}, which {wrong}")
+            warnings.warn(f"delta {c} {wrong}; the history of checkpoint {at} is incomplete", stacklevel=2)
         if not parts:
             raise BrokenChain(f"none of the deltas of checkpoint {at} can be read")
         whole = parts[0]
@@ -86,9 +126,10 @@ class Checkpoints:
 
     def state(self, iteration: int | None = None) -> dict:
         at = self.latest() if iteration is None else iteration
-        if at not in self.complete():
+        row = self.manifest().where(F.col("ckpt") == at).first()
+        if row is None:
             raise FileNotFoundError(f"no complete checkpoint {at} in {self.root}")
-        return json.loads(self.spark.read.parquet(f"{self.root}/state/ckpt={at}").first()["state"])
+        return json.loads(self.spark.read.parquet(f"{self.root}/state/ckpt={at}/try={row['try']}").first()["state"])
 
     def flux_history(self) -> list[float]:
         """The newest readable checkpoint's fluxes that aren't empty, else none."""
@@ -101,11 +142,6 @@ class Checkpoints:
         return []
 
 
-def ensemble_state(weights: list[float], flux_history: list[float], basis: list[float] | None, seed: int) -> dict:
-    """What an ensemble has to know to go on; see Checkpoints.save."""
-    return {"weights": weights, "flux_history": flux_history, "basis": basis, "seed": seed}
-
-
 def frozen_basis(state: dict, first: list[float]) -> list[float]:
     """The basis of the first call, whatever later calls bring; another number of dimensions is an error."""
     basis = state.setdefault("basis", None) or list(first)
@@ -174,9 +210,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_log(log: DataFrame) -> DataFrame:
-    """One row: iterations, failed walkers in all, and whether iterations are gapless and cumulative frames add up."""
-    running = F.sum("frames_this_iteration")
-    return log.agg(F.count("*").alias("iterations"), F.coalesce(F.sum("failed_walkers"), F.lit(0)).alias("failed"), (F.max("iteration") - F.min("iteration") + 1 == F.countDistinct("iteration")).alias("gapless"), (F.max("cumulative_frames") == running).alias("adds_up"))
+    """One row: iterations, failed walkers in all, whether iterations are gapless, whether each row's cumulative frames are the
+    sum of the frames up to it, and the first iteration where they aren't (null: none). A row an iteration: a small window."""
+    own = log.withColumn("_sum", F.sum("frames_this_iteration").over(W.orderBy("iteration")))
+    off = F.min(F.when(~F.col("cumulative_frames").eqNullSafe(F.col("_sum")), F.col("iteration")))
+    return own.agg(F.count("*").alias("iterations"), F.coalesce(F.sum("failed_walkers"), F.lit(0)).alias("failed"), (F.max("iteration") - F.min("iteration") + 1 == F.countDistinct("iteration")).alias("gapless"), off.isNull().alias("adds_up"), off.alias("first_off"))
 
 
 def write_outcome(spark: SparkSession, path: str, converged: bool, iterations: int, reason: str | None) -> None:
