@@ -39,9 +39,11 @@ def exact_quantiles(df: DataFrame, vector: str, shares: list[float]) -> np.ndarr
     own = materialize(df.select(F.transform(vector, lambda v: F.nanvl(v.cast("double"), F.lit(None).cast("double"))).alias("v")).where("size(v) > 0"), "columns")
     n = _counts(own)
     d = len(n)
+    if not d:
+        return np.zeros((0, len(shares)))
     ranks = np.array([[f(q * max(0, m - 1)) for q in shares for f in (math.floor, math.ceil)] for m in n], np.int64).reshape(d, -1)
     known, left = np.zeros(ranks.shape, np.uint64), 64
-    while left and d:
+    while left:
         take = min(BITS, left)
         counts = _histograms(own, known, left, take)
         below = np.cumsum(counts, axis=2)
