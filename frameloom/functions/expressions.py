@@ -126,6 +126,12 @@ def walltime_seconds(text) -> Column:
     )
 
 
+def escalated(start: int, steps, growth: float, most: int) -> Column:
+    """Bins after a number of steps: each multiplies them, rounded down, by one more at least, up to a limit."""
+    grown = lambda n: F.least(F.greatest(F.floor(n * F.lit(growth)).cast("int"), n + 1), F.lit(most))
+    return F.aggregate(F.slice(F.sequence(F.lit(0), col(steps).cast("int")), 2, 1 << 30), F.lit(start), lambda n, _: grown(n))
+
+
 def safe_stem(text) -> Column:
     return F.regexp_replace(col(text), "[^A-Za-z0-9_.-]+", "_")
 

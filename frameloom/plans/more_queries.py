@@ -12,7 +12,7 @@ from ..scratch import scratch_dir
 from ..sources import checkpoints as C
 from ..sources import frames as S
 from ..sources import inputs
-from .queries import _CELL, _ECELL, _FR, _KNN, _SERIES, _TWO, BOUNDS, SHAPE, _features, _model_series, _rounded, _sc, _two, ev, ev_cells, li, query
+from .queries import _CELL, _ECELL, _FR, _KNN, _SERIES, _TWO, BOUNDS, EDGES, SHAPE, _features, _model_series, _rounded, _sc, _two, ev, ev_cells, li, query
 
 
 def _scratch(spark, name: str) -> str:
@@ -61,9 +61,11 @@ def cell_members(spark, d):
     return m.select("cell", "population", F.get("members", F.lit(0)).alias("first"), F.element_at("members", -1).alias("last"))
 
 
-@query("cell centre", "SELECT k AS cell, (e[k + 1] + e[k + 2]) / 2 * 10 AS centre FROM (SELECT unnest(range(5)) AS k, [0.0::DOUBLE, 5.0, 12.0, 13.0, 30.0, 50.0] AS e)")
+@query("cell population centre", f"SELECT k AS cell, population, (e[k + 1] + e[k + 2]) / 2 * 10 AS centre FROM (SELECT least(greatest(len(list_filter({EDGES}::DOUBLE[], lambda e: e <= l_quantity)) - 1, 0), {len(EDGES) - 2}) AS k, {EDGES}::DOUBLE[] AS e, count(*) AS population FROM lineitem GROUP BY ALL)")
 def edge_centres(spark, d):
-    return spark.createDataFrame([(k, c * 10) for k, c in enumerate(binning.edge_centres([0.0, 5.0, 12.0, 13.0, 30.0, 50.0]))], "cell int, centre double")
+    """Cells between edges that line items occupy, with ten times their centres."""
+    counts = binning.populations(binning.edge_cells(li(spark, d), ["l_quantity"], [EDGES]))
+    return counts.withColumn("centre", F.get(F.lit(binning.edge_centres(EDGES)), F.col("cell").cast("int")) * 10)
 
 
 # ---- criteria -----------------------------------------------------------------------------------------------------
@@ -164,10 +166,11 @@ def stored_models(spark, d):
     return C.read_models(spark, path).select("iteration", X.scaled("vamp2", 5).alias("vamp2"))
 
 
-@query("iteration files", "SELECT DISTINCT iteration, 1 AS files FROM fr", _FR)
+@query("iteration walker files", "SELECT iteration, walker, count(*) AS files FROM fr GROUP BY ALL", _FR)
 def file_labels(spark, d):
-    names = ev(spark, d).select(F.format_string("run/iter_%d/walker_%04d.xtc", F.col("iteration").cast("int"), F.lit(7)).alias("path")).distinct()
-    return inputs.labels_of_files(names).groupBy("iteration").agg(F.count("*").alias("files"))
+    """A file name for each event, by its iteration and walker."""
+    names = ev(spark, d).select(F.format_string("run/iter_%d/walker_%04d.part%d.xtc", F.col("iteration").cast("int"), F.col("walker").cast("int"), F.col("event_id").cast("int")).alias("path"))
+    return inputs.labels_of_files(names).groupBy("iteration", "walker").agg(F.count("*").alias("files"))
 
 
 @query("step walker frame", "SELECT frame AS step, walker, frame FROM fr WHERE walker = 5", _FR)
@@ -233,9 +236,11 @@ def softmax_vectors(spark, d):
     return s.select("vec_id", X.scaled(F.array_max("s"), 7).alias("top"), X.scaled(F.aggregate("s", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
-@query("text! first~ second~", "SELECT * FROM (VALUES ('1,2', 1.0, 2.0), (' -0.5 , 3e1 ', -0.5, 30.0)) v(text, first, second)")
+@query("event_id first~ second~", "SELECT event_id, -(event_id + 0.5::DOUBLE) AS first, user_id * 10::DOUBLE AS second FROM events")
 def parse_points(spark, d):
-    return spark.createDataFrame([("1,2",), (" -0.5 , 3e1 ",)], "text string").withColumn("p", inputs.parse_point("text")).select("text", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
+    """Points written with signs, spaces and powers of ten, from the events' numbers."""
+    text = F.concat(F.lit(" -"), "event_id", F.lit(".5 , "), "user_id", F.lit("e1 "))
+    return S.table(spark, d, "events").select("event_id", inputs.parse_point(text).alias("p")).select("event_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(1)).alias("second"))
 
 
 @query("segments total drift?", f"SELECT count(*) AS segments, 1000000 AS total, true AS drift FROM (SELECT lead(x) OVER (PARTITION BY walker ORDER BY frame) AS y FROM fr) WHERE y IS NOT NULL", _FR)
@@ -285,11 +290,19 @@ def label_churn(spark, d):
     return states.churn(f, "label", "predicted").withColumn("changed", X.scaled("changed"))
 
 
-@query("rank population", f"SELECT row_number() OVER (ORDER BY p) AS rank, {_sc('p / sum(p) OVER ()')} AS population FROM (SELECT r, sum(c)::DOUBLE AS p FROM nc GROUP BY r)", "nc AS (SELECT a.n_regionkey AS r, CASE WHEN a.n_regionkey = b.n_regionkey THEN 1000 ELSE 1 + a.n_regionkey * b.n_regionkey END AS c FROM nation a JOIN nation b ON true)")
+@query("rank population", f"SELECT row_number() OVER (ORDER BY p) AS rank, {_sc('p / sum(p) OVER ()')} AS population FROM (SELECT s, sum(n)::DOUBLE AS p FROM (SELECT s, count(*) AS n FROM od WHERE t IS NOT NULL GROUP BY s UNION ALL SELECT t, count(*) FROM od WHERE t IS NOT NULL GROUP BY t) GROUP BY s)", "od AS (SELECT o_custkey % 2 AS s, lead(o_custkey % 2) OVER (PARTITION BY o_custkey // 2 ORDER BY o_custkey, o_orderdate, o_orderkey) AS t FROM orders)")
 def metastable_populations(spark, d):
-    """Nations as states that change mostly within their region: the sets are the regions."""
-    n = S.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("j"), F.col("n_regionkey").alias("s"))
-    rows = n.select(F.col("j").alias("i"), F.col("s").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("j")).join(n, "j")
-    counts = rows.select(F.lit(0).alias("part"), "i", "j", F.when(F.col("r") == F.col("s"), 1000).otherwise(1 + F.col("r") * F.col("s")).alias("c"))
-    sets = msm.models(counts, "part", 1, 4, n_metastable=5).select(F.posexplode(F.array_sort("populations")).alias("k", "population"))
+    """Orders one after another in pairs of customers: a state is a priority and which of the two it was, and changes between
+    the two are rare, so these are the sets. Each pair of orders is counted both ways."""
+    from pyspark.sql import Window as W
+
+    o = S.table(spark, d, "orders")
+    kinds = F.dense_rank().over(W.orderBy("o_orderpriority")) - 1
+    names = o.select("o_orderpriority").distinct().withColumn("k", kinds)  # as few as there are priorities
+    state = (F.col("o_custkey") % 2) * 100 + F.col("k")
+    w = W.partitionBy("g").orderBy("o_custkey", "o_orderdate", "o_orderkey")
+    steps = o.join(F.broadcast(names), "o_orderpriority").withColumn("g", F.floor(F.col("o_custkey") / 2)).select(state.alias("i"), F.lead(state).over(w).alias("j")).where("j IS NOT NULL")
+    both = steps.groupBy("i", "j").agg(F.count("*").alias("c"))
+    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "c")).groupBy("i", "j").agg(F.sum("c").alias("c"))
+    sets = msm.models(both.withColumn("part", F.lit(0)), "part", 1, 4, n_metastable=2).select(F.posexplode(F.array_sort("populations")).alias("k", "population"))
     return sets.select((F.col("k") + 1).alias("rank"), X.scaled("population").alias("population"))

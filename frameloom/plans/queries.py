@@ -182,17 +182,21 @@ def padded_bounds(spark, d):
     return spark.createDataFrame([(k, *b[c]) for k, c in enumerate(BOUNDS)], "axis int, lo double, hi double").withColumns({c: X.scaled(c, 3) for c in ("lo", "hi")})
 
 
-_CENTRES = "g AS (SELECT range AS cell, sqrt((1.0 + (range // 30 + 0.5) * (49.0::DOUBLE / 30) - 20.0) * (1.0 + (range // 30 + 0.5) * (49.0::DOUBLE / 30) - 20.0)) AS d FROM range(900))"
+_CENTRES = f"oc AS (SELECT {_CELL} AS cell, count(*) AS population FROM lineitem GROUP BY 1), " + "g AS (SELECT range AS cell, population, sqrt((1.0 + (range // 30 + 0.5) * (49.0::DOUBLE / 30) - 20.0) * (1.0 + (range // 30 + 0.5) * (49.0::DOUBLE / 30) - 20.0)) AS d FROM range(900) JOIN oc ON oc.cell = range)"
 
 
-@query("cell closeness", f"SELECT cell, {_sc('(r - (SELECT min(r) FROM z)) / ((SELECT max(r) FROM z) - (SELECT min(r) FROM z))')} AS closeness FROM z", _CENTRES + ", z AS (SELECT cell, CASE WHEN d > 0 THEN 1 / d ELSE 0 END AS r FROM g)")
+def _held_cells(spark, d) -> DataFrame:
+    return binning.bin_table(li(spark, d), list(BOUNDS), SHAPE, BOUNDS).where("population > 0")
+
+
+@query("cell population closeness", f"SELECT cell, population, {_sc('(r - (SELECT min(r) FROM z)) / ((SELECT max(r) FROM z) - (SELECT min(r) FROM z))')} AS closeness FROM z", _CENTRES + ", z AS (SELECT cell, population, CASE WHEN d > 0 THEN 1 / d ELSE 0 END AS r FROM g)")
 def closeness_inverse(spark, d):
-    return binning.closeness(binning.full_grid(spark, SHAPE, list(BOUNDS.values())), ["c0"], [20.0], "inverse").withColumn("closeness", X.scaled("closeness"))
+    return binning.closeness(_held_cells(spark, d), ["c0"], [20.0], "inverse").withColumn("closeness", X.scaled("closeness"))
 
 
-@query("cell closeness", f"SELECT cell, {_sc('((SELECT max(d) FROM g) - d) / ((SELECT max(d) FROM g) - (SELECT min(d) FROM g))')} AS closeness FROM g", _CENTRES)
+@query("cell population closeness", f"SELECT cell, population, {_sc('((SELECT max(d) FROM g) - d) / ((SELECT max(d) FROM g) - (SELECT min(d) FROM g))')} AS closeness FROM g", _CENTRES)
 def closeness_linear(spark, d):
-    return binning.closeness(binning.full_grid(spark, SHAPE, list(BOUNDS.values())), ["c0"], [20.0]).withColumn("closeness", X.scaled("closeness"))
+    return binning.closeness(_held_cells(spark, d), ["c0"], [20.0]).withColumn("closeness", X.scaled("closeness"))
 
 
 EDGES = [0.0, 5.0, 12.0, 13.0, 30.0, 50.0]
@@ -674,9 +678,13 @@ def riteweight_step(spark, d):
 # ---- scalars ------------------------------------------------------------------------------------------------------
 
 
-@query("text! seconds", "SELECT * FROM (VALUES ('1:02:03', 3723), ('05:30', 330), ('2-00:00:10', 172810), ('90', 5400), ('x', NULL), ('1:2:3:4', NULL)) v(text, seconds)")
+_CLOCK = "CASE event_id % 5 WHEN 0 THEN concat(user_id % 3, '-', user_id % 24, ':', event_id % 60, ':', user_id % 60) WHEN 1 THEN concat(user_id % 24, ':', event_id % 60, ':', user_id % 60) WHEN 2 THEN concat(event_id % 60, ':', user_id % 60) WHEN 3 THEN concat(user_id, '') ELSE concat(event_type, ':1') END"
+
+
+@query("event_id text! seconds", f"SELECT event_id, {_CLOCK} AS text, CASE event_id % 5 WHEN 0 THEN user_id % 3 * 86400 + user_id % 24 * 3600 + event_id % 60 * 60 + user_id % 60 WHEN 1 THEN user_id % 24 * 3600 + event_id % 60 * 60 + user_id % 60 WHEN 2 THEN event_id % 60 * 60 + user_id % 60 WHEN 3 THEN user_id * 60 END AS seconds FROM events")
 def walltime_parse(spark, d):
-    return spark.createDataFrame([(t,) for t in ("1:02:03", "05:30", "2-00:00:10", "90", "x", "1:2:3:4")], "text string").withColumn("seconds", X.walltime_seconds("text"))
+    """Durations written in each of the forms, from the events' numbers; one form isn't a duration."""
+    return S.table(spark, d, "events").select("event_id", F.expr(_CLOCK).alias("text")).withColumn("seconds", X.walltime_seconds("text"))
 
 
 @query("event_id seed", "SELECT event_id, CASE WHEN s = 0 THEN 1 ELSE s END AS seed FROM (SELECT event_id, (42 + iteration * 100003 + walker * 1009) % 2147483647 AS s FROM fr)", _FR)
@@ -684,9 +692,11 @@ def walker_seed(spark, d):
     return ev(spark, d).select("event_id", X.walker_seed(F.lit(42), "iteration", "walker").alias("seed"))
 
 
-@query("key! number", "SELECT * FROM (VALUES ('tau_ps', 2), ('seed', 42)) v(key, number)")
+@query("key! number~", "SELECT 'supplier_' || s_suppkey AS key, s_nationkey + 0.5::DOUBLE AS number FROM supplier WHERE s_suppkey % 4 < 2")
 def log_meta_parse(spark, d):
-    return S.run_meta(spark.createDataFrame([("# tau_ps=2.0",), ("# seed = 42 ",), ("# scheme=we",), ("1\t2\t3",)], "value string"))
+    """Lines of a run log about each supplier: two forms of a number, a word, and a line that isn't marked."""
+    line = "CASE s_suppkey % 4 WHEN 0 THEN concat('# supplier_', s_suppkey, '=', s_nationkey, '.5') WHEN 1 THEN concat('#supplier_', s_suppkey, ' = ', s_nationkey, '.50 ') WHEN 2 THEN concat('# supplier_', s_suppkey, '=word') ELSE concat('supplier_', s_suppkey, '=', s_nationkey) END"
+    return S.run_meta(S.table(spark, d, "supplier").select(F.expr(line).alias("value")))
 
 
 @query("event_id stem!", "SELECT event_id, regexp_replace(event_type || ' /' || props, '[^A-Za-z0-9_.-]+', '_', 'g') AS stem FROM events")
@@ -694,20 +704,36 @@ def safe_stems_all(spark, d):
     return S.table(spark, d, "events").select("event_id", X.safe_stem(F.concat("event_type", F.lit(" /"), "props")).alias("stem"))
 
 
-@query("step bins", "SELECT * FROM e", "RECURSIVE e AS (SELECT 0 AS step, 30 AS bins UNION ALL SELECT step + 1, least(greatest(CAST(floor(bins * 1.15::DOUBLE) AS INT), bins + 1), 150) FROM e WHERE step < 14)")
+@query("iteration bins", "SELECT iteration, bins FROM e JOIN k ON k.step = e.step", "RECURSIVE " + _FR + ", k AS (SELECT iteration, row_number() OVER (ORDER BY iteration) - 1 AS step FROM (SELECT DISTINCT iteration FROM fr)), e AS (SELECT 0 AS step, 30 AS bins UNION ALL SELECT step + 1, least(greatest(CAST(floor(bins * 1.15::DOUBLE) AS INT), bins + 1), 150) FROM e WHERE step < (SELECT max(step) FROM k))")
 def resolution_escalation(spark, d):
-    bins, rows = 30, [(0, 30)]
-    for k in range(14):
-        bins = min(max(int(bins * 1.15), bins + 1), 150)
-        rows.append((k + 1, bins))
-    return spark.createDataFrame(rows, "step int, bins int")
+    """A finer grid at each iteration of the events, up to 150 bins."""
+    its = ev(spark, d).select("iteration").distinct()  # a row an iteration
+    return its.withColumn("step", F.row_number().over(W.orderBy("iteration")) - 1).select("iteration", X.escalated(30, "step", 1.15, 150).alias("bins"))
 
 
-@query("iteration walkers mean_x~ flux~")
+_LOOP = (
+    _FR
+    + """, st AS (SELECT DISTINCT walker FROM fr WHERE iteration <= 5), en AS (SELECT b, walker, arg_max(x, frame) AS x FROM fr JOIN (SELECT unnest(range(5)) AS b) ON iteration <= 6 * b + 5 JOIN st USING (walker) GROUP BY ALL),
+  re AS (SELECT b, x < 40 AS r, CASE WHEN x < 40 THEN (SELECT x FROM fr WHERE frame = 0 ORDER BY walker LIMIT 1) ELSE x END AS x FROM en)"""
+)
+
+
+@query("iteration walkers recycled bins flux", f"SELECT b AS iteration, count(*) AS walkers, count(*) FILTER (r) AS recycled, count(DISTINCT least(greatest(floor(x / 50), 0), 9)) AS bins, CASE WHEN b = 0 THEN {_sc('(count(*) FILTER (r)) / count(*)::DOUBLE', 9)} END AS flux FROM re GROUP BY b", _LOOP)
 def campaign_loop(spark, d):
-    from .campaign import run_walk
+    """Five batches of six days move an ensemble on: recycled under 40, ten bins, as many slots as walkers. The flux of later
+    batches rests on draws, so that only the first batch's is compared."""
+    from ..operators.ensemble_table import EnsembleTable
+    from ..scratch import scratch_path
 
-    return run_walk(spark, n_walkers=20, iterations=5)
+    f = ev(spark, d)
+    cells = lambda df: binning.uniform_cells(df, ["x"], [10], {"x": (0.0, 500.0)})
+    basis = f.where("frame = 0").orderBy("walker").select("x").first()["x"]
+    live = f.where("iteration <= 5").select("walker").distinct()
+    table = EnsembleTable(spark, scratch_path(spark, "campaign"), ["x"], cells, [(float("-inf"), np.nextafter(40.0, 0))])
+    for b in range(5):
+        ends = ensemble.endpoints(f.where(F.col("iteration") <= 6 * b + 5).join(live, "walker", "left_semi"), ["x"])
+        table.step(b, ends, [basis])
+    return table.log().select("iteration", "walkers", "recycled", "bins", F.when(F.col("iteration") == 0, X.scaled("flux", 9)).alias("flux"))
 
 
 from . import model_queries, more_queries, state_queries  # noqa: E402, F401  add their own to QUERIES

@@ -69,7 +69,6 @@ def _not_here(*_, **__):
 
 def _defaults() -> None:
     from .operators import binning, criteria, msm, posterior, spawning, spectral
-    from .plans import campaign
 
     edges = lambda f: lambda points, column, n, lo, hi, **o: f(points, column, n, lo, hi, **o)
     BINNERS.register("uniform", lambda points, column, n, lo, hi: [lo + (hi - lo) * k / n for k in range(n + 1)], "equal cells")
@@ -88,7 +87,6 @@ def _defaults() -> None:
     ESTIMATORS.register("bayesian", posterior.bayesian_errors, "posterior deviations of the timescales")
     for name, f in (("implied_timescales", criteria.timescales), ("vamp2", criteria.score), ("stationary_distribution", criteria.populations), ("statistical_error", criteria.statistical_error), ("transition_matrix", criteria.transition_error)):
         CRITERIA.register(name, f)
-    PROPAGATORS.register("biased_walk", campaign.biased_walk, "reflected walk with drift")
 
 
 _defaults()
