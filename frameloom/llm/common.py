@@ -5,80 +5,17 @@ from __future__ import annotations
 import gc
 import json
 import os
-import tempfile
-import uuid
-import zipfile
 from array import array
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="frameloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder, dealt over buckets by a hash of keys and sorted by them in each, and read it.
-
-    Tables of equal buckets meet in merge joins without a shuffle of their rows.
-    """
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:])
-    dealt.format("parquet").option("compression", compression).option("path", scratch_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
-
-
-def join_by_share(left: DataFrame, right: DataFrame, on: list[str], weight: str, share: int = 1000) -> DataFrame:
-    """left inner join right on the columns `on`; right has one row for each key.
-
-    weight: a column of right with at least the number of left's rows that have the key. Keys with more than 1 / share of
-    all weights are fewer than share, whatever the tables' sizes; those rows of right are broadcast, so left's rows of a
-    hot key stay where they are. All others meet by a shuffle.
-    """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) * share > total
-    hot = right.where(heavy)
-    near = left.join(F.broadcast(hot), on)
-    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~heavy).hint("merge"), on)
-    return near.unionByName(rest)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_frameloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="frameloom-"), "frameloom.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    sc.addPyFile(out)
-    sc._frameloom_shipped = True
+from ..joins import bucketed, join_by_share  # noqa: F401  for the operators
+from ..scratch import discard, materialize, scratch_dir, scratch_path, ship  # noqa: F401
 
 
 def _give_back() -> None:

@@ -155,17 +155,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add column fingerprint to docs; narrow, no shuffle."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def add(texts):
-        return texts.map(fingerprint)
-
-    return docs.withColumn("fingerprint", add(F.coalesce(F.col(text_col), F.lit(""))))
-
-
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprint each text, its edited text, and compare with the next document's, in descending order of id.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bucketed, bucketed_by_id, join_by_share, map_arrow, materialize, slices
+from .common import batch_of, bucketed, bucketed_by_id, discard, join_by_share, map_arrow, materialize, slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -127,6 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(batches):
         index.add(lines.where(F.col("batch") == k))
     drops = dropped_keys(lines, index.all(), documents)
+    discard(lines)
     drops = drops.groupBy(*DOC).agg(F.collect_list("h1").alias("drops"))
     rows = _documents(docs, id_col, text_col).join(drops.hint("shuffle_hash"), DOC, "left").select("id", "text", "drops")
     schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])

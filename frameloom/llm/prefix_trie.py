@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, join_by_share, map_arrow, materialize
+from .common import batch_of, discard, join_by_share, map_arrow, materialize
 
 BLOCK = 4096
 
@@ -109,8 +109,9 @@ def first_owned(nodes: DataFrame, convs: DataFrame) -> DataFrame:
         asked = states.withColumn("mid", F.expr("(lo + hi) div 2")).join(owned.hint("merge"), ["conv", "mid"], "left")
         yes, no = F.col("owns").isNotNull(), F.col("owns").isNull()
         more = F.col("lo") < F.col("hi")
-        states = asked.select("conv", "len", F.when(more & no, F.col("mid") + 1).otherwise(F.col("lo")).alias("lo"), F.when(more & yes, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
-        states = materialize(states, "search")
+        done = asked.select("conv", "len", F.when(more & no, F.col("mid") + 1).otherwise(F.col("lo")).alias("lo"), F.when(more & yes, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+        before, states = states, materialize(done, "search")
+        discard(before)
     return states.where("lo <= len").select("conv", F.col("lo").alias("first"))
 
 
@@ -119,7 +120,7 @@ def carried_up(chains: DataFrame) -> DataFrame:
 
     Round k adds the sums of the chains 2^k steps below, which then hold all less than 2^(k + 1) steps below.
     """
-    state = chains.withColumn("jump", F.col("parent"))
+    held, state = chains, chains.withColumn("jump", F.col("parent"))
     while True:
         below = state.where("jump IS NOT NULL").groupBy("jump").agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"), F.count("*").alias("k"))
         below = materialize(below, "below")
@@ -130,7 +131,9 @@ def carried_up(chains: DataFrame) -> DataFrame:
         sums = below.select(F.col("jump").alias("conv"), "l", "s")
         state = state.join(sums, "conv", "left").join(hops, "conv", "left")
         zero = F.lit(0)
-        state = materialize(state.select("conv", "first", "parent", (F.col("leaves") + F.coalesce("l", zero)).alias("leaves"), (F.col("saved") + F.coalesce("s", zero)).alias("saved"), F.col("next").alias("jump")), "chains")
+        before, state = held, materialize(state.select("conv", "first", "parent", (F.col("leaves") + F.coalesce("l", zero)).alias("leaves"), (F.col("saved") + F.coalesce("s", zero)).alias("saved"), F.col("next").alias("jump")), "chains")
+        discard(before, below)
+        held = state
 
 
 def end_digests(ends: DataFrame, most: int = 1 << 16) -> DataFrame:

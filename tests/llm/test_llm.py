@@ -72,6 +72,65 @@ def test_fingerprint_neighbours(request, name):
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
 
 
+def plain_fingerprint(text):
+    """The fields of a fingerprint by loops over code points, from the definition in the module's first lines."""
+    c, n, prime = [ord(x) + 1 for x in text], len(text), fingerprints.PRIME
+    stride = 1
+    while n > fingerprints.MARKS * stride:
+        stride *= 2
+
+    def value(start, length, base):  # the same wherever a span stands
+        out = 0
+        for k in reversed(range(length)):
+            out = (out * base + c[start + k]) % prime
+        return out
+
+    both = lambda start, length: tuple(value(start, length, b) for b in fingerprints.BASES)
+    short = lambda h: f"{((h[0] << 31 | h[1]) * 0x9E3779B97F4A7C15 >> 20) & 0xFFFFFFFF:08x}"
+    whole = both(0, n)
+    marks = range(stride, n // stride * stride + 1, stride)
+    w = min(fingerprints.WINDOW, n)
+    hashes = {int(common.mix64(np.array([value(k, w, fingerprints.BASES[0])], np.uint64))[0]) >> 32 for k in range(n - w + 1)} if n else set()
+    sketch = "".join(f"{h:08x}" for h in sorted(hashes)[: fingerprints.SKETCH])
+    return f"{n:x}:{stride:x}:{whole[0] << 31 | whole[1]:016x}:{''.join(short(both(0, m)) for m in marks)}:{''.join(short(both(n - m, m)) for m in marks)}:{sketch}"
+
+
+def plain_likeness(s, t):
+    """From the texts: the share of the longer that common starts and ends of sampled lengths cover, or the windows'."""
+    if s == t:
+        return 1.0
+    n, m = max(len(s), len(t)), min(len(s), len(t))
+    if not m:
+        return 0.0
+    stride = lambda x: max(1, 1 << max(0, -(-len(x) // fingerprints.MARKS) - 1).bit_length())
+    step = max(stride(s), stride(t))
+    run = lambda a, b: max((k for k in range(0, m + 1, step) if a[:k] == b[:k]), default=0)
+    cover = (run(s, t) + run(s[::-1], t[::-1])) / n
+    least = lambda x: {x_ for x_ in plain_fingerprint(x).rsplit(":", 1)[1:]}.pop()
+    u, v = ({h[i : i + 8] for i in range(0, len(h), 8)} for h in (least(s), least(t)))
+    low = set(sorted(u | v)[: fingerprints.SKETCH])
+    return min(max(cover, len(u & v & low) / max(1, len(low))), 1 - 1 / (2 * n))
+
+
+def test_fingerprint_query_by_brute_force(spark, docs):
+    """Fingerprints and both likenesses of the query against loops over the texts."""
+    from frameloom.llm.queries import op1_fingerprints
+
+    rows = sorted(pairs(docs), reverse=True)
+    got = {r["doc_id"]: r for r in op1_fingerprints(spark, SF).collect()}
+    seen = 0
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
+        k = len(t) // 3
+        e = t[: len(t) - k] + nxt[:k]
+        if len(t) < 1200:
+            assert got[i]["fingerprint"] == plain_fingerprint(t) and got[i]["edited_fingerprint"] == plain_fingerprint(e)
+            assert abs(got[i]["near_edited"] - plain_likeness(t, e)) < 1e-12
+            seen += 1
+            if len(nxt) < 1200:
+                assert abs(got[i]["near_next"] - plain_likeness(t, nxt)) < 1e-12
+    assert seen > 30
+
+
 def test_range_coder():
     rnd = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 1), (1023, 3), (1024, 60_000), (5000, 50_257)):
@@ -138,8 +197,11 @@ def test_chat_query(spark):
     assert set(got) == set(conv)
     for c, turns in conv.items():
         loss = "".join(t for role, t in turns if role == "assistant")
-        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want
+        # a turn is "### role: text </turn>" and a line feed; each backslash, each ### and each </turn> of a text adds one
+        marked = lambda t: len(t) + t.count("\\") + t.count("###") + t.count("</turn>")
+        chars = sum(4 + marked(a) + a.count(":") + 2 + marked(b) + 9 for a, b in turns)
+        want = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+        assert tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) == want
 
 
 def test_viterbi_is_exact():
