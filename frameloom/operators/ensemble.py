@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,46 +54,48 @@ def slots(walkers: DataFrame, cell: str, budget: int) -> DataFrame:
     return ranked.select(cell, "population", checked.cast("long").alias("slots"))
 
 
-def resample_bin(ids, weights, target: int, rng: np.random.Generator, equalise: bool = False) -> list[tuple[int, float]]:
-    """(parent, weight) of target walkers: the two lightest merge, one of them living on in proportion to its weight; the
-    heaviest halves. With equalise, both go on until the heaviest has at most 4 times the lightest's weight."""
-    heap = [(float(w), k, i) for k, (i, w) in enumerate(zip(ids, weights, strict=True))]
+Member = tuple[float, int, int]  # weight, order of birth, walker
+
+
+def fewer(members: list[Member], target: int, rng: np.random.Generator, born: int) -> list[Member]:
+    """Merge the two lightest until target are left; one of the two lives on, in proportion to its weight. Sums of the
+    lightest never get lighter, so they queue behind one another and beside the sorted members: linear after the sort."""
+    old, new = deque(sorted(members)), deque()
+    lightest = lambda: (new if not old or new and new[0] < old[0] else old).popleft()
+    while len(old) + len(new) > max(target, 1):
+        a, b = lightest(), lightest()
+        total = a[0] + b[0]
+        kept = a if rng.random() < (a[0] / total if total > 0 else 0.5) else b
+        new.append((total, born, kept[2]))
+        born += 1
+    return [*old, *new]
+
+
+def more(members: list[Member], target: int, born: int) -> list[Member]:
+    """Halve the heaviest, the eldest of equals, until there are target."""
+    heap = [(-w, k, i) for w, k, i in members]
     heapq.heapify(heap)
-    serial = len(heap)
-
-    def merge():
-        nonlocal serial
-        (wa, _, a), (wb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        total = wa + wb
-        heapq.heappush(heap, (total, serial, a if rng.random() < (wa / total if total > 0 else 0.5) else b))
-        serial += 1
-
-    while len(heap) > target:
-        merge()
-    top = [(-w, k, i) for w, k, i in heap]
-    heapq.heapify(top)
-
-    def split():
-        nonlocal serial
-        w, _, i = heapq.heappop(top)
-        for _ in range(2):
-            heapq.heappush(top, (w / 2, serial, i))
-            serial += 1
-
-    while top and len(top) < target:
-        split()
-    if equalise and len(top) > 1:
-        for _ in range(200):
-            ws = sorted((-w, k, i) for w, k, i in top)
-            if ws[-1][0] <= 4 * ws[0][0]:
-                break
-            heap[:] = ws
-            heapq.heapify(heap)
-            merge()
-            top[:] = [(-w, k, i) for w, k, i in heap]
-            heapq.heapify(top)
-            split()
-    return [(i, -w) for w, _, i in sorted(top, key=lambda x: x[1])]
+    while heap and len(heap) < target:
+        w, _, i = heap[0]
+        heapq.heapreplace(heap, (w / 2, born, i))
+        heapq.heappush(heap, (w / 2, born + 1, i))
+        born += 2
+    return [(-w, k, i) for w, k, i in heap]
+
+
+def resample_bin(ids, weights, target: int, rng: np.random.Generator, equalise: bool = False) -> list[tuple[int, float]]:
+    """(parent, weight) of target walkers, see fewer and more. With equalise, a merge and a split go on in turn until the
+    heaviest has at most 4 times the lightest's weight."""
+    found = [(float(w), k, i) for k, (i, w) in enumerate(zip(ids, weights, strict=True))]
+    later = lambda: max((k for _, k, _ in found), default=-1) + 1
+    found = fewer(found, target, rng, later())
+    found = more(found, target, later())
+    for _ in range(200 if equalise and len(found) > 1 else 0):
+        if max(found)[0] <= 4 * min(found)[0]:
+            break
+        found = fewer(found, len(found) - 1, rng, later())
+        found = more(found, len(found) + 1, later())
+    return [(i, w) for w, _, i in sorted(found, key=lambda m: m[1])]
 
 
 def resample(walkers: DataFrame, cell: str, target: DataFrame | int, seed: int = 0, walker: str = "walker", equalise: bool = True) -> DataFrame:
