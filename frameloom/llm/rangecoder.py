@@ -3,7 +3,8 @@
 Four predictions are mixed for each id. Orders 2 and 1 name the id that last followed the same two ids, or the same one,
 in the block. Order 0 gives each id of the block a share by how lately it was seen (interval coding after Elias, 1987).
 The rest is spread evenly over the alphabet. The shares adapt: those of orders 1 and 2 to how often in a row the context
-guessed right, order 0's to how often it was right in the block. All of it starts anew in every block, so that a block
+guessed right, order 0's to how often it was right in the block. Where orders 2 and 1 name the same id, it has both their
+shares. All of it starts anew in every block, so that a block
 needs nothing but the alphabet's size. A
 range coder with 64-bit state and 32-bit output codes each id in the share of the highest order that predicts it. All
 blocks of a file advance one id at a time together, as numpy arrays with a lane for each block, in integer arithmetic.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, bucketed_by_id, map_arrow, scratch_path, slices, token_cache
 
-MAGIC = b"FLCM3\n"
+MAGIC = b"FLCM4\n"
 BLOCK, SLOTS = 1024, 1 << 10
 BITS, TOP = 12, 20  # shares are parts of 2^12, alphabets at most 2^20: together they fit the range, 2^32 at least
 #: Order 0's share moves a sixteenth of the way to HIT or MISS; every part of the mixture keeps at least one of 2^12.
@@ -77,6 +78,7 @@ class _Model:
         levels = (self.level2 * 8 + self.level1).astype(np.intp)
         _END2.take(levels, out=self.end2, mode="clip")
         _END1.take(levels, out=self.end1, mode="clip")
+        np.copyto(self.end2, self.end1, where=self.guess1 == self.guess2)  # both shares are the one id's
         np.subtract(whole, self.end1, out=self.end0)
         self.end0 *= self.seen[:n]
         self.end0 >>= BITS
