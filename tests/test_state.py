@@ -219,6 +219,9 @@ def test_exact_quantiles(spark):
     x = np.stack(columns, axis=1)
     df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
     assert np.array_equal(scaling.exact_quantiles(df, "v", shares), np.percentile(x, [100 * q for q in shares], axis=0).T)
+    few, scaling.FEW = scaling.FEW, 0  # every bit is counted
+    assert np.array_equal(scaling.exact_quantiles(df, "v", shares), np.percentile(x, [100 * q for q in shares], axis=0).T)
+    scaling.FEW = few
     odd = spark.createDataFrame([([1.0, None],), ([2.0, None, 5.0],), (None,), ([],), ([float("nan"), None],), ([4.0],)], "v array<double>")
     got = scaling.exact_quantiles(odd, "v", [0.5])
     assert got[0, 0] == 2.0 and np.isnan(got[1, 0]) and got[2, 0] == 5.0
