@@ -24,6 +24,7 @@ class EnsembleTable:
         """columns: the coordinates of endpoints; cells adds their bin as `cell`; target: the box that ends a walk."""
         self.spark, self.root, self.columns, self.cells = spark, root.rstrip("/"), columns, cells
         self.target, self.seed, self.equalise = target, seed, equalise
+        self._done: dict[int, list[float]] | None = None
 
     def log(self) -> DataFrame:
         """(walkers, recycled, flux, bins, basis, seed, iteration): a row for each batch that is complete."""
@@ -51,13 +52,15 @@ class EnsembleTable:
         the occupied bins, the sparsest first, and each bin is resampled to its slots. The sum of weights isn't mended: if
         it isn't 1 afterwards, that is an error.
         """
-        done = {r["iteration"]: r for r in self.log().collect()}  # a row a batch
+        if self._done is None:
+            self._done = {r["iteration"]: r["basis"] for r in self.log().collect()}  # a row a batch; one driver writes
+        done = self._done
         if iteration in done:
             return self.slots(iteration)
         before = max(done, default=None)
         if before is not None and before > iteration:
             raise ValueError(f"batch {iteration} comes after batch {before}")
-        basis = list(done[min(done)]["basis"] or []) if done else list(basis or [])
+        basis = list(done[min(done)] or []) if done else list(basis or [])
         if self.target is not None and len(basis) != len(self.columns):
             raise ValueError(f"a basis of {len(basis)} coordinates for {len(self.columns)} columns")
         live = ends.select("walker", *(F.col(c).cast("double").alias(c) for c in self.columns)).withColumn("slot", F.row_number().over(W.orderBy("walker")) - 1)
@@ -72,16 +75,17 @@ class EnsembleTable:
             back = back.withColumn(c, F.when(F.col("recycled"), F.lit(float(b))).otherwise(F.col(c)))
         binned = self.cells(back).select("walker", "weight", "recycled", F.col("cell").cast("long").alias("cell"))
         binned = self._kept(binned, iteration)
-        n = budget or binned.count()
+        f = binned.agg(F.count("*").alias("w"), F.sum(F.col("recycled").cast("long")).alias("r"), F.coalesce(F.sum(F.when(F.col("recycled"), F.col("weight"))), F.lit(0.0)).alias("f"), F.countDistinct("cell").alias("b")).first()
+        n = budget or f["w"]
         drawn = ensemble.resample(binned, "cell", ensemble.slots(binned, "cell", n), self.seed + iteration, equalise=self.equalise)
         order = W.orderBy("cell", "parent_walker", "weight")
         rows = drawn.withColumn("slot", F.row_number().over(order) - 1).join(binned.select(F.col("walker").alias("parent_walker"), "recycled"), "parent_walker")
         parent = F.when(F.col("recycled"), F.lit(-1)).otherwise(F.col("parent_walker"))
         out = rows.select("slot", F.col("parent_walker").alias("walker"), parent.cast("long").alias("parent"), "weight", "cell", walker_seed(F.lit(self.seed), F.lit(iteration), "slot").alias("seed"))
         ensemble.conserved(out).write.mode("overwrite").parquet(f"{self.root}/slots/iteration={iteration}")
-        f = binned.agg(F.count("*").alias("w"), F.sum(F.col("recycled").cast("long")).alias("r"), F.coalesce(F.sum(F.when(F.col("recycled"), F.col("weight"))), F.lit(0.0)).alias("f"), F.countDistinct("cell").alias("b")).first()
         row = [(f["w"], f["r"], f["f"], f["b"], [float(b) for b in basis], self.seed)]
         self.spark.createDataFrame(row, LOG.rpartition(",")[0]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/iteration={iteration}")
+        done[iteration] = [float(b) for b in basis]
         return self.slots(iteration)
 
     def _kept(self, df: DataFrame, iteration: int) -> DataFrame:

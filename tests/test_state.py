@@ -133,9 +133,8 @@ def test_ensemble_table(spark, tmp_path):
     left = opened().step(3, ends[3].where("walker < 9"))  # three walkers are lost
     assert left.count() == 9 and abs(left.agg(F.sum("weight")).first()[0] - 1) < 1e-9
     with pytest.raises(ValueError, match="comes after"):
-        table = opened()
         shutil.rmtree(f"{tmp_path}/a/log/iteration=1")
-        table.step(1, ends[1])
+        opened().step(1, ends[1])
     with pytest.raises(ValueError, match="basis"):
         opened("b").step(0, ends[0])
     free = EnsembleTable(spark, f"file://{tmp_path}/c", ["x"], cells).step(0, ends[0], budget=20)
