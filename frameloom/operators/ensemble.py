@@ -14,9 +14,14 @@ from ..functions.expressions import in_box
 from ..scratch import ship
 
 
-def endpoints(frames: DataFrame, columns: list[str], walker: str = "walker", order: str = "frame") -> DataFrame:
-    """Each walker's last frame."""
-    return frames.groupBy(walker).agg(F.max_by(F.struct(order, *columns), order).alias("e")).select(walker, "e.*")
+def endpoints(frames: DataFrame, columns: list[str], walker: str = "walker", order: str = "frame", even: bool = False) -> DataFrame:
+    """Each walker's last frame. even: walkers of unequal numbers of frames are an error, raised by the plan itself."""
+    last = frames.groupBy(walker).agg(F.max_by(F.struct(order, *columns), order).alias("e"), F.count("*").alias("_n"))
+    if even:
+        text = F.concat(F.lit("walkers have from "), F.min("_n").cast("string"), F.lit(" to "), F.max("_n").cast("string"), F.lit(" frames"))
+        check = last.agg(F.when(F.coalesce(F.min("_n") == F.max("_n"), F.lit(True)), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")).alias("_ok"))
+        last = last.crossJoin(F.broadcast(check)).where("_ok")  # one row
+    return last.select(walker, "e.*")
 
 
 def survivors(weights: DataFrame, alive: DataFrame, walker: str = "walker", least: float = 0.0) -> DataFrame:

@@ -33,10 +33,16 @@ def segments(frames: DataFrame, segment: list[str], dimension: str | None = None
     return frames.withColumn("_n", F.count("*").over(W.partitionBy(*segment))).where("_n > 1").drop("_n")
 
 
-def transition_matrix(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Add row sums `n` and row-normalised probabilities `p`."""
-    w = W.partitionBy(*(by or []), "i")
-    return counts.withColumn("n", F.sum("c").over(w)).withColumn("p", F.col("c") / F.col("n"))
+def transition_matrix(counts: DataFrame, by: list[str] | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Add row sums `n` and row-normalised probabilities `p`. states (by, i): those that nothing leaves get a loop of
+    probability 1, with c and n 0."""
+    own = [*(by or []), "i"]
+    out = counts.withColumn("n", F.sum("c").over(W.partitionBy(*own))).withColumn("p", F.col("c") / F.col("n"))
+    if states is None:
+        return out
+    lacking = states.select(*own).distinct().join(counts.select(*own).distinct(), own, "left_anti")
+    zero = F.lit(0).cast("long")
+    return out.unionByName(lacking.withColumns({"j": F.col("i"), "c": zero, "n": zero, "p": F.lit(1.0)}).select(*out.columns))
 
 
 def matrix_uncertainty(matrix: DataFrame, pi: DataFrame, least_flux: float = 1e-4) -> DataFrame:

@@ -92,6 +92,14 @@ def least_counts(frames: DataFrame, state: str, power: float = 1.0) -> DataFrame
     return frames.join(c, state).withColumn("weight", 1 / F.pow(F.col("c").cast("double"), F.lit(float(power))) / F.col("c")).drop("c")
 
 
+def least_counts_of(frames: DataFrame, row_id: str, vector: str, k: int, power: float = 1.0, seed: int = 0) -> DataFrame:
+    """least_counts over k centres that are fitted to these very frames; the centre's number is in `state`."""
+    from . import clustering
+
+    centres, _, _ = clustering.kmeans(frames, row_id, vector, k, seed=seed)
+    return least_counts(clustering.with_nearest(frames, vector, centres, "state"), "state", power)
+
+
 def knn(points: DataFrame, row_id: str, vector: str, k: int, block: int = 256, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(id, neighbour, d2, rank) of the k nearest others, ties by id. Exact.
 

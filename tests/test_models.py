@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import binning, clustering, criteria, feature_models, lineage, posterior, spectral
+from frameloom.operators import binning, clustering, criteria, ensemble, feature_models, lineage, posterior, sequence, spawning, spectral
 from frameloom.scratch import discard, materialize
 from frameloom.sources import frames as S
 
@@ -247,3 +247,27 @@ def test_paths_by_walkers(spark):
         lineage.walker_path(keyed, apart, (1, 0), (2, 0))
     with pytest.raises(ValueError, match="cycle"):
         lineage.walker_paths(apart, [(3, 0)])
+
+
+def test_least_counts_of_fresh_centres(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(90, 2)), rng.normal(size=(10, 2)) + 20])
+    got = spawning.least_counts_of(spark.createDataFrame(rows_of(x), VEC), "id", "v", 2).collect()
+    by = {s: [r["weight"] for r in got if r["state"] == s] for s in {r["state"] for r in got}}
+    assert sorted(map(len, by.values())) == [10, 90] and all(abs(sum(w) - 1 / len(w)) < 1e-12 for w in by.values())
+
+
+def test_states_that_nothing_leaves_keep_themselves(spark):
+    counts = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (2, 0, 5)], "i long, j long, c long")
+    got = {(r["i"], r["j"]): (r["n"], r["p"]) for r in sequence.transition_matrix(counts, states=spark.range(4).toDF("i")).collect()}
+    assert got == {(0, 0): (4, 0.75), (0, 1): (4, 0.25), (2, 0): (5, 1.0), (1, 1): (0, 1.0), (3, 3): (0, 1.0)}
+    assert sequence.transition_matrix(counts).count() == 3
+
+
+def test_endpoints_of_uneven_walkers(spark):
+    f = spark.createDataFrame([(w, k, 10.0 * w + k) for w in range(3) for k in range(4)], "walker int, frame int, x double")
+    assert {(r["walker"], r["x"]) for r in ensemble.endpoints(f, ["x"], even=True).collect()} == {(0, 3.0), (1, 13.0), (2, 23.0)}
+    ragged = f.where("walker < 2 OR frame < 2")
+    assert ensemble.endpoints(ragged, ["x"]).count() == 3 and ensemble.endpoints(f.limit(0), ["x"], even=True).count() == 0
+    with pytest.raises(Exception, match="walkers have from 2 to 4 frames"):
+        ensemble.endpoints(ragged, ["x"], even=True).collect()
