@@ -103,13 +103,14 @@ class _Model:
         at += n
         return start.astype(_U), (self.ends.take(at) - start).astype(_U)
 
-    def update(self, n: int, x: np.ndarray, which: np.ndarray, late: np.ndarray, at: np.ndarray) -> None:
-        """x counted from 1, the share each lane was coded in, the lanes whose share is 2 or 3, and x's places."""
+    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, late: np.ndarray, lately: np.ndarray, at: np.ndarray) -> None:
+        """x counted from 1, where orders 2 and 1 were right, the lanes that neither was, where order 0 was, and x's places."""
         own = self.seen[late]
-        self.seen[late] = own + (np.where(which[late] == 2, np.int32(HIT), np.int32(MISS)) - own >> RATE)
-        entry = x * 8 + 1
-        self.second[self.at2] = entry + np.minimum(self.level2, 6) * (which == 0)
-        self.first[self.at1[:n]] = entry + np.minimum(self.level1, 6) * (self.guess1 == x)
+        self.seen[late] = own + (np.where(lately, np.int32(HIT), np.int32(MISS)) - own >> RATE)
+        entry = x * 8
+        entry += 1
+        self.second[self.at2] = entry + np.minimum(self.level2, 6) * hit2
+        self.first[self.at1[:n]] = entry + np.minimum(self.level1, 6) * hit1
         self.at1[:n] = at
 
 
@@ -139,14 +140,14 @@ def encode_blocks(tokens: np.ndarray, alphabet: int) -> bytes:
         x = x_of[t, :n]
         x1 = x + 1
         model.predict(n)
-        miss2 = model.guess2 != x1
-        k = np.flatnonzero(miss2 & (model.guess1 != x1))
+        hit2, hit1 = model.guess2 == x1, model.guess1 == x1
+        k = np.flatnonzero(~(hit2 | hit1))
         at = model.place(n, x1)
         beside = at + 1
         was = last.take(beside[k])
         last[beside] = x1 * BLOCK + t
         k_seen = was // BLOCK == x1[k]
-        which = miss2.astype(np.intp)
+        which = (~hit2).astype(np.intp)
         which[k] = 3 - k_seen
         start, size = model.segment(n, which)
         r = rng[:n] >> _BITS
@@ -158,8 +159,11 @@ def encode_blocks(tokens: np.ndarray, alphabet: int) -> bytes:
         add += low[:n]
         over = np.flatnonzero(add < low[:n])
         words[over, used[over] - 1] += _U(1)
-        low[:n], rng[:n] = add, new
-        model.update(n, x1, which, k, at)
+        if n == lanes:
+            low, rng = add, new
+        else:
+            low[:n], rng[:n] = add, new
+        model.update(n, x1, hit2, hit1, k, k_seen, at)
         k = np.flatnonzero(new < _LOW)
         words[k, used[k]] = low[k] >> _HALF
         used[k] += 1
@@ -209,7 +213,8 @@ def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
         which += (value >= model.end0).view(np.int8)
         which = which.astype(np.intp)
         start, size = model.segment(n, which)
-        x = np.where(which == 0, model.guess2, model.guess1) - 1
+        hit2 = which == 0
+        x = np.where(hit2, model.guess2, model.guess1) - 1
         rest, new = code[:n] - r * start, r * size
         late = k = np.flatnonzero(which > 1)
         lately, total = which[k] == 2, max(1, int(_SUMS[t]))
@@ -220,13 +225,16 @@ def decode_blocks(data: memoryview, alphabet: int) -> np.ndarray:
         rest[k] -= r * np.where(lately, _SUMS[d - 1], value).astype(_U)
         new[k] = r * np.where(lately, _SEEN[d], 1).astype(_U)
         out[t, :n] = x
-        code[:n], rng[:n] = rest, new
+        if n == lanes:
+            code, rng = rest, new
+        else:
+            code[:n], rng[:n] = rest, new
         k = np.flatnonzero(new < _LOW)
         code[k] = code[k] << _HALF | words.take(at[k] + np.minimum(used[k], width - 1)).astype(_U)
         used[k] += 1
         rng[k] = np.maximum(rng[k] << _HALF, _U(1 << BITS))
         x += 1
-        model.update(n, x, which, late, model.place(n, x))
+        model.update(n, x, hit2, model.guess1 == x, late, lately, model.place(n, x))
     out = np.ascontiguousarray(out.T)
     tokens = np.concatenate([out[k, : lengths[k]] for k in range(lanes)]).astype(np.uint32)
     at = 0
