@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import scratch_path
+from .scratch import materialize, scratch_path
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
@@ -35,3 +35,14 @@ def join_by_share(left: DataFrame, right: DataFrame, on: list[str], weight: str,
     near = left.join(F.broadcast(hot), on)
     rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~heavy).hint("merge"), on)
     return near.unionByName(rest)
+
+
+def join_states(frames: DataFrame, states: DataFrame, on: str, weight: str, most: int = 1 << 17) -> DataFrame:
+    """frames inner join states on a column of few values; states has one row for each and `weight`, how many frames have it.
+
+    states is written and counted first. Up to `most` rows of it are broadcast, so that frames stay where they are and a
+    state of any share is no task of its own; more of them meet by join_by_share.
+    """
+    states = materialize(states, "states")
+    joined = frames.join(F.broadcast(states), on) if states.count() <= most else join_by_share(frames, states, [on], weight)
+    return joined.drop(weight)

@@ -57,6 +57,32 @@ def ancestors_by_doubling(records: DataFrame, key: str = "frame_key", parent: st
     raise ValueError("the lineage has a cycle")
 
 
+def walker_roots(frames: DataFrame, births: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(frame_key, root, depth) of every frame, as ancestors_by_doubling's, of walkers whose frames are numbered from 0.
+
+    frames: (walker, frame, frame_key); births: (walker, parent_walker, parent_frame), a row for each walker, with a null
+    parent at a root. Only walkers are doubled, a row each; frames meet their walker's root and base once, in the shuffle that
+    numbers them. A cycle is an error.
+    """
+    b = births.select(F.col("walker").alias("k"), F.col("parent_walker").alias("p"), F.col("parent_frame").alias("f"))
+    there = F.col("p").isNotNull()
+    at = materialize(b.select("k", F.coalesce("p", "k").alias("top"), F.when(there, F.col("f") + 1).otherwise(F.lit(0)).cast("long").alias("base"), there.alias("open")), "walkers")
+    for _ in range(max_rounds):
+        left = at.where("open")
+        if left.isEmpty():
+            break
+        up = at.select(F.col("k").alias("top"), F.col("top").alias("up"), F.col("base").alias("more"), F.col("open").alias("still"))
+        moved = left.join(up, "top").select("k", F.col("up").alias("top"), (F.col("base") + F.col("more")).alias("base"), F.col("still").alias("open"))
+        before, at = at, materialize(at.where("NOT open").union(moved), "walkers")
+        discard(before)
+    else:
+        raise ValueError("the lineage has a cycle")
+    tops = at.select(F.col("top").alias("walker")).distinct()
+    firsts = frames.where(F.col("frame") == 0).join(tops, "walker").select(F.col("walker").alias("top"), F.col("frame_key").alias("root"))
+    found = at.join(firsts, "top").select(F.col("k").alias("walker"), "root", "base")
+    return frames.join(found, "walker").select("frame_key", "root", (F.col("base") + F.col("frame")).alias("depth"))
+
+
 Segment = tuple[int, int, int]  # walker, the frame it is left at, and that frame's depth
 
 
