@@ -85,6 +85,23 @@ def test_kmeans_recovers_clusters_and_keeps_labels(spark):
         clustering.kmeans(df.limit(0), "id", "v", 5)
 
 
+def test_seeded_centres_settle_in_few_rounds(spark):
+    n = 40_000
+    df = spark.range(n).select(((F.col("id") * 7919) % 104_729).cast("double").alias("x"), (F.col("id") % 50).cast("double").alias("y"))
+    c = binning.lloyd(df, ["x", "y"], 20, rounds=10)
+    x = np.array([[k * 7919 % 104_729, k % 50] for k in range(n)], float)
+    at = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+    off = [np.abs(x[at == k].mean(0) - c[k]) for k in range(20)]
+    assert len(c) == 20 and np.max(off) < 50  # a centre has some 5000 for itself
+    wild = np.concatenate([x[:300], [[1e12, 0.0]]])
+    means, held = clustering.cell_means(spark.createDataFrame(rows_of(wild), VEC), "v")
+    assert held.sum() == 301 and np.allclose(held @ means, wild.sum(0)) and len(means) > 50  # an outlier spoils no cell but its own
+    wide = np.random.default_rng(0).normal(size=(3000, 40))
+    means, held = clustering.cell_means(spark.createDataFrame(rows_of(wide), VEC), "v", bits=6)
+    assert held.sum() == 3000 and np.allclose(held @ means, wide.sum(0)) and 32 < len(means) <= 64
+    assert clustering.seeded(spark.createDataFrame([(k, [1.0]) for k in range(9)], VEC), "v", 1) is None
+
+
 def test_regular_centres_cover_all_points(spark):
     x = np.random.default_rng(2).uniform(0, 10, size=(200, 2))
     c = clustering.regular_centres(spark.createDataFrame(rows_of(x), VEC), "id", "v", 2.0)
