@@ -102,6 +102,30 @@ def test_seeded_centres_settle_in_few_rounds(spark):
     assert clustering.seeded(spark.createDataFrame([(k, [1.0]) for k in range(9)], VEC), "v", 1) is None
 
 
+def test_models_of_unsettled_centres_follow_the_sql(spark, tmp_path):
+    import duckdb
+
+    from frameloom.plans.queries import ORACLE_SQL, QUERIES
+
+    x = np.random.default_rng(1).normal(size=(800, 2))  # the second and fourth fit take 22 and 18 rounds to settle
+    spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["msm_from_features"](spark, str(tmp_path)).collect())
+    assert len(got) == 4 and got == sorted(con.sql(ORACLE_SQL["msm_from_features"]).fetchall())
+
+
+def test_centres_after_exactly_so_many_rounds(spark):
+    x = np.random.default_rng(3).normal(size=(300, 2))
+    start = np.array([[-0.1, 0.0], [0.1, 0.0]])
+    df, c = spark.createDataFrame(rows_of(x), VEC), start
+    for _ in range(3):
+        at = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+        c = np.array([x[at == k].mean(0) for k in (0, 1)])
+    got, cost, rounds = clustering.kmeans(df, "id", "v", 2, start, exactly=3)
+    assert np.allclose(got, c) and rounds == 3 and np.isclose(cost, ((x[:, None] - c) ** 2).sum(2).min(1).sum())
+
+
 def test_regular_centres_cover_all_points(spark):
     x = np.random.default_rng(2).uniform(0, 10, size=(200, 2))
     c = clustering.regular_centres(spark.createDataFrame(rows_of(x), VEC), "id", "v", 2.0)
