@@ -102,6 +102,15 @@ def test_seeded_centres_settle_in_few_rounds(spark):
     assert clustering.seeded(spark.createDataFrame([(k, [1.0]) for k in range(9)], VEC), "v", 1) is None
 
 
+def test_cells_have_their_points_means(spark):
+    x = np.random.default_rng(8).normal(size=(200, 2))
+    c = np.array([[-1.0, 0.0], [1.0, 0.0], [50.0, 50.0]])
+    at = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+    rows = {r["centre"]: r for r in clustering.cells(spark.createDataFrame(rows_of(x), VEC), "v", c).collect()}
+    assert all(rows[k]["population"] == (at == k).sum() and np.allclose(rows[k]["mean"], x[at == k].mean(0)) for k in (0, 1))
+    assert rows[2]["population"] == 0 and rows[2]["mean"] is None and rows[2]["area"] is None
+
+
 def test_models_of_unsettled_centres_follow_the_sql(spark, tmp_path):
     import duckdb
 
